@@ -284,3 +284,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
     drop(near, first, likely, sets)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), links.cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without those that aren't the first of their component; of rows that repeat an id one stays.
+
+    Rows whose id is null are compared with nothing and stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, **options)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*(f"`{c}`" for c in docs.columns))
