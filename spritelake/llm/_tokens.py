@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Tokeniser:
     """``punctuation``: runs of ASCII punctuation are tokens of their own, as in word-punct splitting."""
 
-    def __init__(self, punctuation: bool = False, chunk: int = 1 << 21):
+    def __init__(self, punctuation: bool = False, chunk: int = 1 << 20):
         self.chunk = chunk
         table = mix(np.arange(1, 257, dtype=U) * U(_BASE))
         table[65:91] = table[97:123]

@@ -36,7 +36,7 @@ from ._shared import drop, written
 from ._tokens import U, Tokeniser, mix, shingle_sets
 from .components import components
 
-POSTINGS_PER_RANGE = 3_000_000
+POSTINGS_PER_RANGE = 2_000_000
 BLOCK = 1024  # classes in a block of a neighbourhood
 
 
@@ -108,7 +108,7 @@ def _flush(h: np.ndarray, k: np.ndarray, ranges: int, turn: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
 
 
-def _post(width: int, ranges: int, most: int = 1_500_000):
+def _post(width: int, ranges: int, most: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size, seen, turn = Tokeniser(), [], 0, set(), 0
         for batch in batches:
@@ -151,7 +151,21 @@ def _occurs(table: pa.Table) -> pa.Table:
         u, c = np.unique(k[found], return_counts=True)
         keys.append(u)
         counts.append(c)
-    return pa.table({"k1": _signed(np.concatenate(keys)), "shared": np.concatenate(counts).astype(np.int64)})
+    k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    home = k % U(table["ranges"][0].as_py())
+    order = np.argsort(home, kind="stable")
+    at, first = np.unique(home[order], return_index=True)
+    parts = np.split(order, first[1:])
+    return pa.table({"home": at.astype(np.int32), "data": pa.array([k[p].tobytes() + c[p].tobytes() for p in parts] if len(at) else [], pa.binary())})
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """Adds the counts that the ranges found for each class."""
+    parts = [x.as_buffer() for x in table["data"]]
+    k = np.concatenate([np.frombuffer(x, U, x.size // 16) for x in parts])
+    c = np.concatenate([np.frombuffer(x, np.int64, x.size // 16, x.size // 2) for x in parts])
+    keys, where = np.unique(k, return_inverse=True)
+    return pa.table({"k1": _signed(keys), "shared": np.bincount(where, c, len(keys)).astype(np.int64)})
 
 
 def _sets(width: int):
@@ -251,7 +265,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranges = max(1, -(-total // POSTINGS_PER_RANGE))
     classes = ids.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
-    shared = texts.select("text").mapInArrow(_post(width, ranges), "part int, kind int, data binary").repartition(ranges, "part").groupBy("part").applyInArrow(_occurs, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    posts = texts.select("text").mapInArrow(_post(width, ranges), "part int, kind int, data binary").withColumn("ranges", F.lit(ranges))
+    counts = posts.repartition(ranges, "part").groupBy("part").applyInArrow(_occurs, "home int, data binary")
+    shared = counts.groupBy("home").applyInArrow(_sum, "k1 long, shared long")
     likely = written(classes.join(shared, "k1").where(F.col("shared") * den >= F.col("n") * num).select("rep", "n", "copies"))
     sets = texts.join(likely.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(width), "rep long, hashes array<long>").dropDuplicates(["rep"])
     sets = written(sets.join(likely, "rep"))
