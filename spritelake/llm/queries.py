@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kneser_ney import train_and_score
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .pii import pseudonymise
@@ -52,8 +53,12 @@ def op7_pq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op10_kneser_ney_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
