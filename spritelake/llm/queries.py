@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .kneser_ney import train_and_score
 from .ngram_join import jaccard_components
 from .packing import pack_documents
+from .pieces import round_trip
 from .pii import pseudonymise
 from .quality import classify
 from .sharding import kd_shards
@@ -53,12 +54,16 @@ def op7_pq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op10_kneser_ney_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op9_sentencepiece_lattice, op10_kneser_ney_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
