@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kneser_ney import train_and_score
+from .media import copies, rendered
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .pieces import round_trip
@@ -54,6 +55,11 @@ def op7_pq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images are rendered from the vectors, as no table holds any."""
+    return copies(rendered(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op9_sentencepiece_lattice, op10_kneser_ney_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
