@@ -1 +1,11 @@
-"""Raster, manifest and corpus analytics on Spark DataFrames."""
+"""Raster, manifest and corpus analytics on Spark DataFrames.
+
+Functions of this package are pickled by value, so executors need no copy of it on their own
+import path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

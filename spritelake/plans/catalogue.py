@@ -1,15 +1,550 @@
-"""All queries of the raster and manifest operators by name, with their SQL."""
+"""All queries of the raster and manifest operators by name, with the SQL that DuckDB answers alike."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import kernels as K
+from ..operators import manifests as M
+from ..operators import rasters as R
+from ..operators import sequences as S
+from ..sources import adapters as A
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def raster_sql(threshold: float) -> str:
+    return f"""px AS (SELECT vec_id AS frame, label AS clip, (k - 1)::INT AS i, ((k - 1) % 8)::INT AS x, ((k - 1) // 8)::INT AS y, embedding[k]::DOUBLE AS v FROM embeddings, range(1, 65) t(k)),
+        lv AS (SELECT *, floor(least(255.0, greatest(0.0, (v + 1) * 128)))::INT AS r FROM px),
+        raster AS (SELECT frame, clip, i, x, y, r, least(255, r + (i % 3) * 6)::INT AS g, least(255, r + (i % 5) * 8)::INT AS b, (CASE WHEN v > {threshold} THEN 255 ELSE 0 END)::INT AS a FROM lv)"""
+
+
+METRICS = """fm AS (SELECT frame, clip, min(x)::INT AS x0, min(y)::INT AS y0, (max(x) + 1)::INT AS x1, (max(y) + 1)::INT AS y1, count(*)::BIGINT AS opaque, count(DISTINCT r * 65536 + g * 256 + b)::BIGINT AS colors FROM raster WHERE a > 20 GROUP BY ALL),
+        metrics AS (SELECT frame, clip, x0, y0, x1, y1, (x1 - x0)::INT AS w, (y1 - y0)::INT AS h, ((x0 + x1 - 1) // 2)::INT AS foot_x, (y1 - 1)::INT AS foot_y, opaque, colors FROM fm)"""
+SPARSE = f"WITH {raster_sql(A.SPARSE)}, {METRICS}"
+SEQ = "seqs AS (SELECT frame, clip, (row_number() OVER (PARTITION BY clip ORDER BY frame))::INT AS seq FROM (SELECT DISTINCT vec_id AS frame, label AS clip FROM embeddings))"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.frame_metrics(A.pixels(spark, sf_dir, A.SPARSE))
+
+
+# ---- rasters
+
+
+@query(f"{SPARSE} SELECT * FROM metrics")
+def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sparse(spark, sf_dir)
+
+
+@query(f"{SPARSE} SELECT f.frame, f.clip, m.x0, m.y0, m.x1, m.y1, coalesce(m.opaque, 0)::BIGINT AS opaque FROM (SELECT vec_id AS frame, label AS clip FROM embeddings) f LEFT JOIN metrics m USING (frame)")
+def alpha_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.boxes(A.packed(spark, sf_dir, A.SPARSE)).select("frame", "clip", "box.x0", "box.y0", "box.x1", "box.y1", "opaque")
+
+
+@query(f"WITH {raster_sql(A.DENSE)} SELECT clip, count(*) FILTER (WHERE r > 128)::BIGINT AS opaque, count(*) FILTER (WHERE r <= 128)::BIGINT AS transparent FROM raster GROUP BY clip")
+def harden_alpha_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.alpha_counts(A.pixels(spark, sf_dir, A.DENSE), "r", 128)
+
+
+@query(f"""WITH {raster_sql(A.OPAQUE)}, c AS (SELECT frame, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM raster WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY frame),
+        d AS (SELECT frame, (r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb) AS d FROM raster JOIN c USING (frame))
+        SELECT frame, count(*) FILTER (WHERE d > 784)::BIGINT AS foreground, max(d)::DOUBLE AS farthest_sq FROM d GROUP BY frame""")
+def foreground_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.foreground(A.pixels(spark, sf_dir, A.OPAQUE), 8, 28)
+
+
+@query(f"""WITH {raster_sql(A.DENSE)} SELECT frame, clip, count(*) FILTER (WHERE a > 20 AND least(r, g, b) >= 140 AND greatest(r, g, b) - least(r, g, b) <= 18
+        AND EXISTS (SELECT 1 FROM raster n WHERE n.frame = p.frame AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1 AND n.a <= 20))::BIGINT AS fringe FROM raster p GROUP BY frame, clip""")
+def fringe_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fringe(A.packed(spark, sf_dir, A.DENSE), 140, 18)
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, n AS (SELECT p.frame, p.i, p.a, count(*) FILTER (WHERE q.a > 20) AS o FROM raster p JOIN raster q ON q.frame = p.frame AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
+        SELECT frame, count(*) FILTER (WHERE a > 20)::BIGINT AS silhouette, count(*) FILTER (WHERE o BETWEEN 1 AND 8)::BIGINT AS edge, coalesce(sum(i) FILTER (WHERE o BETWEEN 1 AND 8), 0)::BIGINT AS edge_places FROM n GROUP BY frame""")
+def pose_guide_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pose_guide(A.packed(spark, sf_dir, A.MEDIUM))
+
+
+@query(f"WITH {raster_sql(A.MEDIUM)} SELECT frame, (7 - x)::INT AS x, y, (r * 17 // 20)::INT AS r, (g * 17 // 20)::INT AS g, (b * 17 // 20)::INT AS b, a FROM raster")
+def mirror_darken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.mirrored(A.pixels(spark, sf_dir, A.MEDIUM), 8)
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, {SEQ}, m AS (SELECT seqs.frame, seqs.clip, seq, i, a > 20 AS o FROM raster JOIN seqs USING (frame))
+        SELECT p.frame, p.clip, p.seq, (CASE WHEN count(*) FILTER (WHERE p.o OR q.o) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE p.o AND q.o)::DOUBLE / count(*) FILTER (WHERE p.o OR q.o) END)::DOUBLE AS iou
+        FROM m p JOIN m q ON q.clip = p.clip AND q.seq = p.seq - 1 AND q.i = p.i GROUP BY ALL""")
+def mask_iou_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.consecutive_iou(A.packed(spark, sf_dir, A.MEDIUM))
+
+
+@query(f"{SPARSE} SELECT clip, min(x0)::INT AS x0, min(y0)::INT AS y0, max(x1)::INT AS x1, max(y1)::INT AS y1, count(*)::BIGINT AS frames FROM metrics GROUP BY clip")
+def clip_union_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.union_box(_sparse(spark, sf_dir))
+
+
+DRIFT = "CASE WHEN count({0}) < 2 OR median({0}) <= 0 THEN 0.0 ELSE (max({0}) - min({0})) / median({0}) END"
+
+
+@query(f"{SPARSE} SELECT clip, ({DRIFT.format('h')})::DOUBLE AS height_drift, ({DRIFT.format('w')})::DOUBLE AS width_drift, (max(foot_x) - min(foot_x))::INT AS foot_x_drift, (max(foot_y) - min(foot_y))::INT AS foot_y_drift FROM metrics GROUP BY clip")
+def clip_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.clip_drift(_sparse(spark, sf_dir))
+
+
+@query(f"{SPARSE}, u AS (SELECT clip, min(x0) ux, min(y0) uy, max(x1) vx, max(y1) vy FROM metrics GROUP BY clip) SELECT frame, clip, (foot_x - ux)::INT AS anchor_x, (foot_y - uy)::INT AS anchor_y, (vx - ux)::INT AS envelope_w, (vy - uy)::INT AS envelope_h FROM metrics JOIN u USING (clip)")
+def anchors_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.anchors(_sparse(spark, sf_dir))
+
+
+@query(f"""{SPARSE}, d AS (SELECT clip, {DRIFT.format('h')} AS hd, {DRIFT.format('w')} AS wd, max(foot_y) - min(foot_y) AS fd, max(colors) AS mc FROM metrics GROUP BY clip),
+        e AS (SELECT label AS clip, count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT frame FROM metrics) GROUP BY label),
+        v AS (SELECT clip, 'error' AS s, 'foot_drift: ' || fd AS t FROM d WHERE fd > 2 UNION ALL SELECT clip, 'error', 'height_drift: above limit' FROM d WHERE hd > 0.2
+              UNION ALL SELECT clip, 'warning', 'width_drift: above limit' FROM d WHERE wd > 0.2 UNION ALL SELECT clip, 'error', 'palette: ' || mc FROM d WHERE mc > 24 UNION ALL SELECT clip, 'error', 'empty_frame: ' || n FROM e)
+        SELECT c.clip::VARCHAR AS subject, array_to_string(coalesce(list(t ORDER BY t) FILTER (WHERE s = 'error'), []), '; ') AS errors, array_to_string(coalesce(list(t ORDER BY t) FILTER (WHERE s = 'warning'), []), '; ') AS warnings, count(*) FILTER (WHERE s = 'error') = 0 AS ok
+        FROM (SELECT DISTINCT label AS clip FROM embeddings) c LEFT JOIN v USING (clip) GROUP BY c.clip""")
+def clip_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of a clip as violation rows: heights and feet are errors, widths a warning."""
+    frames = A.packed(spark, sf_dir, A.SPARSE)
+    metrics = R.frame_metrics(A.exploded(frames))
+    drift = R.clip_drift(metrics).join(metrics.groupBy("clip").agg(F.max("colors").alias("most_colors")), "clip")
+    empty = R.boxes(frames).where("box IS NULL").groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
+    clip = F.col("clip")
+    found = [
+        M.violations(drift, clip, "foot_drift", F.col("foot_y_drift") > 2, F.col("foot_y_drift").cast("string")),
+        M.violations(drift, clip, "height_drift", F.col("height_drift") > 0.2, F.lit("above limit")),
+        M.violations(drift, clip, "width_drift", F.col("width_drift") > 0.2, F.lit("above limit"), M.WARNING),
+        M.violations(drift, clip, "palette", F.col("most_colors") > 24, F.col("most_colors").cast("string")),
+        M.violations(empty, clip, "empty_frame", F.col("n") > 0, F.col("n").cast("string")),
+    ]
+    out = M.verdict(frames.select("clip").distinct(), "clip", *found)
+    return out.select("subject", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "ok")
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, o AS (SELECT clip, r * 65536 + g * 256 + b AS c, row_number() OVER (PARTITION BY clip ORDER BY frame, i) - 1 AS rn, count(*) OVER (PARTITION BY clip) AS n FROM raster WHERE a > 20)
+        SELECT clip, n::BIGINT AS opaque, count(*)::BIGINT AS sampled, count(DISTINCT c)::BIGINT AS colors, count(DISTINCT c) > 32 AS needs_palette FROM o WHERE rn % greatest(1, ceil(n / 200.0)::BIGINT) = 0 GROUP BY clip, n""")
+def shared_palette_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.palette_gate(A.pixels(spark, sf_dir, A.MEDIUM), 32, 200)
+
+
+@query(f"""WITH {raster_sql(A.DENSE)}, e AS (SELECT * FROM raster p WHERE a > 20 AND EXISTS (SELECT 1 FROM raster n WHERE n.frame = p.frame AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1 AND n.a <= 20)),
+        c AS (SELECT frame, r, g, b, count(*) AS n FROM e GROUP BY ALL) SELECT frame, r, g, b, n::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY frame ORDER BY n DESC, 299 * r + 587 * g + 114 * b DESC, r DESC, g DESC, b DESC) = 1""")
+def boundary_mode_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.mode_colour(A.pixels(spark, sf_dir, A.DENSE))
+
+
+PALETTE = [(32, 32, 32), (64, 72, 80), (96, 104, 112), (120, 128, 140), (136, 140, 150), (160, 170, 180), (200, 205, 210), (240, 244, 248)]
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, p(k, pr, pg, pb) AS (VALUES {', '.join(f'({k}, {r}, {g}, {b})' for k, (r, g, b) in enumerate(PALETTE))}),
+        n AS (SELECT frame, i, arg_min(k, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + k) AS k FROM raster, p WHERE a > 20 GROUP BY ALL)
+        SELECT k::INT AS entry, count(*)::BIGINT AS pixels, count(DISTINCT frame)::BIGINT AS frames FROM n GROUP BY k""")
+def nearest_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = A.pixels(spark, sf_dir, A.MEDIUM).where("a > 20")
+    return px.select("frame", R.nearest(F.col("r"), F.col("g"), F.col("b"), PALETTE).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("pixels"), F.count_distinct("frame").alias("frames"))
+
+
+RUNS = f"""WITH {raster_sql(A.MEDIUM)}, isl AS (SELECT frame, clip, y, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS g FROM raster WHERE a > 20),
+        runs AS (SELECT frame, y, count(*) AS n FROM isl GROUP BY frame, y, g),
+        rws AS (SELECT p.frame, p.clip, p.y, count(*) FILTER (WHERE a > 20) AS opaque, coalesce((SELECT max(n) FROM runs r WHERE r.frame = p.frame AND r.y = p.y), 0) AS longest FROM raster p GROUP BY p.frame, p.clip, p.y)"""
+
+
+@query(f"{RUNS} SELECT frame, clip, y, opaque::BIGINT AS opaque, longest::INT AS longest FROM rws")
+def row_longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rows_of(A.packed(spark, sf_dir, A.MEDIUM)).drop("w")
+
+
+@query(f"""{RUNS}, f AS (SELECT frame, y, y - row_number() OVER (PARTITION BY frame ORDER BY y) AS g FROM rws WHERE opaque >= 4 OR longest >= 3)
+        SELECT frame, min(y)::INT AS first, max(y)::INT AS last, count(*)::BIGINT AS length FROM f GROUP BY frame, g HAVING count(*) <= 4""")
+def separator_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.separator_bands(A.packed(spark, sf_dir, A.MEDIUM), 0.5, 0.4)
+
+
+def reach_sql(threshold: float, candidate: str) -> str:
+    """Border-connected candidates by recursive UNION."""
+    return f"""WITH RECURSIVE {raster_sql(threshold)}, cand AS (SELECT frame, clip, x, y FROM raster WHERE {candidate}),
+        hit AS (SELECT frame, x, y FROM cand WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT c.frame, c.x, c.y FROM hit h JOIN cand c ON c.frame = h.frame AND abs(c.x - h.x) <= 1 AND abs(c.y - h.y) <= 1)"""
+
+
+def label_sql(threshold: float, base: str) -> str:
+    """Components of the rows of ``base`` named by their smallest place, by recursive UNION over reachable places."""
+    return f"""WITH RECURSIVE {raster_sql(threshold)}, cand AS ({base}),
+        walk AS (SELECT frame, y * 8 + x AS root, x, y FROM cand UNION SELECT c.frame, w.root, c.x, c.y FROM walk w JOIN cand c ON c.frame = w.frame AND abs(c.x - w.x) <= 1 AND abs(c.y - w.y) <= 1),
+        lab AS (SELECT frame, x, y, min(root) AS root FROM walk GROUP BY ALL)"""
+
+
+@query(reach_sql(A.DENSE, "a <= 20") + """, inn AS (SELECT * FROM cand WHERE (frame, x, y) NOT IN (SELECT (frame, x, y) FROM hit)),
+        walk AS (SELECT frame, y * 8 + x AS root, x, y FROM inn UNION SELECT c.frame, w.root, c.x, c.y FROM walk w JOIN inn c ON c.frame = w.frame AND abs(c.x - w.x) <= 1 AND abs(c.y - w.y) <= 1),
+        lab AS (SELECT frame, x, y, min(root) AS root FROM walk GROUP BY ALL), ar AS (SELECT frame, root, count(*) AS n FROM lab GROUP BY ALL)
+        SELECT frame, count(*)::BIGINT AS holes, sum(n)::BIGINT AS area, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS areas FROM ar GROUP BY frame""")
+def enclosed_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda image: [(len(h), sum(h), ",".join(map(str, h)))] if (h := K.holes(image[:, :, 3])) else []
+    return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "holes long, area long, areas string", rows).drop("clip")
+
+
+@query(label_sql(A.MEDIUM, "SELECT frame, clip, x, y FROM raster WHERE a > 20") + """, box AS (SELECT frame, root, count(*) AS area, min(y) AS t, min(x) AS l, max(y) + 1 AS b, max(x) + 1 AS r FROM lab GROUP BY ALL)
+        SELECT frame, (row_number() OVER (PARTITION BY frame ORDER BY area DESC, t, l, root))::INT AS rank, area::BIGINT AS area, t::INT AS top, l::INT AS "left", b::INT AS bottom, r::INT AS "right" FROM box WHERE area >= 2""")
+def components_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda image: [(k + 1, *c) for k, c in enumerate(x for x in K.component_boxes(image[:, :, 3] > 20) if x[0] >= 2)]
+    return K.by_frame(A.packed(spark, sf_dir, A.MEDIUM), "rank int, area long, top int, left int, bottom int, right int", rows).drop("clip")
+
+
+@query(label_sql(A.MEDIUM, "SELECT frame, clip, x, y FROM raster WHERE a > 20") + """, comp AS (SELECT frame, root, count(*) AS area, bool_or(x IN (0, 7) OR y IN (0, 7)) AS edge FROM lab GROUP BY ALL),
+        k AS (SELECT *, area <= 2 OR (area < 0.2 * max(area) OVER (PARTITION BY frame) AND edge) AS gone, row_number() OVER (PARTITION BY frame ORDER BY area DESC, root) AS rk FROM comp),
+        s AS (SELECT frame, root, area FROM (SELECT *, bool_and(gone) OVER (PARTITION BY frame) AS all_gone FROM k) WHERE NOT gone OR (all_gone AND rk = 1))
+        SELECT frame, sum(area)::BIGINT AS pixels, count(*)::BIGINT AS components FROM s GROUP BY frame""")
+def component_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows(image):
+        mask = image[:, :, 3] > 20
+        kept = K.kept_components(mask, small=2) & mask
+        return [(int(kept.sum()), int(K.labels(kept).max()))] if kept.any() else []
+
+    return K.by_frame(A.packed(spark, sf_dir, A.MEDIUM), "pixels long, components long", rows).drop("clip")
+
+
+@query("WITH RECURSIVE " + raster_sql(A.OPAQUE) + """, c AS (SELECT frame, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM raster WHERE x IN (0, 7) AND y IN (0, 7) GROUP BY frame),
+        cand AS (SELECT frame, x, y FROM raster JOIN c USING (frame) WHERE abs(r - mr) + abs(g - mg) + abs(b - mb) <= 42),
+        hit AS (SELECT frame, x, y FROM cand WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT c.frame, c.x, c.y FROM hit h JOIN cand c ON c.frame = h.frame AND abs(c.x - h.x) <= 1 AND abs(c.y - h.y) <= 1)
+        SELECT f.frame, count(h.frame)::BIGINT AS cleared FROM (SELECT vec_id AS frame FROM embeddings) f LEFT JOIN hit h USING (frame) GROUP BY f.frame""")
+def corner_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda image: [(int((K.cleared_background(image, 42)[:, :, 3] == 0).sum()),)]
+    return K.by_frame(A.packed(spark, sf_dir, A.OPAQUE), "cleared long", rows).drop("clip")
+
+
+@query(reach_sql(A.DENSE, "a > 20 AND least(r, g, b) >= 130 AND greatest(r, g, b) - least(r, g, b) <= 40") + " SELECT f.frame, count(h.frame)::BIGINT AS cleared FROM (SELECT vec_id AS frame FROM embeddings) f LEFT JOIN hit h USING (frame) GROUP BY f.frame")
+def neutral_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda image: [(int(((K.without_halo(image, 130, 40)[:, :, 3] == 0) & (image[:, :, 3] > 20)).sum()),)]
+    return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "cleared long", rows).drop("clip")
+
+
+@query()
+def hole_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled pixels and holes that are left, for holes of up to 3 pixels."""
+    rows = lambda image: [(int(((out := K.filled_holes(image, 3))[:, :, 3] > image[:, :, 3]).sum()), len(K.holes(out[:, :, 3])))]
+    return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "filled long, left_over long", rows)
+
+
+@query()
+def fringe_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recoloured pixels of fringes and detached bottom lines."""
+    rows = lambda image: [(int((K.recoloured_fringe(image, 140) != image).any(2).sum()), int((K.detached_line(image, 140) != image).any(2).sum()))]
+    return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "fringe long, line long", rows)
+
+
+@query()
+def normalised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background cleared, cropped, fitted to 16 x 16, reduced to eight colours, placed by the foot."""
+    import numpy as np
+
+    def rows(image):
+        out = K.kept_components((image[:, :, 3] > 20), small=1)
+        if not out.any():
+            return []
+        y, x = np.nonzero(out)
+        part = np.where(out[:, :, None], image, 0)[y.min() : y.max() + 1, x.min() : x.max() + 1]
+        scale = min(14 / part.shape[0], 14 / part.shape[1])
+        part = K.resampled(part, max(1, round(part.shape[1] * scale)), max(1, round(part.shape[0] * scale)))
+        part = K.quantised(part, K.median_cut(part[part[:, :, 3] > 20][:, :3], 8))
+        canvas = K.composed(np.zeros((16, 16, 4), np.uint8), part, (16 - part.shape[1]) // 2, 15 - part.shape[0])
+        opaque = canvas[canvas[:, :, 3] > 20][:, :3]
+        return [(int(len(opaque)), len(np.unique(opaque, axis=0)), int(np.nonzero((canvas[:, :, 3] > 20).any(1))[0].max()))]
+
+    return K.by_frame(A.packed(spark, sf_dir, A.MEDIUM), "opaque long, colors long, foot_y int", rows)
+
+
+SEEDS = [("head", 3.5, 1.0, 1.0), ("torso", 3.5, 4.0, 1.5), ("arm", 0.5, 4.0, 1.0), ("leg", 3.5, 7.0, 1.0)]
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, s(k, part, sx, sy, sw) AS (VALUES {', '.join(f"({k}, '{n}', {x}::DOUBLE, {y}::DOUBLE, {w}::DOUBLE)" for k, (n, x, y, w) in enumerate(SEEDS))}),
+        n AS (SELECT frame, i, x, y, part FROM raster, s WHERE a > 20 QUALIFY row_number() OVER (PARTITION BY frame, i ORDER BY ((x - sx) * (x - sx) + (y - sy) * (y - sy)) / (sw * sw), k) = 1)
+        SELECT frame, part, count(*)::BIGINT AS pixels, min(x)::INT AS x0, min(y)::INT AS y0, (max(x) + 1)::INT AS x1, (max(y) + 1)::INT AS y1 FROM n GROUP BY frame, part""")
+def voronoi_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.voronoi(A.pixels(spark, sf_dir, A.MEDIUM), SEEDS).groupBy("frame", "part").agg(F.count(F.lit(1)).alias("pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+
+
+# ---- boards
+
+CELLS = f"""WITH {raster_sql(A.MEDIUM)}, {SEQ}, m AS (SELECT seqs.clip, ((seq - 1) // 9)::INT AS board, ((seq - 1) % 9)::INT AS cell, i, a > 20 AS o FROM raster JOIN seqs USING (frame)),
+        cells AS (SELECT p.clip, p.board, p.cell, count(*) FILTER (WHERE p.o)::BIGINT AS opaque,
+            (CASE WHEN count(*) FILTER (WHERE q.o) > 0 THEN count(*) FILTER (WHERE p.o)::DOUBLE / count(*) FILTER (WHERE q.o) WHEN count(*) FILTER (WHERE p.o) = 0 THEN 1.0 END)::DOUBLE AS occupancy,
+            (CASE WHEN count(*) FILTER (WHERE p.o OR q.o) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE p.o AND q.o)::DOUBLE / count(*) FILTER (WHERE p.o OR q.o) END)::DOUBLE AS iou
+            FROM m p JOIN m q ON q.clip = p.clip AND q.board = p.board AND q.cell = 0 AND q.i = p.i GROUP BY ALL)"""
+
+
+@query(f"{CELLS} SELECT * FROM cells")
+def board_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.board_cells(A.boards(spark, sf_dir, A.MEDIUM))
+
+
+@query(f"{CELLS} SELECT clip, board, sum(opaque)::BIGINT AS opaque, count(*)::BIGINT AS cells, min(iou) AS least_iou FROM cells GROUP BY ROLLUP (clip, board)")
+def board_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.board_totals(R.board_cells(A.boards(spark, sf_dir, A.MEDIUM)))
+
+
+@query(f"""{CELLS}, q AS (SELECT clip, board, count(*) = 9 AS full_board, min(occupancy) FILTER (WHERE cell > 0) >= 0.4 AND max(occupancy) FILTER (WHERE cell > 0) <= 2.5 AS occupancy_ok, avg(iou) FILTER (WHERE cell > 0) >= 0.2 AS overlap_ok FROM cells GROUP BY clip, board)
+        SELECT clip, board, coalesce(full_board, false) AS full_board, coalesce(occupancy_ok, false) AS occupancy_ok, coalesce(overlap_ok, false) AS overlap_ok, coalesce(full_board, false) AND coalesce(occupancy_ok, false) AND coalesce(overlap_ok, false) AS passed FROM q""")
+def board_quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = R.board_cells(A.boards(spark, sf_dir, A.MEDIUM))
+    other = lambda c: F.when(F.col("cell") > 0, F.col(c))
+    gates = cells.groupBy("clip", "board").agg((F.count(F.lit(1)) == 9).alias("full_board"), ((F.min(other("occupancy")) >= 0.4) & (F.max(other("occupancy")) <= 2.5)).alias("occupancy_ok"), (F.avg(other("iou")) >= 0.2).alias("overlap_ok"))
+    names = ("full_board", "occupancy_ok", "overlap_ok")
+    filled = gates.select("clip", "board", *(F.coalesce(n, F.lit(False)).alias(n) for n in names))
+    return filled.withColumn("passed", F.col(names[0]) & F.col(names[1]) & F.col(names[2]))
+
+
+@query("""WITH n AS (SELECT unnest(range(1, 145)) AS cells), s AS (SELECT unnest(range(1, 13)) AS v)
+        SELECT cells::INT AS cells, c::INT AS columns, r::INT AS rows FROM (SELECT n.cells, a.v AS c, b.v AS r FROM n, s a, s b WHERE a.v * b.v >= n.cells QUALIFY row_number() OVER (PARTITION BY n.cells ORDER BY a.v * b.v, abs(a.v - b.v), a.v) = 1)""")
+def grid_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.range(1, 145).select(F.col("id").cast("int").alias("cells"))
+    return n.select("cells", R.grid_for(F.col("cells")).alias("g")).select("cells", "g.columns", "g.rows")
+
+
+# ---- names, sequences and graphs
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name || ' ' || p_partkey AS name FROM part), k AS (SELECT *, list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN struct_pack(t := '', n := p::HUGEINT) ELSE struct_pack(t := p, n := (-1)::HUGEINT) END) AS key FROM n)
+        SELECT p_partkey, name, (row_number() OVER (ORDER BY key, p_partkey))::INT AS place FROM k""")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    parts = A.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+    return parts.withColumn("place", F.row_number().over(Window.orderBy(C.natural_key(F.col("name")), "p_partkey")))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS rows FROM events WHERE event_type = 'click' OR starts_with(event_type, 'click_') GROUP BY event_type")
+def requested_clip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = A.table(spark, sf_dir, "events").select("event_type")
+    return M.clip_gate(events, "event_type", "click", ["click", "view", "error"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+KEYS = """keys AS (SELECT user_id AS joint, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS us, value, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS f, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS l FROM events),
+        keyed AS (SELECT joint, k, CASE WHEN l > f THEN (us - f)::DOUBLE / (l - f) ELSE 0.0 END AS t, value FROM keys)"""
+
+
+@query(f"""WITH {KEYS}, seg AS (SELECT joint, k, t, value, lead(t) OVER w AS t1, lead(value) OVER w AS v1, lag(t) OVER w AS b FROM keyed WINDOW w AS (PARTITION BY joint ORDER BY k)),
+        tm AS (SELECT DISTINCT joint, n / 8.0::DOUBLE AS "at" FROM keyed, range(0, 9) r(n)),
+        hit AS (SELECT joint, "at", k, CASE WHEN v1 IS NULL THEN value ELSE value + (v1 - value) * (CASE WHEN t1 IS NULL OR "at" <= t THEN 0.0 WHEN t1 = t THEN 1.0 ELSE ("at" - t) / (t1 - t) END) END AS v FROM tm JOIN seg USING (joint) WHERE (b IS NULL OR "at" >= t) AND (t1 IS NULL OR "at" <= t1))
+        SELECT joint, "at"::DOUBLE AS "at", round(arg_min(v, k), 6)::DOUBLE AS value FROM hit GROUP BY joint, "at" """)
+def keyframe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = A.keyframes(spark, sf_dir)
+    times = keys.select("joint").distinct().select("joint", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i / F.lit(8.0))).alias("at"))
+    return S.interpolated(keys, times, ["joint"]).select("joint", "at", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {KEYS}, p AS (SELECT joint, arg_min(value, k) AS a, arg_max(value, k) AS z, list(value) AS vs FROM keyed GROUP BY joint)
+        SELECT joint, (CASE WHEN len(list_filter(vs, lambda v: abs(v - a) > 1e-9 * greatest(abs(v), abs(a)) AND abs(v - z) > 1e-9 * greatest(abs(v), abs(z)))) > 0 THEN 3 WHEN abs(a - z) > 1e-9 * greatest(abs(a), abs(z)) THEN 2 ELSE 1 END)::INT AS frames FROM p""")
+def min_useful_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.least_frames(A.keyframes(spark, sf_dir), ["joint"])
+
+
+@query("SELECT n::INT AS n, loop, i::INT AS i, (CASE WHEN n = 1 THEN 0.0 WHEN loop THEN i::DOUBLE / n ELSE i::DOUBLE / (n - 1) END)::DOUBLE AS t FROM (SELECT unnest(range(1, 17)) AS n) a, (VALUES (true), (false)) b(loop), range(0, 16) r(i) WHERE i < n")
+def sample_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.range(1, 17).select(F.col("id").cast("int").alias("n"), F.explode(F.array(F.lit(True), F.lit(False))).alias("loop"))
+    return grid.select("n", "loop", F.posexplode(S.sample_times(F.col("n"), F.col("loop"))).alias("i", "t"))
+
+
+JOINTS = "j(joint, parent, ox, oy, angle) AS (VALUES " + ", ".join(f"('{a}', {'NULL' if p is None else repr(p)}, {x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE)" for a, p, x, y, r in S.SKELETON) + ")"
+
+
+@query(f"WITH RECURSIVE {JOINTS}, up AS (SELECT joint, parent FROM j WHERE joint IN ('hand_front', 'leg_back') UNION SELECT j.joint, j.parent FROM up JOIN j ON j.joint = up.parent) SELECT joint FROM up")
+def skeleton_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.ancestors(S.skeleton(spark), ["hand_front", "leg_back"])
+
+
+@query(f"""WITH RECURSIVE {JOINTS}, w AS (SELECT joint, 0 AS depth, angle, ox AS x, oy AS y FROM j WHERE parent IS NULL UNION ALL
+        SELECT j.joint, w.depth + 1, w.angle + j.angle, w.x + j.ox * cos(radians(w.angle)) - j.oy * sin(radians(w.angle)), w.y + j.ox * sin(radians(w.angle)) + j.oy * cos(radians(w.angle)) FROM w JOIN j ON j.parent = w.joint)
+        SELECT joint, depth::INT AS depth, angle, round(x, 6) AS x, round(y, 6) AS y FROM w""")
+def world_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.world_transforms(S.skeleton(spark)).select("joint", "depth", "angle", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT subject, gate FROM (VALUES ('a', 'reaches_root'), ('b', 'reaches_root'), ('c', 'parent_exists'), ('c', 'reaches_root')) v(subject, gate)")
+def skeleton_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle and a missing parent beside a good root."""
+    broken = [("root", None, 0.0, 0.0, 0.0), ("a", "b", 0.0, 0.0, 0.0), ("b", "a", 0.0, 0.0, 0.0), ("c", "nowhere", 0.0, 0.0, 0.0)]
+    return S.tree_faults(S.skeleton(spark, broken))
+
+
+# ---- manifests
+
+DATASET = "samples AS (SELECT doc_id AS sample, source AS character, CASE WHEN source = (SELECT max(source) FROM documents) THEN 'validation' ELSE 'train' END AS split, sha256(text) AS pixel_hash, lang AS direction FROM documents)"
+
+
+@query(f"WITH {DATASET} SELECT pixel_hash, count(DISTINCT split)::BIGINT AS splits, count(*)::BIGINT AS rows FROM samples WHERE pixel_hash IS NOT NULL GROUP BY pixel_hash HAVING count(DISTINCT split) > 1")
+def leak_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.shared_across(A.samples(spark, sf_dir), "split", "pixel_hash")
+
+
+@query(f"WITH {DATASET} SELECT character, count(DISTINCT split)::BIGINT AS splits, count(*)::BIGINT AS rows FROM samples WHERE character IS NOT NULL GROUP BY character HAVING count(DISTINCT split) > 1")
+def leak_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.shared_across(A.samples(spark, sf_dir), "split", "character")
+
+
+@query(f"WITH {DATASET} SELECT split, pixel_hash, count(*)::BIGINT AS rows FROM samples GROUP BY ALL HAVING count(*) > 1")
+def duplicate_within_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.duplicated(A.samples(spark, sf_dir), "split", "pixel_hash")
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS rows, min(l_linenumber)::INT AS least, max(l_linenumber)::INT AS most FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
+def ordinal_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.broken_ordinals(A.table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("""WITH d AS (SELECT o_orderkey AS k, (o_orderkey % 5)::BIGINT AS want FROM orders), a AS (SELECT l_orderkey AS k, (count(*) % 5)::BIGINT AS have FROM lineitem GROUP BY 1)
+        SELECT coalesce(d.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN d.k IS NULL THEN 'unexpected' ELSE 'changed' END AS state FROM d FULL JOIN a ON a.k = d.k WHERE a.k IS NULL OR d.k IS NULL OR want <> have""")
+def declared_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("digest"))
+    actual = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.count(F.lit(1)) % 5).alias("digest"))
+    return M.reconciled(declared, actual, "k", "digest")
+
+
+REPORT = """rep AS (SELECT o_orderkey AS k, coalesce(ok, false) AS passed, CASE WHEN ok IS NULL THEN 'missing' WHEN NOT ok THEN 'failed' END AS reason FROM orders LEFT JOIN (SELECT l_orderkey, count(*) >= 3 AS ok FROM lineitem GROUP BY 1) b ON l_orderkey = o_orderkey)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.count(F.lit(1)) >= 3).alias("ok"))
+    return M.outer_report(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), boards, "k", "ok")
+
+
+@query(f"WITH {REPORT} SELECT * FROM rep")
+def missing_side_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir)
+
+
+@query(f"WITH {REPORT} SELECT count(*)::BIGINT AS required, count(*) FILTER (WHERE passed)::BIGINT AS passed, count(*) FILTER (WHERE NOT passed)::BIGINT AS failed, bool_and(passed) AS ok FROM rep")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.batch_summary(_report(spark, sf_dir))
+
+
+@query(f"WITH {DATASET} SELECT sample, split, n::INT AS ordinal, CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE left(n::VARCHAR, 4) END AS stem, ((n - 1) % 8)::INT AS prompt_index FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample) AS n FROM samples)")
+def split_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.numbered(A.samples(spark, sf_dir), "split", "sample").select("sample", "split", "ordinal", "stem", "prompt_index")
+
+
+@query(f"WITH {DATASET} SELECT split, direction, count(*)::BIGINT AS files, sha256(string_agg(sample || '|' || pixel_hash, chr(10) ORDER BY sample || '|' || pixel_hash)) AS fingerprint FROM samples GROUP BY ALL")
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.fingerprint(A.samples(spark, sf_dir), ["split", "direction"], "sample", "pixel_hash")
+
+
+@query(f"""WITH {DATASET}, f AS (SELECT character, direction, count(*) AS files, sha256(string_agg(sample || '|' || pixel_hash, chr(10) ORDER BY sample || '|' || pixel_hash)) AS fp FROM samples GROUP BY ALL)
+        SELECT character, sum(files)::BIGINT AS files, count(*)::BIGINT AS clips, sha256(string_agg(direction || '|' || fp, chr(10) ORDER BY direction || '|' || fp)) AS fingerprint FROM f GROUP BY character""")
+def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = M.fingerprint(A.samples(spark, sf_dir), ["character", "direction"], "sample", "pixel_hash")
+    total = clips.groupBy("character").agg(F.sum("files").alias("files"), F.count(F.lit(1)).alias("clips"))
+    return total.join(M.fingerprint(clips.drop("files"), ["character"], "direction", "fingerprint").select("character", "fingerprint"), "character")
+
+
+@query(f"WITH {DATASET}, s AS (SELECT split, count(*) AS n FROM samples GROUP BY split) SELECT split, n::BIGINT AS samples, ceil(n / 4.0)::BIGINT AS updates_per_epoch, ceil(1500.0 / ceil(n / 4.0))::BIGINT AS epochs, (ceil(n / 4.0) * ceil(1500.0 / ceil(n / 4.0)))::BIGINT AS updates, (ceil(n / 4.0) * ceil(1500.0 / ceil(n / 4.0)) - 1500)::BIGINT AS overshoot FROM s")
+def schedule_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = A.samples(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
+    return counts.select("split", "samples", *M.schedule(F.col("samples"), 4, 1500)).select("split", "samples", "updates_per_epoch", "epochs", "updates", "overshoot")
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+PARTS = "parts AS (SELECT s_suppkey AS owner, ['skull', 'body', 'arm_f', 'front_arm', 'leg_b', 'tail', 'head'][1 + s_suppkey % 7] AS name FROM supplier UNION ALL SELECT s_suppkey, ['leg_f', 'arm_b', 'torso', 'hat', 'body'][1 + (s_suppkey // 3) % 5] FROM supplier)"
+SLOTTED = f"{PARTS}, al(alias, canonical) AS (VALUES {_values(M.ALIASES)}), sl(slot, joint, z, px, py) AS (VALUES {_values(M.SLOTS)}), named AS (SELECT owner, name, coalesce(canonical, name) AS slot FROM parts LEFT JOIN al ON alias = name)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    suppliers = A.table(spark, sf_dir, "supplier")
+    a = suppliers.select(key.alias("owner"), pick(["skull", "body", "arm_f", "front_arm", "leg_b", "tail", "head"], key % 7).alias("name"))
+    return a.unionByName(suppliers.select(key.alias("owner"), pick(["leg_f", "arm_b", "torso", "hat", "body"], F.floor(key / 3) % 5).alias("name")))
+
+
+@query(f"WITH {SLOTTED} SELECT owner, name, named.slot, joint, z::INT AS z FROM named LEFT JOIN sl ON sl.slot = named.slot")
+def alias_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.slotted(_parts(spark, sf_dir), "name").select("owner", "name", "slot", "joint", "z")
+
+
+@query(f"""WITH {SLOTTED}, own AS (SELECT DISTINCT owner, slot FROM named WHERE slot IN (SELECT slot FROM sl)), pr(slot, other) AS (VALUES {_values(M.MIRRORS + [(b, a) for a, b in M.MIRRORS])})
+        SELECT owner, slot, NULL::VARCHAR AS from_slot, false AS derived FROM own UNION ALL SELECT o.owner, pr.other, o.slot, true FROM own o JOIN pr USING (slot) WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.owner = o.owner AND x.slot = pr.other)""")
+def mirrored_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.with_mirrors(M.slotted(_parts(spark, sf_dir), "name").where("joint IS NOT NULL"))
+
+
+@query(f"WITH {SLOTTED} SELECT slot, CASE WHEN a THEN 'unmapped' ELSE 'unknown' END AS state FROM (SELECT DISTINCT slot, true AS a FROM named WHERE slot NOT IN (SELECT slot FROM sl) UNION ALL SELECT slot, false FROM sl WHERE slot NOT IN (SELECT slot FROM named))")
+def unmapped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = spark.createDataFrame(M.SLOTS, "slot string, joint string, z int, pivot_x double, pivot_y double").select("slot")
+    return M.unmapped(M.slotted(_parts(spark, sf_dir), "name").select("slot").distinct(), slots, "slot")
+
+
+@query("""WITH h AS (SELECT conv_id, list_sort(list(DISTINCT role)) AS have FROM conversations GROUP BY conv_id), w AS (SELECT ['assistant', 'system', 'user'] AS want)
+        SELECT conv_id, array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(have, x))), ',') AS missing, array_to_string(list_sort(list_filter(have, lambda x: NOT list_contains(want, x))), ',') AS unknown FROM h, w""")
+def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("have"))
+    out = M.set_difference(per, F.array(F.lit("assistant"), F.lit("system"), F.lit("user")), F.col("have"))
+    return out.select("conv_id", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@query("""SELECT p_partkey, (64 + p_size * 16)::INT AS w, array_to_string(list_filter([CASE WHEN NOT (64 + p_size * 16 BETWEEN 64 AND 4096 AND (64 + p_size * 16) % 16 = 0) THEN 'width' END, CASE WHEN NOT (p_size * 24 BETWEEN 64 AND 4096 AND (p_size * 24) % 16 = 0) THEN 'height' END,
+        CASE WHEN (64 + p_size * 16) % 3 <> 0 THEN 'columns' END, CASE WHEN (p_size * 24) % 3 <> 0 THEN 'rows' END, CASE WHEN p_size > 8 THEN 'capacity' END], lambda x: x IS NOT NULL), ',') AS faults FROM part""")
+def board_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    three = F.lit(3)
+    return A.table(spark, sf_dir, "part").select("p_partkey", (size * 16 + 64).alias("w"), F.array_join(M.geometry_faults(size * 16 + 64, size * 24, three, three, size), ",").alias("faults"))
+
+
+# ---- text
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/', CASE WHEN page_id % 5 = 0 THEN '../' WHEN page_id % 7 = 0 THEN '/' ELSE '' END) AS path FROM pages)
+        SELECT page_id, path, path <> '' AND NOT regexp_matches(path, '^([/~]|[A-Za-z]:)|\\|(^|/)\.\.(/|$)') AS safe FROM p""")
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.when(F.col("page_id") % 5 == 0, "../").when(F.col("page_id") % 7 == 0, "/").otherwise("")
+    path = F.concat(lead, F.regexp_replace("url", "^https?://[^/]*/", ""))
+    # only what the pattern replaces gets the lead
+    path = F.when(F.col("url").rlike("^https?://[^/]*/"), path).otherwise(F.col("url"))
+    return A.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("safe", C.safe_path(F.col("path")))
+
+
+@query("SELECT event_id, json_valid(props) AS valid, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.try_parse_json("props")
+    return A.table(spark, sf_dir, "events").select("event_id", parsed.isNotNull().alias("valid"), F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
+
+
+@query("SELECT n_nationkey, n_name, ((('0x' || left(sha256(n_name), 16))::UBIGINT) % 2147483647)::INT AS seed FROM nation")
+def deterministic_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", C.seed(F.col("n_name")).alias("seed"))
+
+
+@query("""SELECT c_custkey, 'res://' || lower(c_mktsegment) || '/clip' AS path, 'Sprite sheet of ' || c_name || ': walk, ' || (c_nationkey + 1) || ' frames, facing left, transparent background, one row, equal cells.' AS prompt FROM customer""")
+def prefix_and_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = C.joined_prefix(F.concat(F.lit("res://"), F.lower("c_mktsegment"), F.lit("//")), F.lit("/clip/"))
+    return A.table(spark, sf_dir, "customer").select("c_custkey", path.alias("path"), C.prompt(F.col("c_name"), F.lit("walk"), F.col("c_nationkey") + 1, F.lit("left")).alias("prompt"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 10 AS a, least(5, greatest(2, s_nationkey))::INT AS clamped, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_nationkey * 10000 + (s_suppkey % 10) * 100 + 7)::INT END AS version FROM supplier""")
+def option_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.concat(F.lit("a="), (F.col("s_suppkey") % 10).cast("string"), F.lit(",b="), F.col("s_nationkey").cast("string"))
+    told = F.when(F.col("s_suppkey") % 3 == 0, F.lit("unknown")).otherwise(F.concat_ws(".", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 10).cast("string"), F.lit("7-rc1")))
+    v = C.version(told)
+    return A.table(spark, sf_dir, "supplier").select("s_suppkey", C.assignments(given)["a"].cast("long").alias("a"), C.clamped(C.assignments(given)["b"], F.lit(2), F.lit(5)).alias("clamped"), (v[0] * 10000 + v[1] * 100 + v[2]).alias("version"))
