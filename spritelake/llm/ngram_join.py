@@ -200,8 +200,7 @@ def search(sets: list[np.ndarray], asks: np.ndarray, answers: np.ndarray, num: i
     ends = np.append(starts[1:], len(held))
     for i in asks.tolist():
         at = np.searchsorted(terms, sets[i])
-        at = at[at < len(terms)] if len(terms) else at[:0]
-        at = at[np.isin(terms[at], sets[i], assume_unique=True)]
+        at = at[terms[np.minimum(at, len(terms) - 1)] == sets[i]]
         lists = sorted(zip((ends[at] - starts[at]).tolist(), starts[at].tolist(), strict=True))
         need = -(-num * int(size[i]) // den)
         if len(lists) < need:
