@@ -14,9 +14,9 @@ ranges one after another are one capture history in global order.
 Reading: an archive is read member by member; a revisit takes length and digest of the
 payload it refers to from its own header fields.
 
-Null payloads are empty ones, null URLs an empty target.  Ids may repeat: rows of one id and
-payload are each written, the first (by URL) as the response and the others as revisits of
-that id.  Payloads of any size go through one record at a time.  A task that is run again
+Null payloads are empty ones, null URLs an empty target.  Ids may repeat: every row is written,
+and rows that repeat the id and payload of a response are responses too.  Rows without an id
+are revisits where a row with an id has their payload.  Payloads of any size go through one record at a time.  A task that is run again
 writes under a new name, and only the archives named by its result are read.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import local_path, shared_dir, written
@@ -115,13 +115,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """(folder, index lines of the archives' locally sorted runs)."""
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary").alias("payload"))
-    sums = rows.select("id", "url", F.sha1("payload").alias("sha1"), F.length("payload").alias("n"))
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    sums = rows.select("id", "sha1", F.length("payload").alias("n"))
     firsts = sums.where(F.col("n") >= least).groupBy("sha1", "n").agg(F.min("id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND response IS NOT NULL")
     # only payloads that occur again are looked up; the rows carry ids and digests, never payloads
-    again = sums.join(firsts, ["sha1", "n"]).select("id", "url", "response")
-    rank = F.row_number().over(Window.partitionBy("id", "response").orderBy("url"))
-    again = again.withColumn("turn", rank).where("id <> response OR turn > 1 OR id IS NULL").select(F.col("id").alias("rid"), F.col("url").alias("rurl"), "response").dropDuplicates(["rid", "rurl"])
-    joined = rows.join(written(again), F.col("id").eqNullSafe(F.col("rid")) & (F.col("url") == F.col("rurl")), "left").select("id", "url", "payload", "response")
+    again = sums.join(firsts, ["sha1", "n"]).where("id IS NULL OR id <> response").select(F.col("id").alias("rid"), F.col("sha1").alias("rsha1"), "response").distinct()
+    joined = rows.join(written(again), F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha1")), "left").select("id", "url", "payload", "response")
     folder = shared_dir(spark)
     return folder, written(joined.mapInArrow(_write(local_path(folder)), INDEX))
 
