@@ -40,7 +40,7 @@ from .kneser_ney import _range, _save
 
 SPACE = "▁"
 BLOCK = 64
-UNITS_PER_PART = 500_000
+LATTICE_BYTES = 4 << 20  # of text a partition of units
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -326,9 +326,11 @@ def build(docs: DataFrame, text_col: str, table: PieceTable) -> Encoder:
     """Encodes every distinct unit of the texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    units = texts.mapInArrow(_distinct(table.inner), "unit string").select(F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("unit")).distinct()
-    path = viterbi(lattice(units, table), table)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # dealt out so finely that the edges of a partition's units fit in memory; the lattice keeps this partitioning
+    found = texts.mapInArrow(_distinct(table.inner), "unit string").select(F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("unit"))
+    units = found.repartition(max(1, -(-size // LATTICE_BYTES)), "unit").dropDuplicates(["unit"])
+    path = viterbi(lattice(units, table), table)
     parts = max(1, -(-size // (16 << 20)))
     at, inner = local_path(shared_dir(spark)), table.inner
 
