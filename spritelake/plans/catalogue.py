@@ -548,3 +548,48 @@ def option_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.col("s_suppkey") % 3 == 0, F.lit("unknown")).otherwise(F.concat_ws(".", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 10).cast("string"), F.lit("7-rc1")))
     v = C.version(told)
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", C.assignments(given)["a"].cast("long").alias("a"), C.clamped(C.assignments(given)["b"], F.lit(2), F.lit(5)).alias("clamped"), (v[0] * 10000 + v[1] * 100 + v[2]).alias("version"))
+
+
+# ---- assembly
+
+
+@query(f"""{SPARSE}, r AS (SELECT clip, least(CASE WHEN foot_x > x0 THEN 4.0::DOUBLE / (foot_x - x0) ELSE 'inf'::DOUBLE END, CASE WHEN x1 > foot_x THEN 2.0::DOUBLE / (x1 - foot_x) ELSE 'inf'::DOUBLE END,
+        CASE WHEN foot_y > y0 THEN 5.0::DOUBLE / (foot_y - y0) ELSE 'inf'::DOUBLE END, CASE WHEN y1 > foot_y THEN 1.0::DOUBLE / (y1 - foot_y) ELSE 'inf'::DOUBLE END) AS q FROM metrics)
+        SELECT clip, least(1.0, min(q))::DOUBLE AS scale FROM r GROUP BY clip""")
+def layout_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    return assembly.layout(_sparse(spark, sf_dir), (6, 6), (4, 5))
+
+
+@query("""WITH s AS (SELECT p_partkey, (p_size + 10)::INT AS w, (p_size % 7 + 4)::INT AS h FROM part) SELECT p_partkey, c::INT AS cell, (w * (c % 3) // 3)::INT AS x0, (h * (c // 3) // 2)::INT AS y0, (w * (c % 3 + 1) // 3)::INT AS x1, (h * (c // 3 + 1) // 2)::INT AS y1, ((w + 2) // 3)::INT AS canvas_w, ((h + 1) // 2)::INT AS canvas_h FROM s, range(0, 6) t(c)""")
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    sheets = A.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 10).alias("w"), (F.col("p_size") % 7 + 4).alias("h"))
+    return assembly.sheet_cells(sheets, 3, 2).drop("w", "h")
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, {SEQ} SELECT r.clip, ((seq - 1) // 9)::INT AS board, ((seq - 1) % 9 % 3 * 10 + 1 + x)::INT AS bx, ((seq - 1) % 9 // 3 * 10 + 1 + y)::INT AS by, r, g, b FROM raster r JOIN seqs USING (frame) WHERE a > 20""")
+def board_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import assembly
+
+    cut = A.boards(spark, sf_dir, A.MEDIUM)
+    px = cut.select("clip", "board", "cell", "w", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).select("clip", "board", "cell", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), "p.*")
+    return assembly.board_pixels(px.where("a > 20"), 3, 10, 8).select("clip", "board", "bx", "by", "r", "g", "b")
+
+
+@query()
+def rendered_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rig of plain parts, posed over two clips, composed and cut to the union of all boxes: size, digest."""
+    import numpy as np
+
+    from ..operators import assembly
+
+    parts = [(slot, joint, z, 4, 6, bytearray(np.full((6, 4, 4), (40 + 3 * z, 255 - 3 * z, 90, 255), np.uint8).tobytes()), 4 * px, 6 * py) for slot, joint, z, px, py in M.SLOTS]
+    parts = spark.createDataFrame(parts, "part string, joint string, z int, w int, h int, rgba binary, pivot_x double, pivot_y double")
+    keys = [(c, j, ch, k, t, v * (1 if c == "walk" else 2)) for c in ("walk", "attack") for j, ch, *kv in (("arm_front", "rotation", (0.0, 0.0), (0.5, 30.0), (1.0, 0.0)), ("root", "offset_y", (0.0, 0.0), (0.5, 2.0), (1.0, 0.0))) for k, (t, v) in enumerate(kv)]
+    clips = spark.createDataFrame([("walk", 8, True), ("attack", 6, False)], "clip string, frames int, loop boolean")
+    posed = assembly.poses(S.skeleton(spark), spark.createDataFrame(keys, "clip string, joint string, channel string, k int, t double, value double"), clips)
+    frames = assembly.cropped_clips(assembly.rendered(parts, posed, (64, 64), (32, 48)))
+    return frames.select("clip", "i", "w", "h", F.sha2("rgba", 256).alias("pixel_hash"))
