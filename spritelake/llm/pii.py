@@ -36,9 +36,13 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[/.-]\d)"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 SECRET = r"(?<!\w)[0-9a-f]{32,64}+(?!\w)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}+(?!\w)|(?<![\w+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w|-\d)"
+PHONE = (
+    r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+    r"|(?<![\w+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w|-\d)"
+)
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}+(?!\w|[.-]\d)"
+CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\w|[.-]\d)"
 ANY = "|".join((MAIL, DATE, IPV4, SECRET, PHONE, SSN, CARD))
 
 

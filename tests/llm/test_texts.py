@@ -149,6 +149,9 @@ def test_pseudonyms(spark, odd_docs, no_docs):
     assert re.fullmatch(r"key [0-9a-f]{40}", out[12]) and out[12] != texts[12]
     first = out[13].split()[0]
     assert int(first[:2]) > 12 and [len(x) for x in out[13].split()] == [10, 10, 10]
+    side = "a 4539148803436467 4485275742308327 b +1 (017) 555-7713 4539148803436467 10.1.2.3 +1 017 555 7713 c"
+    row = pii.pseudonymise(spark.createDataFrame([(1, side)], "doc_id long, text string")).first()["text"].split()
+    assert row[1:3] == fresh[:2] and row[7] == fresh[0] and "".join(row[4:7]) != "+1(017)555-7713" and re.sub(r"\D", "", "".join(row[4:7])) == re.sub(r"\D", "", "".join(row[9:13])) and row[8] != "10.1.2.3"
     odd = pii.pseudonymise(odd_docs)
     assert odd.schema.names == odd_docs.schema.names and odd.exceptAll(odd_docs).count() == 0 and pii.pseudonymise(no_docs).count() == 0
 
