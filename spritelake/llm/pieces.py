@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import local_path, shared_dir
+from ._shared import drop, local_path, shared_dir, written
 from ._tokens import U, Tokeniser, mix
 from .kneser_ney import _range, _save
 
@@ -244,8 +244,7 @@ def prepared(texts: pa.Array) -> pa.Array:
 def _distinct(inner: np.ndarray, most: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, seen = Units(inner), np.zeros(0, U)
-        for batch in batches:
-            texts = prepared(batch.column(0))
+        for texts in (prepared(b.column(0).slice(i, 500)) for b in batches for i in range(0, b.num_rows, 500)):
             data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)
             for lo, hi, h, _ in units.chunks(texts):
                 u, first = np.unique(h, return_index=True)
@@ -327,10 +326,10 @@ def build(docs: DataFrame, text_col: str, table: PieceTable) -> Encoder:
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # dealt out so finely that the edges of a partition's units fit in memory; the lattice keeps this partitioning
     found = texts.mapInArrow(_distinct(table.inner), "unit string").select(F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("unit"))
-    units = found.repartition(max(1, -(-size // LATTICE_BYTES)), "unit").dropDuplicates(["unit"])
-    path = viterbi(lattice(units, table), table)
+    units = written(found.distinct())
+    # dealt out so finely that the edges of a partition's units fit in memory; the lattice keeps this partitioning
+    path = viterbi(lattice(units.repartition(max(1, -(-size // LATTICE_BYTES)), "unit"), table), table)
     parts = max(1, -(-size // (16 << 20)))
     at, inner = local_path(shared_dir(spark)), table.inner
 
@@ -341,6 +340,7 @@ def build(docs: DataFrame, text_col: str, table: PieceTable) -> Encoder:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_range(h, parts))], ["unit", "ids", "part"])
 
     path.mapInArrow(hashed, "unit string, ids array<int>, part int").repartition(parts, "part").groupBy("part").applyInArrow(_store(at, inner), "part int, units long").agg(F.sum("units")).first()
+    drop(units)
     return Encoder(at, parts)
 
 
@@ -352,7 +352,7 @@ def encode(docs: DataFrame, text_col: str = "text", table: PieceTable | None = N
     i = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(inner, 4 << 20)
+        units = Units(inner)
         for batch in batches:
             for lo, hi, ids, n in encoded(batch.column(i), units, encoder):
                 null = pc.is_null(batch.column(i).slice(lo, hi - lo)).to_numpy(zero_copy_only=False)
@@ -366,11 +366,12 @@ def encode(docs: DataFrame, text_col: str = "text", table: PieceTable | None = N
 
 def encoded(texts: pa.Array, units: Units, encoder: Encoder) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, text after the last, ids, ids of each text)."""
-    for lo, hi, h, counts in units.chunks(prepared(texts)):
-        ids, n = encoder.ids(h)
-        total = np.concatenate([[0], np.cumsum(n)])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        yield lo, hi, ids, total[at[1:]] - total[at[:-1]]
+    for first in range(0, len(texts), 500):
+        for lo, hi, h, counts in units.chunks(prepared(texts.slice(first, 500))):
+            ids, n = encoder.ids(h)
+            total = np.concatenate([[0], np.cumsum(n)])
+            at = np.concatenate([[0], np.cumsum(counts)])
+            yield first + lo, first + hi, ids, total[at[1:]] - total[at[:-1]]
 
 
 class Decoder:
@@ -429,7 +430,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(inner, 2 << 20)
+        units = Units(inner)
         for batch in batches:
             texts = batch.column(1)
             clean = pc.fill_null(pc.replace_substring(texts, SPACE, " "), "")
