@@ -72,5 +72,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring)}
 
 
+#: Components of the pairs ``link(a, b)`` by recursive UNION; ``node(id)`` holds all ids.
+REACH = """both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link), walk AS (SELECT id AS root, id FROM node UNION SELECT w.root, e.b FROM walk w JOIN both_ways e ON e.a = w.id),
+        comp AS (SELECT root AS id, min(id) AS component_id FROM walk GROUP BY root), degree AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)"""
+
+JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        node AS (SELECT id FROM s), sh AS (SELECT id, unnest(s) AS g, len(s) AS n FROM s),
+        link AS (SELECT p.id AS a, q.id AS b FROM sh p JOIN sh q ON p.g = q.g AND p.id < q.id GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))), {REACH}
+        SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(n, 0)::BIGINT AS n_links FROM s JOIN comp USING (id) LEFT JOIN degree USING (id)"""
+
+COSINE = f"""WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), node AS (SELECT id FROM e),
+        f AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE v IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        link AS (SELECT p.id AS a, q.id AS b FROM f p JOIN f q ON p.label = q.label AND p.id < q.id AND len(p.v) = len(q.v) WHERE list_dot_product(p.v, q.v) / (p.n * q.n) >= 0.98), {REACH}
+        SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM comp LEFT JOIN degree USING (id)"""
+
+CAPTURES = r"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hx FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY hx) AS first, url,
+            array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5), lambda j: (((strpos('0123456789abcdef', substr(hx, ((5 * k + j) // 4 + 1)::INT, 1)) - 1) >> (3 - (5 * k + j) % 4)::INT) & 1) << (4 - j)::INT)))::INT, 1)), '') AS payload_digest,
+            lower(array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', ''), '.')), ',') || ')' || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), ''), '/') || CASE WHEN regexp_extract(url, '\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '\?([^#]*)', 1) ELSE '' END) AS url_key FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, url_key, (row_number() OVER (ORDER BY url_key, page_id) - 1)::BIGINT AS history_order FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; tests/llm holds the others against slow versions."""
+    return {"op5_ngram_jaccard_join": JACCARD, "op6_warc_index_merge": CAPTURES, "op7_pq_near_duplicates": COSINE}
