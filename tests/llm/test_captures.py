@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spritelake.llm import media, ngram_join, packing, pii, quality, vectors, warc
+from spritelake.llm import media, packing, pii, quality, vectors, warc
 
-from .conftest import words
 from .test_texts import jaccard, unions
 
 SF = "/root/testdata/sf0.001"
@@ -158,7 +157,7 @@ def test_pipeline(spark):
         room[r["bin_id"]] += r["length"]
     assert max(room.values()) <= packing.CAPACITY
     clean = {r["doc_id"] for r in labels.where("quality = 1").collect()} & text.keys()
-    assert clean <= good and words("a B") == ["a", "b"] and ngram_join.BLOCK
+    assert clean <= good
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, no_docs):
@@ -167,4 +166,4 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, no_docs):
             after = stage(spark, docs, SF)
             assert after.columns == docs.columns
             docs = after
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count() * 0
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
