@@ -14,8 +14,9 @@ so they stay linked; the text keeps its length unless a date is written without
 | date | the calendar, 1901 to 2096 | the day's number in that span |
 | IPv4 address | four numbers up to 255 | the four numbers |
 | mail address | host with a dot | letters and digits before the @ |
-| secret | 32 to 64 hex digits, letters among them | the hex digits |
+| secret | 32 to 64 hex digits in either case, letters among them | the hex digits, which keep their case |
 
+Hex digits that differ only by case are one value, so their pseudonyms differ at most by case.
 What isn't valid stays as it is.  Null texts stay null, empty ones empty; texts of any length
 are searched whole, and every pattern starts at a boundary and is of bounded length.  Other
 columns pass, whatever their names.
@@ -35,7 +36,7 @@ FIRST_DAY, DAYS = "1901-01-01", (147, 487)  # the 71,589 days of seven 28-year c
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[/.-]\d)"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-SECRET = r"(?<!\w)[0-9a-f]{32,64}+(?!\w)"
+SECRET = r"(?<!\w)[0-9A-Fa-f]{32,64}+(?!\w)"
 PHONE = (
     r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
@@ -184,8 +185,10 @@ def _mail(text: Column, key: str) -> Column:
 
 def _secret(text: Column, key: str) -> Column:
     numbers = F.transform(_characters(text), lambda c: F.conv(c, 16, 10).cast("int"))
-    fresh = F.array_join(F.transform(feistel(numbers, F.array_repeat(F.lit(16), F.length(text)), key, "secret"), lambda x: _at("0123456789abcdef", x)), "")
-    return F.when(text.rlike("[a-f]"), fresh).otherwise(text)
+    lower = text.rlike("[a-f]")  # without any, new letters are upper-case too
+    shown = lambda x, c: F.when(lower & ~c.rlike("[A-F]"), _at("0123456789abcdef", x)).otherwise(_at("0123456789ABCDEF", x))
+    fresh = F.array_join(F.zip_with(feistel(numbers, F.array_repeat(F.lit(16), F.length(text)), key, "secret"), _characters(text), shown), "")
+    return F.when(text.rlike("[A-Fa-f]"), fresh).otherwise(text)
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
@@ -200,7 +203,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """A text with its values replaced: the parts between the finds, and the pseudonyms, in turn."""
     # a cheap test first: without a mark of any kind there is nothing to find
-    candidate = text.rlike(r"@|\d[\d .()/-]{6}|[0-9a-f]{32}")
+    candidate = text.rlike(r"@|\d[\d .()/-]{6}|[0-9A-Fa-f]{32}")
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
     pieces = F.zip_with(F.split(text, ANY), found, lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
     return F.when(candidate, F.array_join(pieces, "")).otherwise(text)

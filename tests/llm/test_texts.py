@@ -156,6 +156,17 @@ def test_pseudonyms(spark, odd_docs, no_docs):
     assert odd.schema.names == odd_docs.schema.names and odd.exceptAll(odd_docs).count() == 0 and pii.pseudonymise(no_docs).count() == 0
 
 
+def test_secrets_in_either_case(spark):
+    token = "9233a8ec04dbebab91ab85687d33eeaa"
+    mixed = "9233A8ec04dbebab91ab85687d33eeaa"
+    texts = [f"TOKEN = {token.upper()}", f"token = {token}", f"token = {mixed}", "ID = " + "7" * 32, f"x{token.upper()}"]
+    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    fresh = [t.split()[-1] for t in out]
+    assert re.fullmatch("[0-9A-F]{32}", fresh[0]) and fresh[0] != token.upper() and fresh[1] == fresh[0].lower()
+    assert re.fullmatch("[0-9A-Fa-f]{32}", fresh[2]) and fresh[2] != mixed and fresh[2].lower() == fresh[1]
+    assert out[3:] == texts[3:]
+
+
 def test_feistel_is_a_permutation(spark):
     """All dates of two years and all three-digit numbers have different images of the same kind."""
     numbers = spark.range(1000).select(F.format_string("%03d", "id").alias("t"))
