@@ -137,6 +137,47 @@ def test_hamming_tables_find_all_near_descriptors():
     assert set(zip(a.tolist(), (b - 150).tolist(), strict=True)) == {tuple(x) for x in np.argwhere(apart < media.TABLES).tolist()}
 
 
+def textured(rng, n):
+    """A picture whose amplitudes fall with the frequency."""
+    f = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n))
+    f[0, 0] = 1
+    a = np.fft.ifft2(np.fft.fft2(rng.normal(size=(n, n))) / f).real
+    return (a - a.mean()) / a.std() * 50 + 128
+
+
+def found_copies(originals, edited):
+    """Pairs (i, j) of an original i and an edited copy j that are linked, and the number of other links."""
+    describer, n = media.Describer(), len(originals)
+    each = [describer.features(np.clip(a, 0, 255).astype(np.uint8)) for a in (*originals, *edited)]
+    rows = np.arange(len(each))
+    pairs = media.linked(np.concatenate(each), np.repeat(rows, [len(e) for e in each]), rows, rows)
+    right = (pairs[:, 1] - pairs[:, 0] == n).sum()
+    return right, len(pairs) - right
+
+
+@pytest.mark.parametrize("sigma", [3, 5, 10])
+@pytest.mark.parametrize("draw", [textured, lambda rng, n: picture(rng, n // 8)])
+def test_noisy_copies_are_found(draw, sigma):
+    rng = np.random.default_rng(11)
+    originals = [draw(rng, 96) for _ in range(20)]
+    assert found_copies(originals, [a + rng.normal(0, sigma, a.shape) for a in originals]) == (20, 0)
+
+
+def test_links_do_not_depend_on_blocks(spark, monkeypatch):
+    """A dense group is compared in small blocks and in few matches at a time alike."""
+    rng = np.random.default_rng(3)
+    a = textured(rng, 64)
+    images = [a + rng.normal(0, 2, a.shape) for _ in range(40)] + [textured(rng, 64) for _ in range(20)]
+    df = spark.createDataFrame([(i, 64, 64, bytearray(np.clip(x, 0, 255).astype(np.uint8).tobytes())) for i, x in enumerate(images)], "id long, w int, h int, pixels binary")
+    rows = lambda: sorted((r["id"], r["n_links"], r["component_id"]) for r in media.copies(df).collect())
+    whole = rows()
+    assert whole == [(i, 39, 0) if i < 40 else (i, 0, i) for i in range(60)]
+    monkeypatch.setattr(media, "BLOCK", 300)
+    monkeypatch.setattr(media, "HELD", 200)
+    monkeypatch.setattr(media, "CHUNK", 500)
+    assert rows() == whole
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bins = corpus_pipeline.run(spark, SF).collect()
