@@ -163,6 +163,13 @@ def test_noisy_copies_are_found(draw, sigma):
     assert found_copies(originals, [a + rng.normal(0, sigma, a.shape) for a in originals]) == (20, 0)
 
 
+def test_small_crops_of_large_pictures_are_found():
+    rng = np.random.default_rng(13)
+    originals = [textured(rng, 512) for _ in range(6)]
+    assert found_copies(originals, [a[203:331, 171:299] for a in originals]) == (6, 0)
+    assert found_copies(originals, [a[101:357, 131:387] + rng.normal(0, 3, (256, 256)) for a in originals]) == (6, 0)
+
+
 def test_links_do_not_depend_on_blocks(spark, monkeypatch):
     """A dense group is compared in small blocks and in few matches at a time alike."""
     rng = np.random.default_rng(3)
