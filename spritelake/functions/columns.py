@@ -167,8 +167,29 @@ def times_in_order(times: Column) -> Column:
     return F.coalesce(inside & rising, F.lit(False))
 
 
-def prompt(character: Column, clip: Column, frames: Column, direction: Column) -> Column:
-    return F.format_string("Sprite sheet of %s: %s, %d frames, facing %s, transparent background, one row, equal cells.", character, clip, frames, direction)
+# The text of the canonical sheet request, of which %s are filled in.
+PROMPT = (
+    "Use case: stylized-concept\n"
+    "Asset type: production candidate animation sheet for a 2D game\n"
+    "Primary request: generate exactly one complete %s animation sheet for %s, facing %s. The sheet contains exactly %s unique poses arranged in a %s-row by %s-column grid, read left-to-right across each row, then continue on the next row.\n"
+    "Input images: %s %s\n"
+    "Scene/backdrop: genuinely transparent background; if transparency is not possible, use one perfectly flat saturated green background #00ff00 with no texture or gradient\n"
+    "Subject: one consistent full-body character only; preserve the same face, hair, costume, weapons, silhouette, proportions, palette, camera distance, and baseline in every cell\n"
+    "Style/medium: dense authored native pixel art with crisp hard pixel clusters, no anti-aliasing, no painterly smoothing\n"
+    "Composition/framing: every cell has identical dimensions and camera framing; one pose per cell; generous empty margin; feet rest on one shared horizontal ground line; no crop or overlap into neighboring cells\n"
+    "Color palette: consistent restrained palette across all cells; no palette drift\n"
+    "Constraints: output only the animation sheet, no labels, no numbers, no borders, no UI, no watermark; keep all %s cells populated with distinct poses; preserve equipment attachment points\n"
+    "Avoid: checkerboard, black/gray/white backdrop, gradients, glow haze, light matte halo, extra characters, duplicated limbs, missing hands or feet, changing weapon length, front view, three-quarter view, camera zoom changes, random costume changes, interpolated duplicate holds\n"
+    "Motion: %s should read as a continuous loop with distinct contact, passing, weight-transfer, and recovery poses while maintaining one identity."
+)
+REFERENCE = ("Use the supplied identity reference image as Image 1.", "No reference image is supplied; establish one clear identity and keep it fixed.")
+GUIDE = ("Use the supplied pose guide as Image 2.", "Design a readable eight-phase motion arc across the cells.")
+
+
+def prompt(character: Column, clip: Column, frames: Column, direction: Column, rows: Column, columns: Column, reference: Column, guide: Column) -> Column:
+    """The request for a sheet; ``reference`` and ``guide`` tell whether such an image is supplied."""
+    frames, told = frames.cast("string"), lambda flag, texts: F.when(flag, texts[0]).otherwise(texts[1])
+    return F.format_string(PROMPT, clip, character, direction, frames, rows.cast("string"), columns.cast("string"), told(reference, REFERENCE), told(guide, GUIDE), frames, clip)
 
 
 def extension(engine: Column) -> Column:

@@ -13,8 +13,9 @@ class ConfigurationError(ValueError):
     """A document breaks a rule; the message names the first place in path order."""
 
 
-def strict_loads(text: str) -> object:
-    """JSON without NaN, infinities, overflow or repeated keys."""
+def strict_loads(text: str | bytes, unique: bool = False) -> object:
+    """JSON without NaN, infinities or numbers that overflow.  Of a repeated key the last value
+    counts; with ``unique`` it is an error, and so is a root that is no object."""
 
     def refuse(token: str) -> None:
         raise ConfigurationError(f"{token} is not allowed")
@@ -30,7 +31,10 @@ def strict_loads(text: str) -> object:
             raise ConfigurationError("a key occurs twice")
         return dict(pairs)
 
-    return json.loads(text, parse_constant=refuse, parse_float=number, object_pairs_hook=once)
+    value = json.loads(text, parse_constant=refuse, parse_float=number, object_pairs_hook=once if unique else None)
+    if unique and not isinstance(value, dict):
+        raise ConfigurationError("not an object")
+    return value
 
 
 def check(value: object, rule: object, at: str = "$") -> None:
@@ -61,9 +65,12 @@ def check(value: object, rule: object, at: str = "$") -> None:
 
 PROFILE = {
     "id": str, "kind": {"character", "prop", "effect"}, "directions": [str],
-    "tiers": {"*": {"canvasPolicy": {"fixed", "union"}, "canvas?": [int], "anchor?": [int], "padding?": int, "filtering?": {"nearest", "box", "lanczos"}, "allowUpscale?": bool, "preservePlacement?": bool}},
-    "animations": {"*": {"minFrames": int, "maxFrames": int, "fps": float, "loop": bool}},
-    "quality": {"alphaThreshold": int, "palette?": {"maxColors": int, "lockAcrossClip?": bool}, "anchor?": {"maxFootDrift": int}},
+    "tiers": {"*": {"canvasPolicy": {"fixed", "union"}, "canvas?": [int], "anchor?": [int], "contentMin?": [int], "contentMax?": [int], "padding?": int, "filtering?": {"nearest", "box", "lanczos"}, "downscaleFiltering?": {"nearest", "box", "lanczos"}, "allowUpscale?": bool, "preservePlacement?": bool}},
+    "animations": {"*": {"minFrames": int, "maxFrames": int, "fps": float, "loop": bool, "identity?": {"maxHeightDriftRatio?": float, "maxWidthDriftRatio?": float}, "anchor?": {"maxFootDrift": int}}},
+    "quality": {
+        "alphaThreshold": int, "palette?": {"maxColors": int, "lockAcrossClip?": bool}, "anchor?": {"maxFootDrift": int}, "identity?": {"maxHeightDriftRatio?": float, "maxWidthDriftRatio?": float},
+        "edgeMatte?": {"minRgb?": int, "maxChannelSpread?": int, "maxLayers?": int, "maxPixels?": int}, "background?": {"tolerance?": int, "maxRepairableEnclosedComponentPixels?": int, "maxEnclosedTransparentPixels?": int},
+    },
     "export": {"engine": {"web", "godot"}, "resourcePrefix": str},
 }
 

@@ -51,7 +51,7 @@ def layout(metrics: DataFrame, canvas: tuple[int, int], anchor: tuple[int, int],
 def placed(metrics: DataFrame, solved: DataFrame, anchor: tuple[int, int]) -> DataFrame:
     """Where each frame's box goes on its canvas."""
     at = lambda c, foot, a: F.floor(a - (F.col(foot) - F.col(c)) * F.col("scale") + 0.5).cast("int")
-    return metrics.join(F.broadcast(solved), "clip").select("frame", "clip", "scale", at("x0", "foot_x", anchor[0]).alias("left"), at("y0", "foot_y", anchor[1]).alias("top"))
+    return metrics.join(solved, "clip").select("frame", "clip", "scale", at("x0", "foot_x", anchor[0]).alias("left"), at("y0", "foot_y", anchor[1]).alias("top"))
 
 
 def board_pixels(pixels: DataFrame, columns: int, cell: int, inner: int) -> DataFrame:
@@ -128,17 +128,19 @@ def poses(joints: DataFrame, keys: DataFrame, clips: DataFrame) -> DataFrame:
     frames, loop.  Keys are interpolated by an interval join, then the tree is walked one level a
     step, as many steps as it has levels.
     """
-    times = clips.select("clip", F.posexplode(S.sample_times(F.col("frames"), F.col("loop"))).alias("i", "at"))
+    times = clips.select("clip", "loop", F.posexplode(S.sample_times(F.col("frames"), F.col("loop"))).alias("i", "at"))
     tracks = keys.select("clip", "joint", "channel").distinct()
-    values = S.interpolated(keys, tracks.join(times, "clip").select("clip", "joint", "channel", "at").distinct(), ["clip", "joint", "channel"])
+    values = S.interpolated(keys, tracks.join(times, "clip").select("clip", "joint", "channel", "loop", "at").distinct(), ["clip", "joint", "channel"])
     wide = values.groupBy("clip", "joint", "at").agg(*(F.coalesce(F.max(F.when(F.col("channel") == c, F.col("value"))), F.lit(0.0)).alias(c) for c in ("rotation", "offset_x", "offset_y")))
-    local = joints.crossJoin(times).join(wide, ["clip", "joint", "at"], "left").select("clip", "i", "joint", "parent", (F.col("angle") + F.coalesce("rotation", F.lit(0.0))).alias("angle"), (F.col("ox") + F.coalesce("offset_x", F.lit(0.0))).alias("ox"), (F.col("oy") + F.coalesce("offset_y", F.lit(0.0))).alias("oy"))
+    # every joint has a pose at every sample; a rig's joints are a few dozen rows
+    rig = F.lit(0).alias("rig")
+    local = joints.select("*", rig).join(times.drop("loop").select("*", rig), "rig").drop("rig").join(wide, ["clip", "joint", "at"], "left").select("clip", "i", "joint", "parent", (F.col("angle") + F.coalesce("rotation", F.lit(0.0))).alias("angle"), (F.col("ox") + F.coalesce("offset_x", F.lit(0.0))).alias("ox"), (F.col("oy") + F.coalesce("offset_y", F.lit(0.0))).alias("oy"))
     found = level = local.where("parent IS NULL").select("clip", "i", "joint", "angle", F.col("ox").alias("x"), F.col("oy").alias("y"))
     depth = S.world_transforms(joints).agg(F.max("depth")).first()[0] or 0
     for _ in range(depth):
         up = level.select("clip", "i", F.col("joint").alias("parent"), F.col("angle").alias("pa"), F.col("x").alias("px"), F.col("y").alias("py"))
         t = F.radians("pa")
-        level = local.join(up, ["clip", "i", "parent"]).select("clip", "i", "joint", (F.col("pa") + F.col("angle")).alias("angle"), (F.col("px") + F.col("ox") * F.cos(t) - F.col("oy") * F.sin(t)).alias("x"), (F.col("py") + F.col("ox") * F.sin(t) + F.col("oy") * F.cos(t)).alias("y"))
+        level = local.join(up, ["clip", "i", "parent"]).select("clip", "i", "joint", (F.col("pa") + F.col("angle")).alias("angle"), (F.col("px") + F.col("ox") * F.cos(t) + F.col("oy") * F.sin(t)).alias("x"), (F.col("py") - F.col("ox") * F.sin(t) + F.col("oy") * F.cos(t)).alias("y"))
         found = found.unionByName(level)
     return found
 

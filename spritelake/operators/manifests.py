@@ -64,31 +64,6 @@ def exactly_one(rows: DataFrame, keys: list[str]) -> DataFrame:
     return per.withColumn("n", F.when(F.col("n") == 1, F.col("n")).otherwise(F.raise_error(F.lit("not exactly one match")).cast("long")))
 
 
-#: Slots of a rig: (slot, joint, z, pivot x, pivot y), and their mirror pairs.
-SLOTS = [("head", "head", 50, 0.5, 0.9), ("torso", "torso", 40, 0.5, 0.9), ("front_arm", "arm_front", 60, 0.5, 0.1), ("back_arm", "arm_back", 10, 0.5, 0.1), ("front_leg", "leg_front", 30, 0.5, 0.1), ("back_leg", "leg_back", 20, 0.5, 0.1)]
-MIRRORS = [("front_arm", "back_arm"), ("front_leg", "back_leg")]
-ALIASES = [("skull", "head"), ("body", "torso"), ("arm_f", "front_arm"), ("arm_b", "back_arm"), ("leg_f", "front_leg"), ("leg_b", "back_leg")]
-
-
-def slotted(parts: DataFrame, name: str) -> DataFrame:
-    """Parts with slot, joint, z and pivot by alias; the dimensions are literals of a few rows."""
-    spark = parts.sparkSession
-    aliases = F.broadcast(spark.createDataFrame(ALIASES, "alias string, canonical string"))
-    slots = F.broadcast(spark.createDataFrame(SLOTS, "slot string, joint string, z int, pivot_x double, pivot_y double"))
-    canonical = parts.join(aliases, F.col(name) == F.col("alias"), "left").withColumn("slot", F.coalesce("canonical", F.col(name))).drop("alias", "canonical")
-    return canonical.join(slots, "slot", "left")
-
-
-def with_mirrors(parts: DataFrame) -> DataFrame:
-    """Adds the missing member of each mirror pair as a darkened copy of the other (derived is true)."""
-    spark = parts.sparkSession
-    pairs = F.broadcast(spark.createDataFrame(MIRRORS + [(b, a) for a, b in MIRRORS], "slot string, other string"))
-    own = parts.select("owner", "slot").distinct()
-    made = own.join(pairs, "slot").select("owner", F.col("other").alias("slot"), F.col("slot").alias("from_slot"))
-    made = made.join(own, ["owner", "slot"], "left_anti")
-    return own.select("owner", "slot", F.lit(None).cast("string").alias("from_slot"), F.lit(False).alias("derived")).unionByName(made.withColumn("derived", F.lit(True)))
-
-
 def unmapped(components: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     """Components without a mapping and mappings without a component."""
     a = components.join(mapping, key, "left_anti").select(key, F.lit("unmapped").alias("state"))

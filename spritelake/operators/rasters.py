@@ -32,13 +32,14 @@ def _y(i: Column) -> Column:
     return F.floor(i / F.col("w")).cast("int")
 
 
-def frame_metrics(pixels: DataFrame, threshold: int = 20) -> DataFrame:
-    """Half-open box, size, foot point, opaque pixels and distinct opaque colours of each frame with any."""
-    opaque = pixels.where(F.col("a") > threshold)
-    out = opaque.groupBy("frame", "clip").agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"),
-        F.count(F.lit(1)).alias("opaque"), F.count_distinct(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("colors"),
-    )
+def frame_metrics(packed: DataFrame, threshold: int = 20) -> DataFrame:
+    """Half-open box, size, foot point, opaque pixels and distinct opaque colours of each frame with any, within the row."""
+    found = F.filter(_places(), lambda i: F.get(F.col("a"), i) > threshold)
+    # a place's x and y lie in one number, so one pass finds each extreme
+    ys = F.transform(F.array(F.array_min(found), F.array_max(found)), _y)
+    xs = F.transform(found, _x)
+    colours = F.array_distinct(F.transform(found, lambda i: F.get(F.col("r"), i) * 65536 + F.get(F.col("g"), i) * 256 + F.get(F.col("b"), i)))
+    out = packed.where(F.exists("a", lambda a: a > threshold)).select("frame", "clip", F.array_min(xs).alias("x0"), ys[0].alias("y0"), (F.array_max(xs) + 1).alias("x1"), (ys[1] + 1).alias("y1"), F.size(found).cast("long").alias("opaque"), F.size(colours).cast("long").alias("colors"))
     return out.select("frame", "clip", "x0", "y0", "x1", "y1", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), F.floor((F.col("x0") + F.col("x1") - 1) / 2).cast("int").alias("foot_x"), (F.col("y1") - 1).alias("foot_y"), "opaque", "colors")
 
 
@@ -161,13 +162,21 @@ def palette_gate(pixels: DataFrame, most: int, samples: int) -> DataFrame:
     return out.withColumn("needs_palette", F.col("colors") > most)
 
 
-def mode_colour(pixels: DataFrame) -> DataFrame:
-    """The colour most frequent among opaque pixels next to a transparent one; ties go to higher brightness, then to the larger colour."""
-    clear = pixels.where("a <= 20").select("frame", F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in AROUND))).alias("p")).select("frame", "p.x", "p.y").distinct()
-    edge = pixels.where("a > 20").join(clear, ["frame", "x", "y"], "left_semi")
-    counts = edge.groupBy("frame", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by(F.struct("r", "g", "b", "n"), F.struct("n", C.luma(F.col("r"), F.col("g"), F.col("b")).alias("l"), "r", "g", "b"))
-    return counts.groupBy("frame").agg(best.alias("x")).select("frame", "x.r", "x.g", "x.b", "x.n")
+def mode_colour(packed: DataFrame, threshold: int = 20) -> DataFrame:
+    """The colour (alpha included) most frequent among opaque pixels next to a transparent one; ties go to
+    higher alpha, to higher brightness, then to the larger colour.  Only these pixels leave the row."""
+
+    def beside(i: Column) -> Column:
+        out = F.lit(False)
+        for dx, dy in AROUND:
+            out = out | (F.coalesce(at("a", _x(i) + dx, _y(i) + dy), F.lit(255)) <= threshold)
+        return out
+
+    edge = F.filter(_places(), lambda i: (F.get(F.col("a"), i) > threshold) & beside(i))
+    pixel = F.transform(edge, lambda i: F.struct(*(F.get(F.col(c), i).alias(c) for c in "rgba")))
+    counts = packed.select("frame", F.explode(pixel).alias("p")).groupBy("frame", "p").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct("n", "p.a", C.luma(F.col("p.r"), F.col("p.g"), F.col("p.b")).alias("l"), "p.r", "p.g", "p.b")
+    return counts.groupBy("frame").agg(F.max(rank).alias("x")).select("frame", "x.r", "x.g", "x.b", "x.a", "x.n")
 
 
 def nearest(r: Column, g: Column, b: Column, palette: list[tuple[int, int, int]]) -> Column:
@@ -214,17 +223,20 @@ def voronoi(pixels: DataFrame, seeds: list[tuple[str, float, float, float]]) ->
     return pixels.where("a > 20").withColumn("part", F.array_min(F.array(*score))["part"])
 
 
-def board_cells(boards: DataFrame) -> DataFrame:
-    """Opaque pixels, occupancy against the identity cell 0 and overlap with it, for each cell of a board."""
-    cells = boards.select("clip", "board", "cell", "a", F.size(F.filter("a", lambda v: v > 20)).cast("long").alias("opaque"))
-    identity = cells.where("cell = 0").select("clip", "board", F.col("a").alias("a0"), F.col("opaque").alias("opaque0"))
-    joined = cells.join(identity, ["clip", "board"])
-    return joined.select("clip", "board", "cell", "opaque", F.when(F.col("opaque0") > 0, F.col("opaque") / F.col("opaque0")).otherwise(F.when(F.col("opaque") == 0, 1.0)).alias("occupancy"), iou(F.col("a"), F.col("a0")).alias("iou"))
+def board_cells(generated: DataFrame, target: DataFrame) -> DataFrame:
+    """Opaque pixels, occupancy and overlap of each cell against the same cell of the target.
+
+    Where the target is empty the occupancy is 1 for an empty cell and infinite for any other.
+    """
+    count = lambda c: F.size(F.filter(c, lambda v: v > 20)).cast("long")
+    joined = generated.select("board", "cell", "a", count("a").alias("opaque")).join(target.select("board", "cell", F.col("a").alias("ta"), count("a").alias("wanted")), ["board", "cell"])
+    occupancy = F.when(F.col("wanted") > 0, F.col("opaque") / F.col("wanted")).when(F.col("opaque") == 0, 1.0).otherwise(float("inf"))
+    return joined.select("board", "cell", "opaque", occupancy.alias("occupancy"), iou(F.col("a"), F.col("ta")).alias("iou"))
 
 
 def board_totals(cells: DataFrame) -> DataFrame:
-    """Totals by board, clip and overall in one pass."""
-    return cells.rollup("clip", "board").agg(F.sum("opaque").alias("opaque"), F.count(F.lit(1)).alias("cells"), F.min("iou").alias("least_iou"))
+    """Totals by board, shelf of 100 boards and overall in one pass."""
+    return cells.withColumn("shelf", F.floor(F.col("board") / 100).cast("int")).rollup("shelf", "board").agg(F.sum("opaque").alias("opaque"), F.count(F.lit(1)).alias("cells"), F.min("iou").alias("least_iou"))
 
 
 def grid_for(cells: int, most: int = 12) -> Column:

@@ -12,31 +12,38 @@ def sample_times(n: Column, loop: Column) -> Column:
     return F.when(n == 1, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / steps))
 
 
-def interpolated(keys: DataFrame, times: DataFrame, track: list[str], smooth: bool = False) -> DataFrame:
-    """Values of tracks at times: track, t, value.
-
-    ``keys``: track, k, t, value in order of k; ``times``: track, at.  Each key and the next make a
-    segment; of several that hold a time the first counts, so equal key times are a jump.
-    Before the first and after the last key the value stays.  Times are joined to segments by
-    track and range in one equi-join, and each track's keys stay with it.
+def interpolated(keys: DataFrame, times: DataFrame, track: list[str], smooth: bool = False, default: float = 0.0) -> DataFrame:
+    """Values of tracks at times: track, at, value for each row of ``times``.
+
+    ``keys``: track, k, t, value in order of k; ``times``: track, at and, optionally, loop.  A
+    loop's times count modulo 1, others are held within 0..1, and at 1 the last key counts.
+    Between two keys the value runs from one to the other; at a key's time the first key of that
+    time counts.  Before the first and after the last key the value stays, and a track without
+    keys has the default.  Keys and times are sorted together by track, so each time meets the
+    keys beside it and no others.
     """
+    loop = F.coalesce("loop", F.lit(False)) if "loop" in times.columns else F.lit(False)
+    held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("at")))
+    asked = times.select(*track, "at", F.when(loop, F.pmod("at", F.lit(1.0))).when(held >= 1, F.lit(float("inf"))).otherwise(held).alias("t"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("value"))
+    both = keys.select(*track, F.lit(None).cast("double").alias("at"), F.col("t").cast("double"), F.col("k").cast("long"), F.col("value").cast("double")).unionByName(asked)
+    both = both.withColumn("key", F.when(F.col("k").isNotNull(), F.struct("t", "value")))
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in track)} ORDER BY t, k NULLS FIRST)"
+    beside = both.select("*", F.expr(f"lag(key) IGNORE NULLS {over}").alias("a"), F.expr(f"lead(key) IGNORE NULLS {over}").alias("b")).where("k IS NULL")
+    share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    eased = 0.5 - 0.5 * F.cos(share * F.lit(3.141592653589793)) if smooth else share
+    value = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull(), F.col("a.value")).otherwise(F.col("a.value") + (F.col("b.value") - F.col("a.value")) * eased)
+    return beside.select(*track, "at", F.coalesce(value, F.lit(default)).alias("value"))
+
+
+def least_frames(keys: DataFrame, track: list[str], loop: Column) -> DataFrame:
+    """Frames a track needs so that no motion is skipped: 1 if it loops or never moves, 3 if it moves
+    between equal ends, else 2.  A clip needs the most of its tracks."""
     order = Window.partitionBy(*track).orderBy("k")
-    nxt = keys.withColumn("t1", F.lead("t").over(order)).withColumn("v1", F.lead("value").over(order)).withColumn("before", F.lag("t").over(order))
-    low = F.when(F.col("before").isNull(), float("-inf")).otherwise(F.col("t"))
-    segments = nxt.select(*track, "k", low.alias("low"), F.coalesce("t1", F.lit(float("inf"))).alias("high"), "t", "value", "t1", "v1")
-    hit = times.join(segments, track).where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
-    share = F.when(F.col("t1").isNull() | (F.col("at") <= F.col("t")), 0.0).when(F.col("t1") == F.col("t"), 1.0).otherwise((F.col("at") - F.col("t")) / (F.col("t1") - F.col("t")))
-    eased = (1 - F.cos(share * F.lit(3.141592653589793))) / 2 if smooth else share
-    value = F.when(F.col("v1").isNull(), F.col("value")).otherwise(F.col("value") + (F.col("v1") - F.col("value")) * eased)
-    return hit.withColumn("x", value).groupBy(*track, "at").agg(F.min_by("x", "k").alias("value"))
-
-
-def least_frames(keys: DataFrame, track: list[str]) -> DataFrame:
-    """Frames a track needs: 1 if it never moves, 2 if only its ends differ, 3 if a key between leaves their line of values."""
-    close = lambda a, b: F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
-    per = keys.groupBy(*track).agg(F.min_by("value", "k").alias("first"), F.max_by("value", "k").alias("last"), F.collect_list("value").alias("values"))
-    inner = F.exists("values", lambda v: ~close(v, F.col("first")) & ~close(v, F.col("last")))
-    return per.select(*track, F.when(inner, 3).when(~close(F.col("first"), F.col("last")), 2).otherwise(1).alias("frames"))
+    first, value = F.first("value").over(order), F.col("value")
+    away = F.abs(value - first) > F.lit(1e-9) * F.greatest(F.abs(value), F.abs(first))
+    rows = keys.select(*track, "k", loop.alias("_loop"), away.alias("away"), F.lead("k").over(order).isNotNull().alias("inner"))
+    per = rows.groupBy(*track).agg(F.bool_or("_loop").alias("_loop"), F.bool_or("away").alias("moves"), F.bool_or(F.col("away") & F.col("inner")).alias("between"), F.max_by("away", "k").alias("apart"))
+    return per.select(*track, F.when(F.col("_loop") | ~F.col("moves"), 1).when(F.col("between") & ~F.col("apart"), 3).otherwise(2).alias("frames"))
 
 
 def broken_ordinals(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -60,7 +67,8 @@ def skeleton(spark: SparkSession, joints: list[tuple] = SKELETON) -> DataFrame:
 
 
 def world_transforms(joints: DataFrame) -> DataFrame:
-    """joint, depth, angle, x, y of a tree from its root on: offsets are turned by the parent's angle.
+    """joint, depth, angle, x, y of a tree from its root on: offsets are turned by the parent's angle,
+    counter-clockwise where y points down.
 
     The recursion ends with the tree; a joint that a cycle or a missing parent keeps from the root
     is not in the result, so counting tells whether the graph is one tree.
@@ -73,8 +81,8 @@ def world_transforms(joints: DataFrame) -> DataFrame:
             SELECT joint, 0, angle, ox, oy FROM {name} WHERE parent IS NULL
             UNION ALL
             SELECT j.joint, w.depth + 1, w.angle + j.angle,
-                   w.x + j.ox * cos(radians(w.angle)) - j.oy * sin(radians(w.angle)),
-                   w.y + j.ox * sin(radians(w.angle)) + j.oy * cos(radians(w.angle))
+                   w.x + j.ox * cos(radians(w.angle)) + j.oy * sin(radians(w.angle)),
+                   w.y - j.ox * sin(radians(w.angle)) + j.oy * cos(radians(w.angle))
             FROM world w JOIN {name} j ON j.parent = w.joint)
         SELECT * FROM world""")
     return out

@@ -7,7 +7,7 @@ row a pixel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDE = 8
@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    """frame, clip, w, h and arrays r, g, b, a in row order."""
+def packed(spark: SparkSession, sf_dir: str, threshold: float | Column) -> DataFrame:
+    """frame, clip, w, h and arrays r, g, b, a in row order; the threshold may depend on the frame."""
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("clip"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     q = F.transform("v", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (v + 1) * 128))).cast("int"))
     base = base.withColumn("r", q)
@@ -38,15 +38,46 @@ def pixels(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     return exploded(packed(spark, sf_dir, threshold))
 
 
-def with_seq(frames: DataFrame) -> DataFrame:
-    """Adds seq, the frame's place in its clip from 1."""
-    return frames.withColumn("seq", F.row_number().over(Window.partitionBy("clip").orderBy("frame")))
+def boards(spark: SparkSession, sf_dir: str, threshold: float | Column) -> DataFrame:
+    """Nine frames as a board of 3 x 3 cells: adds board and cell, from the frame's number alone."""
+    return packed(spark, sf_dir, threshold).select("*", F.floor(F.col("frame") / 9).cast("int").alias("board"), (F.col("frame") % 9).cast("int").alias("cell"))
 
 
-def boards(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    """Nine frames of a clip as a board of 3 x 3 cells: adds board and cell."""
-    cut = with_seq(packed(spark, sf_dir, threshold))
-    return cut.select("*", F.floor((F.col("seq") - 1) / 9).cast("int").alias("board"), ((F.col("seq") - 1) % 9).alias("cell"))
+GROUND, DRIFTED, GUIDE = 0xC8D2DC, 0xE6F0FA, 0x46688A
+
+
+def board_triples(spark: SparkSession, sf_dir: str, threshold: float | Column) -> DataFrame:
+    """Whole boards for grading: board, w, h, frames, given, target, made.
+
+    Seven poses follow the identity, the last cell is empty.  Inputs show guides for poses.  What is
+    made depends on the board's number: the target (0), a cell lacking (1), the input (2), another
+    background (3), other colours of the identity (4), an unused cell filled (5), a cell flooded (6)
+    or turned about (7).
+    """
+    cells = boards(spark, sf_dir, threshold).groupBy("board").agg(F.sort_array(F.collect_list(F.struct("cell", "r", "g", "b", "a"))).alias("c")).where(F.size("c") == 9)  # nine rows a board
+    side = 3 * SIDE
+    places = F.sequence(F.lit(0), F.lit(side * side - 1))
+    cell = lambda p: F.floor(p / side / SIDE).cast("int") * 3 + F.floor(p % side / SIDE).cast("int")
+    inner = lambda p: F.floor(p / side).cast("int") % SIDE * SIDE + p % SIDE
+
+    def colour(k: Column, i: Column, other: Column | None = None) -> Column:
+        of = lambda c: F.get(F.col("c")[k][c], i)
+        shown = F.shiftleft(of("r"), 16) + F.shiftleft(of("g"), 8) + of("b")
+        return F.when(of("a") > 20, shown if other is None else F.when(k > 0, other).otherwise(shown)).otherwise(F.lit(GROUND))
+
+    empty = lambda k, x: F.when(k == 8, F.lit(GROUND)).otherwise(x)
+    image = lambda f: F.transform(places, lambda p: f(cell(p), inner(p)))
+    kind = F.pmod("board", F.lit(8))
+
+    def made(k: Column, i: Column) -> Column:
+        target, guide = empty(k, colour(k, i)), empty(k, colour(k, i, F.lit(GUIDE)))
+        clear = target == GROUND
+        return (
+            F.when((kind == 1) & (k == 2), F.lit(GROUND)).when(kind == 2, guide).when((kind == 3) & clear, F.lit(DRIFTED)).when((kind == 4) & (k == 0) & ~clear, F.lit(0xFFFFFF) - target)
+            .when((kind == 5) & (k == 8), colour(k, i)).when((kind == 6) & (k == 1), F.lit(0)).when((kind == 7) & (k == 3), colour(k, F.lit(SIDE * SIDE - 1) - i)).otherwise(target)
+        )
+
+    return cells.select("board", F.lit(side).alias("w"), F.lit(side).alias("h"), F.lit(7).alias("frames"), image(lambda k, i: empty(k, colour(k, i, F.lit(GUIDE)))).alias("given"), image(lambda k, i: empty(k, colour(k, i))).alias("target"), image(made).alias("made"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.configuration import strict_loads
 from .png import BadImage, decode
 
 IGNORED = ("contact.png", "preview.png")  # fixed names of overviews
@@ -99,17 +100,30 @@ def texts(found: DataFrame) -> DataFrame:
 
 
 def strict_json(text: Column) -> Column:
-    """A variant, or null for what isn't strict JSON: repeated keys, NaN, infinities and text after it."""
+    """A variant, or null for what isn't JSON with keys that occur once: repeated keys, NaN, infinities and text after it."""
     return F.try_parse_json(text)
 
 
-def json_objects(found: DataFrame) -> DataFrame:
-    """Strict JSON objects of files, numbers that overflow and other roots being errors."""
-    value = strict_json(F.col("content").cast("string"))
-    parsed = found.select("path", F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("text"), value.alias("value"))
-    endless = F.coalesce(F.to_json("value").rlike(r"(?i)\binfinity\b|1\.7976931348623157E309"), F.lit(False)) | F.col("text").rlike(r"[0-9][eE]\+?[0-9]*(?:[4-9]\d\d|3[1-9]\d|309|\d{4,})\b")
-    fault = F.when(F.col("value").isNull(), "not strict JSON").when(~F.startswith(F.ltrim("text"), F.lit("{")), "not an object").when(endless, "number out of range")
-    return parsed.select("path", "sha256", "value", fault.alias("error"))
+def json_objects(found: DataFrame, unique: bool = False) -> DataFrame:
+    """path, sha256, value, error of JSON files; numbers that overflow, NaN, infinities and roots that are
+    no objects are errors, and with ``unique`` repeated keys too (else the last one counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors = [], []
+            for data in batch.column(1).to_pylist():
+                text = error = None
+                try:
+                    value = strict_loads(data, unique)
+                    text, error = (json.dumps(value), None) if isinstance(value, dict) else (None, "not an object")
+                except (ValueError, TypeError, RecursionError) as fault:
+                    error = f"not strict JSON: {fault}"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "sha256", "text", "error"])
+
+    parsed = found.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInArrow(run, "path string, sha256 string, text string, error string")
+    return parsed.select("path", "sha256", F.try_parse_json("text").alias("value"), "error")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKER = ".spritelake-owned"
@@ -33,14 +33,22 @@ def registry(frames: DataFrame) -> DataFrame:
     return paths.select("character", "json")
 
 
-def resource_lines(frames: DataFrame, clips: DataFrame) -> DataFrame:
-    """Lines of a sprite resource: one external texture a frame, numbered from 1, then each clip with loop and speed."""
-    n = F.row_number().over(Window.orderBy("clip", "seq"))
-    numbered = frames.select("clip", "seq", "path", n.alias("id"))
-    head = numbered.select(F.col("id").alias("line"), F.format_string('[ext_resource type="Texture2D" path="%s" id="%d"]', "path", "id").alias("text"))
-    ids = numbered.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("seq", "id")))["id"].alias("ids"))
-    body = ids.join(clips, "clip").select((F.row_number().over(Window.orderBy("clip")) + 1_000_000_000).alias("line"), F.format_string('{"name": "%s", "loop": %s, "speed": %s, "frames": [%s]}', "clip", F.col("loop").cast("string"), F.col("fps").cast("string"), F.array_join(F.col("ids").cast("array<string>"), ", ")).alias("text"))
-    return head.unionByName(body).orderBy("line")
+def sprite_resources(frames: DataFrame, clips: DataFrame) -> DataFrame:
+    """clip, text: a text resource for each clip (clip, loop, fps) with its frames (clip, seq, path) in order.
+
+    The head counts the textures, which are numbered from 1; the one animation refers to them by
+    number.  One row holds what one file holds.
+    """
+    per = frames.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("seq", "path")))["path"].alias("paths")).join(clips, "clip")
+    number = lambda i: (i + 1).cast("string")
+    textures = F.transform("paths", lambda p, i: F.concat(F.lit('[ext_resource type="Texture2D" path="'), p, F.lit('" id="'), number(i), F.lit('"]')))
+    shown = F.transform("paths", lambda _, i: F.concat(F.lit('{"duration": 1.0, "texture": ExtResource("'), number(i), F.lit('")}')))
+    speed = F.col("fps").cast("double").cast("string")
+    text = F.concat(
+        F.lit('[gd_resource type="SpriteFrames" load_steps='), (F.size("paths") + 1).cast("string"), F.lit(" format=3]\n\n"), F.array_join(textures, "\n"), F.lit('\n\n[resource]\nanimations = [{\n"frames": ['),
+        F.array_join(shown, ", "), F.lit('],\n"loop": '), F.col("loop").cast("string"), F.lit(',\n"name": &"'), "clip", F.lit('",\n"speed": '), speed, F.lit("\n}]\n"),
+    )
+    return per.select("clip", text.alias("text"))
 
 
 def canonical_json(value: object) -> bytes:

@@ -83,7 +83,7 @@ def test_poses_follow_parents(spark):
     joints = S.skeleton(spark, [("root", None, 0.0, 0.0, 90.0), ("tip", "root", 10.0, 0.0, 0.0)])
     keys = spark.createDataFrame([("c", "root", "rotation", 0, 0.0, 0.0), ("c", "root", "rotation", 1, 1.0, 90.0)], "clip string, joint string, channel string, k int, t double, value double")
     rows = assembly.poses(joints, keys, spark.createDataFrame([("c", 3, False)], "clip string, frames int, loop boolean")).where("joint = 'tip'").orderBy("i").collect()
-    assert [(round(r["x"], 6), round(r["y"], 6), r["angle"]) for r in rows] == [(0, 10, 90), (round(-10 * math.sqrt(0.5), 6), round(10 * math.sqrt(0.5), 6), 135), (-10, 0, 180)]
+    assert [(round(r["x"], 6), round(r["y"], 6), r["angle"]) for r in rows] == [(0, -10, 90), (round(-10 * math.sqrt(0.5), 6), round(-10 * math.sqrt(0.5), 6), 135), (-10, 0, 180)]
 
 
 def test_smooth_keys_and_jumps(spark):
@@ -141,7 +141,8 @@ def test_templates_and_options():
     for bad in ({"b": 1}, {"a": True}, {"a": float("inf")}):
         with pytest.raises(conf.ConfigurationError):
             conf.overlaid({"a": 1.0}, bad)
-    for text in ('{"a": NaN}', '{"a": 1e999}', '{"a": 1, "a": 2}'):
+    for text in ('{"a": NaN}', '{"a": 1e999}', '{"a": 1, "a": 2}', "[1]"):
         with pytest.raises(conf.ConfigurationError):
-            conf.strict_loads(text)
+            conf.strict_loads(text, unique=True)
+    assert conf.strict_loads('{"a": 1, "a": 2}') == {"a": 2}
     assert conf.short_float(0.1 + 0.2) == "0.3"

@@ -51,11 +51,15 @@ def test_layouts(spark, tmp_path):
 
 
 def test_strict_json_and_texts(spark, tmp_path):
-    cases = {"a": '{"x": 1}', "b": '{"x": 1, "x": 2}', "c": '{"x": NaN}', "d": "[1]", "e": '{"x": 1e999}'}
+    cases = {"a": '{"x": 1}', "b": '{"x": 1, "x": 2}', "c": '{"x": NaN}', "d": "[1]", "e": '{"x": [1e999]}', "f": '{"x": "1e999", "y": 0e999}', "g": '{"x": 1} 2', "h": "\\ufeff"}
     for name, text in cases.items():
         (tmp_path / f"{name}.json").write_text(text)
-    got = {r["path"][-6]: r["error"] for r in files.json_objects(files.files(spark, str(tmp_path), "*.json")).drop("value").collect()}
-    assert got["a"] is None and all(got[k] for k in "bcde")
+    found = files.files(spark, str(tmp_path), "*.json")
+    rows = files.json_objects(found).selectExpr("path", "error", "try_variant_get(value, '$.x', 'string') AS x")
+    got = {r["path"][-6]: (r["error"], r["x"]) for r in rows.collect()}
+    assert {k for k, (error, _) in got.items() if error} == set("cdegh") and got["b"][1] == "2" and got["f"][1] == "1e999"
+    got = {r["path"][-6]: r["error"] for r in files.json_objects(found, unique=True).drop("value").collect()}
+    assert {k for k, error in got.items() if error} == set("bcdegh")
     for name, data in {"f": b" hi ", "g": b"  ", "h": b"\xff\xfe"}.items():
         (tmp_path / f"{name}.txt").write_bytes(data)
     got = {r["path"][-5]: (r["text"], r["error"]) for r in files.texts(files.files(spark, str(tmp_path), "*.txt")).collect()}
@@ -134,8 +138,21 @@ def test_registry_and_resource(spark):
     frames = spark.createDataFrame(rows, "character string, tier string, clip string, direction string, seq int, path string")
     assert json.loads(sinks.registry(frames).collect()[0]["json"]) == {"hd": {"hit": {"left": ["h1.png"]}, "walk": {"left": ["w1.png", "w2.png"]}}}
     clips = spark.createDataFrame([("walk", True, 8.0), ("hit", False, 12.0)], "clip string, loop boolean, fps double")
-    lines = [r["text"] for r in sinks.resource_lines(frames, clips).collect()]
-    assert lines[0].endswith('path="h1.png" id="1"]') and '"frames": [2, 3]' in lines[-1]
+    text = {r["clip"]: r["text"] for r in sinks.sprite_resources(frames, clips).collect()}
+    assert text["walk"] == """[gd_resource type="SpriteFrames" load_steps=3 format=3]
+
+[ext_resource type="Texture2D" path="w1.png" id="1"]
+[ext_resource type="Texture2D" path="w2.png" id="2"]
+
+[resource]
+animations = [{
+"frames": [{"duration": 1.0, "texture": ExtResource("1")}, {"duration": 1.0, "texture": ExtResource("2")}],
+"loop": true,
+"name": &"walk",
+"speed": 8.0
+}]
+"""
+    assert '"loop": false,\n"name": &"hit",\n"speed": 12.0' in text["hit"]
 
 
 def test_sync_plan(spark):
