@@ -4,27 +4,32 @@
    other, such as before a space or at a line feed.  No piece spans two units then, so a text's
    ids are those of its units one after another, and each distinct unit is encoded once.
 2. Each unit is exploded into its substrings of at most the longest piece's length, which
-   join the (bounded, broadcast) piece table; a character without a piece gives its UTF-8
+   join the (bounded, broadcast) piece table; a character without a piece stands for its UTF-8
    byte pieces.  The edges are grouped by unit, which the distinct units are already
    partitioned by, so the lattice is never shuffled.
-3. A Viterbi pass folds over a unit's positions with ``aggregate``: of the edges that end at a
-   position, the best admissible one that continues the path to its start survives.
-   *Unigram* tables admit all and the highest sum of scores is best.  *BPE* tables admit an
-   edge next to the piece before it only if no earlier merge would have crossed the boundary
-   between them; exactly one edge passes at each position, and the path is the one that merging
-   by rank finds.  Which parts of a piece stood at its two ends, and until which merge, is
-   worked out once for each piece.
+3. A Viterbi pass folds over a unit's edges in order of their ends with ``aggregate``: of the
+   edges that end at a position, the best admissible one that continues the path to its start
+   survives.  *Unigram* tables admit all and the highest sum of scores is best.  *BPE* tables
+   admit an edge next to the piece before it only if no earlier merge would have crossed the
+   boundary between them; exactly one edge passes at each position, and the path is the one
+   that merging by rank finds.  Which parts of a piece stood at its two ends, and until which
+   merge, is worked out once for each piece; what crosses a boundary, once for each boundary.
 4. Ids of units are stored as sorted hash arrays in the shared folder; workers map them and
    write out each text's ids.
 
-Long units are folded in blocks of ``BLOCK`` positions, so a text without any space takes
-time in proportion to its length.  Null texts have null ids, empty texts none.  Repeated ids
-are rows of their own.  ``decode`` is the inverse: it restores every text, as spaces and bytes
-are kept, but for the special sign U+2581, which encoding reads as a space.
+A unit of more than ``CHUNK`` characters, such as a text without any space, is folded in chunks,
+one row each: all at once from a little before their start, then those again whose start isn't
+as the chunk before has left it, until all fit together.  So no row grows with the text.
+
+Null texts have null ids, empty texts none.  Repeated ids are rows of their own.  ``decode`` is
+the inverse: it restores every text, as spaces and bytes are kept, but for the special sign
+U+2581, which encoding reads as a space.  Units are told apart by 64 bits of a hash in the
+stored arrays: a clash would be noticed when the arrays are written and is an error.
 """
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterator
 
@@ -39,15 +44,15 @@ from ._tokens import U, Tokeniser, mix
 from .kneser_ney import _range, _save
 
 SPACE = "▁"
-BLOCK = 64
-LATTICE_BYTES = 4 << 20  # of text a partition of units
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+CHUNK, BEFORE = 1024, 128  # positions folded in one row, and looked at before them
+LATTICE_UNITS = 8192  # a partition
+ENDLESS = (1 << 31) - 1
 
 
 class PieceTable:
     """Pieces, ids, scores, byte pieces and model type of a SentencePiece model file."""
 
-    def __init__(self, path: str = TOKENIZER):
+    def __init__(self, path: str):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -81,24 +86,34 @@ class PieceTable:
         return left + [(len(piece), float("inf"))], right + [(len(piece), float("inf"))]
 
     def frame(self, spark: SparkSession) -> DataFrame:
+        """piece, id, rank (order of merging), score (fixed point) and parts: those at the left end and,
+        marked by the last bit, at the right end, as ``until << 9 | length << 1 | mark``."""
+        if self.longest > 255:
+            raise ValueError("a piece is longer than 255 characters")
+        order = {s: k for k, s in enumerate(sorted({-s for _, s in self.pieces.values()}))}
         rows = []
         for piece, (i, score) in self.pieces.items():
             ends = self.spines(piece) if self.bpe else ([], [])
             if ends:
-                rows.append((piece, [i], 0.0 if self.bpe else score, -score, *ends))
-        return spark.createDataFrame(rows, f"piece string, ids array<int>, score double, rank double, left {SPINE}, right {SPINE}")
+                parts = [(ENDLESS if until == np.inf else order[until]) << 9 | n << 1 | mark for mark, spine in enumerate(ends) for n, until in spine]
+                rows.append((piece, i, order[-score], 0 if self.bpe else round(score * (1 << 24)), parts))
+        return spark.createDataFrame(rows, "piece string, id int, rank int, score long, parts array<long>")
+
 
-    def byte_ids(self, char: Column) -> Column:
-        """Ids of a character that no piece holds."""
-        if not self.bytes_:
-            return F.array(F.lit(self.unknown))
-        hexed = F.hex(char.cast("binary"))
-        return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda i: F.get(F.array(*(F.lit(self.bytes_[b]) for b in range(256))), F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+EDGE = "struct<end:int,len:int,id:int,rank:int,score:long,parts:array<long>>"
+STEP = "struct<step:long,total:long,crossed:array<long>>"
 
 
-SPINE = "array<struct<n:int,until:double>>"
-EDGE = f"struct<end:int,len:int,ids:array<int>,score:double,rank:double,left:{SPINE},right:{SPINE}>"
-BEST = f"struct<len:int,ids:array<int>,right:{SPINE},total:double>"
+@contextlib.contextmanager
+def _grouped_by_hash(spark: SparkSession) -> Iterator[None]:
+    """A partition's units are few enough to be grouped without a sort; the setting is put back."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(LATTICE_UNITS * 8))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _model_type(proto: bytes) -> int:
@@ -137,76 +152,117 @@ def _model_type(proto: bytes) -> int:
     return 1
 
 
-def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n, block, edges) of distinct units: the edges that end in each block of positions."""
-    chars = F.split("unit", "")
-    cut = lambda i, k: F.when(F.col("n") <= 64, F.substring("unit", i, k)).otherwise(F.array_join(F.slice(F.col("chars"), i, k), ""))
-    spans = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - i + 1)), lambda k: F.struct((i + k - 1).alias("end"), k.alias("len"), cut(i, k).alias("piece"))))
-    long = units.withColumn("n", F.char_length("unit")).withColumn("chars", F.when(F.col("n") > 64, chars))
-    subs = long.select("unit", "n", F.explode(F.flatten(spans)).alias("x")).select("unit", "n", "x.*")
-    pieces = F.broadcast(table.frame(units.sparkSession))  # one row a piece of the table: bounded
-    found = subs.join(pieces, "piece", "left").where("ids IS NOT NULL OR len = 1")
-    none = F.array().cast(SPINE)
-    whole = F.array(F.struct(F.lit(1).alias("n"), F.lit(float("inf")).alias("until"))).cast(SPINE) if table.bpe else none
-    edge = F.struct(
-        "end", "len", F.coalesce("ids", table.byte_ids(F.col("piece"))).alias("ids"), F.coalesce("score", F.lit(0.0 if table.bpe else -1e4)).alias("score"),
-        F.coalesce("rank", F.lit(float("inf"))).alias("rank"), F.coalesce("left", whole).alias("left"), F.coalesce("right", whole).alias("right"),
-    )
-    return found.groupBy("unit", "n", F.floor((F.col("end") - 1) / BLOCK).cast("int").alias("block")).agg(F.collect_list(edge).alias("edges"))
-
-
-def viterbi(blocks: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, ids): the path through each unit's lattice."""
-    # a unit of one block is a row already
-    short = blocks.where(F.col("n") <= BLOCK).select("unit", "n", F.array(F.struct("block", "edges")).alias("blocks"))
-    grouped = short.unionByName(blocks.where(F.col("n") > BLOCK).groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("block", "edges"))).alias("blocks")))
-    start = F.struct(F.lit(0).alias("len"), F.array().cast("array<int>").alias("ids"), F.array().cast(SPINE).alias("right"), F.lit(0.0).alias("total")).cast(BEST)
-
-    def admissible(p: Column, edge: Column, before: Column, ends: Column, low: Column) -> Column:
-        """No merge of a part at the right end of ``before`` with one at the left end of ``edge`` came first."""
-        at = p - edge["len"]
-        crossing = lambda a, b: F.exists(F.get(ends, at + b["n"] - low), lambda e: (e["len"] == a["n"] + b["n"]) & (e["rank"] < a["until"]) & (e["rank"] <= b["until"]))
-        return ~F.exists(before["right"], lambda a: F.exists(edge["left"], lambda b: crossing(a, b)))
-
-    def block(state: Column, x: Column) -> Column:
-        first = x["block"] * BLOCK  # positions first + 1 to last end in this block
-        last = F.least(first + BLOCK, F.col("n"))
-        ends = F.concat(state["ends"], F.transform(F.sequence(first + 1, last), lambda p: F.filter(x["edges"], lambda e: e["end"] == p)))
-        low = F.greatest(first - BLOCK, F.lit(0)) + 1  # the position of ends[0]
-        base = first + 1 - F.size(state["tail"])  # the position of tail[0]
-        one = lambda value, body: F.transform(F.array(value), body)[0]
-
-        def step(tail: Column, p: Column, ends: Column) -> Column:
-            def joined(e: Column) -> Column:
-                return F.struct(e["len"].alias("len"), e["ids"].alias("ids"), e["right"].alias("right"), (F.get(tail, p - e["len"] - base)["total"] + e["score"]).alias("total"))
-
-            mine = F.get(ends, p - low)
-            if table.bpe:  # one edge passes
-                best = F.transform(F.slice(F.filter(mine, lambda e: admissible(p, e, F.get(tail, p - e["len"] - base), ends, low)), 1, 1), joined)
-            else:
-                best = F.array(F.reduce(F.transform(mine, joined), start, lambda x, y: F.when((x["len"] > 0) & (x["total"] >= y["total"]), x).otherwise(y)))
-            return F.concat(tail, best)
-
-        def fold(ends: Column) -> Column:
-            tail = F.aggregate(F.sequence(first + 1, last), state["tail"], lambda t, p: step(t, p, ends))
-            fresh = lambda t: F.transform(F.slice(t, F.size(state["tail"]) + 1, BLOCK), lambda b: F.struct(b["len"].alias("len"), b["ids"].alias("ids")))
-            keep = F.lit(table.longest)
-            return one(tail, lambda t: F.struct(F.concat(state["path"], F.array(fresh(t))).alias("path"), F.slice(t, F.greatest(F.size(t) - keep + 1, F.lit(1)), keep).alias("tail"), F.slice(ends, F.greatest(F.size(ends) - BLOCK + 1, F.lit(1)), BLOCK).alias("ends")))
-
-        return one(ends, fold)
+def lattice(units: DataFrame, table: PieceTable, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """The key columns and edges: those of each distinct unit, in order of their ends.
 
-    empty = F.struct(F.array().cast("array<array<struct<len:int,ids:array<int>>>>").alias("path"), F.array(start).alias("tail"), F.array().cast(f"array<array<{EDGE}>>").alias("ends"))
-    path = F.aggregate("blocks", empty, block, lambda s: s["path"])
-    # back from the last position, a block at a time
-    blank = F.array().cast("array<array<int>>")
-
-    def back(state: Column, steps: Column) -> Column:
-        """skip: positions at the block's end that the piece found last covers already."""
-        walk = F.aggregate(F.reverse(steps), F.struct(state["skip"].alias("skip"), blank.alias("ids")), lambda s, x: F.when(s["skip"] > 0, F.struct((s["skip"] - 1).alias("skip"), s["ids"].alias("ids"))).otherwise(F.struct((x["len"] - 1).alias("skip"), F.concat(s["ids"], F.array(x["ids"])).alias("ids"))))
-        return F.transform(F.array(walk), lambda w: F.struct(w["skip"].alias("skip"), F.concat(state["ids"], F.array(F.flatten(F.reverse(w["ids"])))).alias("ids")))[0]
-
-    ids = F.aggregate(F.reverse("path"), F.struct(F.lit(0).alias("skip"), blank.alias("ids")), back, lambda s: F.flatten(F.reverse(s["ids"])))
-    return grouped.select("unit", "n", path.alias("path")).select("unit", ids.alias("ids"))
+    An edge without a piece is a single character and has id -1.
+    """
+    ends = units.select("*", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("end"))
+    spans = ends.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("end")))).alias("len"))
+    subs = spans.select(*keys, "end", "len", F.substring("unit", F.col("end") - F.col("len") + 1, F.col("len")).alias("piece"))
+    pieces = F.broadcast(table.frame(units.sparkSession))  # one row a piece of the table: bounded
+    found = subs.join(pieces, "piece", "left").where("id IS NOT NULL OR len = 1")
+    alone = F.array(F.lit(ENDLESS << 9 | 1 << 1), F.lit(ENDLESS << 9 | 1 << 1 | 1)) if table.bpe else F.array()
+    edge = F.struct("end", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(ENDLESS)).alias("rank"), F.coalesce("score", F.lit(0 if table.bpe else -(10_000 << 24))).cast("long").alias("score"), F.coalesce("parts", alone.cast("array<long>")).alias("parts"))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge.cast(EDGE))).alias("edges"))
+
+
+def viterbi(table: PieceTable, state: str | None = None, lead: Column | None = None) -> Column:
+    """The steps of the best path to each position, ``(id + 1) << 8 | length``, after those of the
+    state (of the positions up to ``lead``) if there is one, else after a first one at position 0."""
+    edges = F.col("edges")
+    start = F.array(F.struct(F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("crossed"))).cast(f"array<{STEP}>")
+    given = F.col(state) if state else start
+    base = lead - F.size(state) + 1 if state else F.lit(0)  # the position of the first
+
+    def crossed(p: Column, parts: Column) -> Column:
+        """Merges over the boundary p with a part at its left that is still there: ``rank << 9 | length at the right << 1``."""
+        begin = lambda m: m["end"] - m["len"]
+        meets = lambda m: F.exists(parts, lambda a: (a.bitwiseAND(F.lit(511)) == (p - begin(m)) * 2 + 1) & (m["rank"] < F.shiftright(a, 9)))
+        over = F.filter(edges, lambda m: (m["end"] > p) & (begin(m) < p) & meets(m))
+        return F.transform(over, lambda m: F.shiftleft(m["rank"].cast("long"), 9) + (m["end"] - p) * 2)
+
+    def entry(e: Column, total: Column) -> Column:
+        step = F.shiftleft((e["id"] + 1).cast("long"), 8) + e["len"]
+        return F.array(F.struct(step.alias("step"), total.alias("total"), (crossed(e["end"], e["parts"]) if table.bpe else F.array().cast("array<long>")).alias("crossed")))
+
+    def merge(path: Column, e: Column) -> Column:
+        top = F.size(path) + base - 1
+        before = F.get(path, e["end"] - e["len"] - base)
+        if table.bpe:  # a later part would have merged first if it is still there then
+            stopped = F.exists(before["crossed"], lambda c: F.exists(e["parts"], lambda b: (b.bitwiseAND(F.lit(511)) == c.bitwiseAND(F.lit(511))) & (c <= b)))
+            return F.when((e["end"] <= top) | stopped, path).otherwise(F.concat(path, entry(e, F.lit(0).cast("long"))))
+        total = before["total"] + e["score"]
+        settled = (e["end"] < top) | (e["end"] <= base + F.size(given) - 1) | ((e["end"] == top) & (F.get(path, top - base)["total"] >= total))
+        kept = F.when(e["end"] == top, F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(path)
+        return F.when(settled, path).otherwise(F.concat(kept, entry(e, total)))
+
+    return F.aggregate(edges, given, merge)
+
+
+def _short(units: DataFrame, table: PieceTable) -> DataFrame:
+    """unit, steps of units of up to CHUNK characters."""
+    return lattice(units, table).select("unit", F.slice(viterbi(table), F.lit(2), F.lit(CHUNK))["step"].alias("steps"))
+
+
+def _long(units: DataFrame, table: PieceTable) -> DataFrame:
+    """unit, steps of longer ones, chunk by chunk."""
+    texts = written(units.select(F.monotonically_increasing_id().alias("uid"), "unit"))
+    n, k = F.char_length("unit"), F.col("chunk")
+    chunks = texts.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("chunk"))
+    lead = F.when(k > 0, BEFORE + table.longest).otherwise(0)
+    here = F.least(F.lit(CHUNK), n - k * CHUNK)
+    cut = chunks.select("uid", "chunk", lead.alias("lead"), here.cast("int").alias("here"), F.substring("unit", k * CHUNK - lead + 1, lead + CHUNK + table.longest).alias("unit"))
+    keys = ("uid", "chunk", "lead", "here")
+    with _grouped_by_hash(units.sparkSession):
+        ready = written(lattice(cut.repartition("uid", "chunk"), table, keys))
+    ends = lambda path, at: F.slice(path, F.greatest(at - table.longest + 2, F.lit(1)), F.least(at + 1, F.lit(table.longest)))
+
+    def folded(rows: DataFrame, state: bool) -> DataFrame:
+        """steps of the chunk, the state it began with and the one it left, sums counted from its end."""
+        rows = rows.withColumn("path", viterbi(table, "state" if state else None, F.col("lead")))
+        at = F.size("state") - 1 if state else F.col("lead")  # of the last step before the chunk
+        from_end = lambda x: F.transform(x, lambda s: F.struct(s["step"].alias("step"), (s["total"] - F.element_at(x, -1)["total"]).alias("total"), s["crossed"].alias("crossed")))
+        return rows.select("uid", "chunk", F.slice("path", at + 2, F.col("here"))["step"].alias("steps"), from_end(ends(F.col("path"), at)).alias("begun"), from_end(ends(F.col("path"), at + F.col("here"))).alias("left"))
+
+    done = written(folded(ready, False))
+    while True:
+        before = done.select("uid", (F.col("chunk") + 1).alias("chunk"), F.col("left").alias("state"))
+        wrong = written(done.join(before, ["uid", "chunk"]).where("begun <> state").select("uid", "chunk", "state"))
+        if wrong.isEmpty():
+            break
+        again = folded(ready.join(wrong, ["uid", "chunk"]), True)
+        after = written(done.join(wrong, ["uid", "chunk"], "left_anti").unionByName(again))
+        drop(done, wrong)
+        done = after
+    drop(ready)
+    steps = done.groupBy("uid").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "steps")))["steps"]).alias("steps"))
+    return texts.join(steps, "uid").select("unit", "steps")
+
+
+def _walked(texts: pa.Array, steps: pa.Array, table: PieceTable) -> pa.Array:
+    """Ids of units from the steps to each of their positions: all walk back from their ends together."""
+    ends = steps.offsets.to_numpy()
+    flat = steps.values.to_numpy()
+    first, at = ends[:-1].astype(np.int64), ends[1:].astype(np.int64)
+    who, found = [], []
+    alive = np.flatnonzero(at > first)
+    while len(alive):
+        step = flat[at[alive] - 1]
+        who.append(alive)
+        found.append(np.where(step >> 8 > 0, (step >> 8) - 1, -1 - (at[alive] - 1 - first[alive])))  # below zero: the place of a character without a piece
+        at[alive] -= step & 255
+        alive = alive[at[alive] > first[alive]]
+    unit, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, found))
+    turn = np.concatenate([np.full(len(x), -k) for k, x in enumerate(who)]) if who else unit
+    order = np.lexsort((turn, unit))
+    unit, ids = unit[order], ids[order]
+    for i in reversed(np.flatnonzero(ids < 0).tolist()):
+        raw = texts[int(unit[i])].as_py()[-1 - int(ids[i])].encode()
+        own = [table.bytes_[b] for b in raw] if table.bytes_ else [table.unknown]
+        ids, unit = np.concatenate([ids[:i], own, ids[i + 1 :]]), np.concatenate([unit[:i], np.full(len(own), unit[i]), unit[i + 1 :]])
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32()))
 
 
 class Units(Tokeniser):
@@ -260,12 +316,12 @@ def _distinct(inner: np.ndarray, most: int = 400_000):
     return run
 
 
-def _store(folder: str, inner: np.ndarray):
+def _store(folder: str):
     def run(table: pa.Table) -> pa.Table:
-        part, texts = table["part"][0].as_py(), pc.replace_substring(table["unit"].combine_chunks(), SPACE, " ")
-        units = Units(inner)
-        h = np.concatenate([_one(units, texts.slice(i, 4096)) for i in range(0, len(texts), 4096)])
+        part, h = table["part"][0].as_py(), table["h"].to_numpy().view(U)
         order = np.argsort(h)
+        if (np.diff(h[order]) == 0).any():
+            raise ValueError("two units have one hash")
         ids = table["ids"].combine_chunks().take(pa.array(order))
         _save(f"{folder}/unit-{part}.npy", h[order])
         _save(f"{folder}/ends-{part}.npy", np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
@@ -325,28 +381,34 @@ def build(docs: DataFrame, text_col: str, table: PieceTable) -> Encoder:
     """Encodes every distinct unit of the texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = texts.mapInArrow(_distinct(table.inner), "unit string").select(F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("unit"))
     units = written(found.distinct())
-    # dealt out so finely that the edges of a partition's units fit in memory; the lattice keeps this partitioning
-    path = viterbi(lattice(units.repartition(max(1, -(-size // LATTICE_BYTES)), "unit"), table), table)
-    parts = max(1, -(-size // (16 << 20)))
-    at, inner = local_path(shared_dir(spark)), table.inner
+    n = F.char_length("unit")
+    count, size, longest = units.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    # dealt out so finely that a partition's edges fit in memory; the lattice keeps this partitioning
+    path = _short(units.where(n <= CHUNK).repartition(max(1, -(-count // LATTICE_UNITS)), "unit"), table)
+    if longest > CHUNK:
+        path = path.unionByName(_long(units.where(n > CHUNK), table))
+    parts = max(1, -(-size // (4 << 20)))
+    uri, inner = shared_dir(spark), table.inner
+    at = local_path(uri)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(inner)
         for batch in batches:
-            h = _one(units, pc.replace_substring(batch.column(0), SPACE, " ")) if batch.num_rows else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_range(h, parts))], ["unit", "ids", "part"])
-
-    path.mapInArrow(hashed, "unit string, ids array<int>, part int").repartition(parts, "part").groupBy("part").applyInArrow(_store(at, inner), "part int, units long").agg(F.sum("units")).first()
-    drop(units)
+            if batch.num_rows:
+                h = _one(units, pc.replace_substring(batch.column(0), SPACE, " "))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _walked(batch.column(0), batch.column(1), table), pa.array(_range(h, parts))], ["h", "ids", "part"])
+
+    with _grouped_by_hash(spark):
+        ids = written(path.mapInArrow(hashed, "h long, ids array<int>, part int"))
+    ids.repartition(parts, "part").groupBy("part").applyInArrow(_store(at), "part int, units long").agg(F.sum("units")).first()
+    drop(units, ids)
     return Encoder(at, parts)
 
 
-def encode(docs: DataFrame, text_col: str = "text", table: PieceTable | None = None, ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts in a further column (an existing one of that name is replaced)."""
-    table = table or PieceTable()
     encoder, inner = build(docs, text_col, table), table.inner
     rest = docs.drop(ids_col)
     i = rest.columns.index(text_col)
@@ -402,9 +464,9 @@ def _led(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(docs: DataFrame, ids_col: str = "ids", table: PieceTable | None = None, text_col: str = "text") -> DataFrame:
+def decode(docs: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``docs`` with the texts of its ids in a further column; null ids give null, bytes that aren't UTF-8 U+FFFD."""
-    decoder = Decoder(table or PieceTable())
+    decoder = Decoder(table)
     rest = docs.drop(text_col)
     i = rest.columns.index(ids_col)
 
@@ -423,9 +485,8 @@ def decode(docs: DataFrame, ids_col: str = "ids", table: PieceTable | None = Non
     return rest.mapInArrow(run, StructType(list(rest.schema.fields)).add(text_col, StringType()))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: PieceTable | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), decoded (decoding gives the text again)."""
-    table = table or PieceTable()
     encoder, decoder, inner = build(docs, text_col, table), Decoder(table), table.inner
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -14,7 +14,7 @@ from .kneser_ney import train_and_score
 from .media import copies, rendered
 from .ngram_join import jaccard_components
 from .packing import pack_documents
-from .pieces import round_trip
+from .pieces import PieceTable, round_trip
 from .pii import pseudonymise
 from .quality import classify
 from .sharding import kd_shards
@@ -22,6 +22,9 @@ from .vectors import cosine_components
 from .warc import archive_round_trip
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +64,7 @@ def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "documents"))
+    return round_trip(_table(spark, sf_dir, "documents"), PieceTable(TOKENIZER))
 
 
 def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

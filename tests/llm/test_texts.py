@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spritelake.llm import kneser_ney, ngram_join, packing, pieces, pii, quality, sharding
+from spritelake.llm import kneser_ney, ngram_join, packing, pieces, pii, quality, queries, sharding
 from spritelake.llm._tokens import Tokeniser
 from spritelake.llm.components import components
 
@@ -280,20 +280,48 @@ def test_kneser_ney(spark, odd_docs, no_docs):
 
 @pytest.fixture(scope="module")
 def table():
-    return pieces.PieceTable()
+    return pieces.PieceTable(queries.TOKENIZER)
 
 
 def test_pieces_equal_the_library(spark, odd_docs, no_docs, table):
+    import random
+
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=table.path)
-    some = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text").unionByName(odd_docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)").select(F.col("doc_id") + 10_000, "text"))
-    more = ["Hello  world\n the  \n x", "aaaaaaa " + "a" * 300, "<s> </s> <0x0A> ▁x", "thisisalongword" * 20, "a\t\tb\r\n\n c "]
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text").unionByName(odd_docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    spaceless = "".join(random.Random(1).choices("etaoinshrdlu", k=9_000))  # longer than several chunks
+    more = ["Hello  world\n the  \n x", "aaaaaaa " + "a" * 300, "<s> </s> <0x0A> ▁x", "thisisalongword" * 20, "a\t\tb\r\n\n c ", "a" * 5_000, "ab" * 1_200 + "日" + "ßx😀" * 500, spaceless]
     docs = some.unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")).withColumn("ids", F.lit("clash"))
-    encoded = pieces.encode(docs, table=table)
+    encoded = pieces.encode(docs, table)
     rows = encoded.collect()
     for r in rows:
         assert r["ids"] == (None if r["text"] is None else lib.encode(r["text"])), r["text"][:80]
-    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded.drop("text"), table=table).collect()}
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded.drop("text"), table).collect()}
     assert all(back[r["doc_id"]] == (r["text"] and r["text"].replace("▁", " ")) for r in rows)
-    assert pieces.encode(no_docs, table=table).count() == 0 and all(r["decoded"] for r in pieces.round_trip(docs, table=table).collect())
+    assert pieces.encode(no_docs, table).count() == 0
+
+
+def test_scored_pieces_equal_a_slow_search(spark):
+    """A unigram table: the highest sum of scores, short units and chunked ones alike."""
+    import random
+
+    letters = "ab"
+    table = object.__new__(pieces.PieceTable)
+    rng = random.Random(3)
+    own = {"".join(rng.choices(letters, k=k)) for k in (2, 2, 3, 3, 4, 5)} | {"a", "b"}
+    table.pieces = {p: (i, -rng.uniform(1, 6) * len(p) ** 0.8) for i, p in enumerate(sorted(own))}
+    table.bpe, table.longest, table.bytes_, table.unknown = False, 5, {}, 99
+    texts = ["".join(rng.choices(letters, k=n)) for n in (1, 2, 7, 30, 60, 2_500)]
+    units = spark.createDataFrame([(t,) for t in texts], "unit string")
+    small = units.where(F.char_length("unit") <= pieces.CHUNK)
+    rows = pieces._short(small, table).unionByName(pieces._long(units.subtract(small), table)).collect()
+    score = {p: round(s * (1 << 24)) for p, (_, s) in table.pieces.items()}
+    for r in rows:
+        got = pieces._walked(pa.array([r["unit"]]), pa.array([r["steps"]], pa.list_(pa.int64())), table).to_pylist()[0]
+        names = {i: p for p, (i, _) in table.pieces.items()}
+        assert "".join(names[i] for i in got) == r["unit"]
+        best = [0] + [None] * len(r["unit"])
+        for k in range(1, len(best)):
+            best[k] = max(best[k - n] + score[r["unit"][k - n : k]] for n in range(1, min(5, k) + 1) if r["unit"][k - n : k] in score)
+        assert sum(score[names[i]] for i in got) == best[-1]
