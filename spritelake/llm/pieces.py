@@ -100,7 +100,7 @@ class PieceTable:
         return spark.createDataFrame(rows, "piece string, id int, rank int, score long, parts array<long>")
 
 
-EDGE = "struct<end:int,len:int,id:int,rank:int,score:long,parts:array<long>>"
+EDGE = "struct<end:int,len:int,id:int,score:long,parts:array<long>>"
 STEP = "struct<step:long,total:long,crossed:array<long>>"
 
 
@@ -153,7 +153,8 @@ def _model_type(proto: bytes) -> int:
 
 
 def lattice(units: DataFrame, table: PieceTable, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
-    """The key columns and edges: those of each distinct unit, in order of their ends.
+    """The key columns, edges and merges: the edges of each distinct unit in order of their ends, and
+    those of several characters once more as ``rank << 22 | end << 11 | begin``.
 
     An edge without a piece is a single character and has id -1.
     """
@@ -163,41 +164,44 @@ def lattice(units: DataFrame, table: PieceTable, keys: tuple[str, ...] = ("unit"
     pieces = F.broadcast(table.frame(units.sparkSession))  # one row a piece of the table: bounded
     found = subs.join(pieces, "piece", "left").where("id IS NOT NULL OR len = 1")
     alone = F.array(F.lit(ENDLESS << 9 | 1 << 1), F.lit(ENDLESS << 9 | 1 << 1 | 1)) if table.bpe else F.array()
-    edge = F.struct("end", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("rank", F.lit(ENDLESS)).alias("rank"), F.coalesce("score", F.lit(0 if table.bpe else -(10_000 << 24))).cast("long").alias("score"), F.coalesce("parts", alone.cast("array<long>")).alias("parts"))
-    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge.cast(EDGE))).alias("edges"))
+    edge = F.struct("end", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(0 if table.bpe else -(10_000 << 24))).cast("long").alias("score"), F.coalesce("parts", alone.cast("array<long>")).alias("parts"))
+    merged = F.when(F.col("len") > 1, F.shiftleft(F.col("rank").cast("long"), 22) + F.col("end") * 2048 + F.col("end") - F.col("len"))
+    return found.groupBy(*keys).agg(F.collect_list(edge.cast(EDGE)).alias("edges"), F.collect_list(merged).alias("merges"))
 
 
 def viterbi(table: PieceTable, state: str | None = None, lead: Column | None = None) -> Column:
     """The steps of the best path to each position, ``(id + 1) << 8 | length``, after those of the
-    state (of the positions up to ``lead``) if there is one, else after a first one at position 0."""
-    edges = F.col("edges")
+    state (of the positions up to ``lead``) if there is one, else after a first one at position 0.
+
+    Edges that are not in order of their ends make the path end early; they are never taken wrongly.
+    """
     start = F.array(F.struct(F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("crossed"))).cast(f"array<{STEP}>")
     given = F.col(state) if state else start
     base = lead - F.size(state) + 1 if state else F.lit(0)  # the position of the first
+    known = lead if state else F.lit(0)
 
     def crossed(p: Column, parts: Column) -> Column:
         """Merges over the boundary p with a part at its left that is still there: ``rank << 9 | length at the right << 1``."""
-        begin = lambda m: m["end"] - m["len"]
-        meets = lambda m: F.exists(parts, lambda a: (a.bitwiseAND(F.lit(511)) == (p - begin(m)) * 2 + 1) & (m["rank"] < F.shiftright(a, 9)))
-        over = F.filter(edges, lambda m: (m["end"] > p) & (begin(m) < p) & meets(m))
-        return F.transform(over, lambda m: F.shiftleft(m["rank"].cast("long"), 9) + (m["end"] - p) * 2)
+        begin, end, rank = (lambda m: m.bitwiseAND(F.lit(2047))), (lambda m: F.shiftright(m, 11).bitwiseAND(F.lit(2047))), (lambda m: F.shiftright(m, 22))
+        meets = lambda m: F.exists(parts, lambda a: (a.bitwiseAND(F.lit(511)) == (p - begin(m)) * 2 + 1) & (rank(m) < F.shiftright(a, 9)))
+        over = F.filter("merges", lambda m: (begin(m) < p) & (end(m) > p) & meets(m))
+        return F.transform(over, lambda m: F.shiftleft(rank(m), 9) + (end(m) - p) * 2)
 
     def entry(e: Column, total: Column) -> Column:
         step = F.shiftleft((e["id"] + 1).cast("long"), 8) + e["len"]
         return F.array(F.struct(step.alias("step"), total.alias("total"), (crossed(e["end"], e["parts"]) if table.bpe else F.array().cast("array<long>")).alias("crossed")))
 
     def merge(path: Column, e: Column) -> Column:
-        top = F.size(path) + base - 1
+        next_ = F.size(path) + base
         before = F.get(path, e["end"] - e["len"] - base)
         if table.bpe:  # a later part would have merged first if it is still there then
             stopped = F.exists(before["crossed"], lambda c: F.exists(e["parts"], lambda b: (b.bitwiseAND(F.lit(511)) == c.bitwiseAND(F.lit(511))) & (c <= b)))
-            return F.when((e["end"] <= top) | stopped, path).otherwise(F.concat(path, entry(e, F.lit(0).cast("long"))))
+            return F.when((e["end"] != next_) | stopped, path).otherwise(F.concat(path, entry(e, F.lit(0).cast("long"))))
         total = before["total"] + e["score"]
-        settled = (e["end"] < top) | (e["end"] <= base + F.size(given) - 1) | ((e["end"] == top) & (F.get(path, top - base)["total"] >= total))
-        kept = F.when(e["end"] == top, F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(path)
-        return F.when(settled, path).otherwise(F.concat(kept, entry(e, total)))
+        better = (e["end"] == next_ - 1) & (e["end"] > known) & (total > F.get(path, next_ - 1 - base)["total"])
+        return F.when(e["end"] == next_, F.concat(path, entry(e, total))).when(better, F.concat(F.slice(path, F.lit(1), F.size(path) - 1), entry(e, total))).otherwise(path)
 
-    return F.aggregate(edges, given, merge)
+    return F.aggregate("edges", given, merge)
 
 
 def _short(units: DataFrame, table: PieceTable) -> DataFrame:
@@ -397,6 +401,8 @@ def build(docs: DataFrame, text_col: str, table: PieceTable) -> Encoder:
         units = Units(inner)
         for batch in batches:
             if batch.num_rows:
+                if not pc.all(pc.equal(pc.list_value_length(batch.column(1)), pc.utf8_length(batch.column(0)))).as_py():
+                    raise ValueError("a path doesn't reach the end of its unit")
                 h = _one(units, pc.replace_substring(batch.column(0), SPACE, " "))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _walked(batch.column(0), batch.column(1), table), pa.array(_range(h, parts))], ["h", "ids", "part"])
 
