@@ -100,7 +100,6 @@ class PieceTable:
         return spark.createDataFrame(rows, "piece string, id int, rank int, score long, parts array<long>")
 
 
-EDGE = "struct<end:int,len:int,id:int,score:long,parts:array<long>>"
 STEP = "struct<step:long,total:long,crossed:array<long>>"
 
 
@@ -163,10 +162,11 @@ def lattice(units: DataFrame, table: PieceTable, keys: tuple[str, ...] = ("unit"
     subs = spans.select(*keys, "end", "len", F.substring("unit", F.col("end") - F.col("len") + 1, F.col("len")).alias("piece"))
     pieces = F.broadcast(table.frame(units.sparkSession))  # one row a piece of the table: bounded
     found = subs.join(pieces, "piece", "left").where("id IS NOT NULL OR len = 1")
-    alone = F.array(F.lit(ENDLESS << 9 | 1 << 1), F.lit(ENDLESS << 9 | 1 << 1 | 1)) if table.bpe else F.array()
-    edge = F.struct("end", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(0 if table.bpe else -(10_000 << 24))).cast("long").alias("score"), F.coalesce("parts", alone.cast("array<long>")).alias("parts"))
+    alone = F.array(F.lit(ENDLESS << 9 | 1 << 1), F.lit(ENDLESS << 9 | 1 << 1 | 1)).cast("array<long>")
+    weight = F.coalesce("parts", alone).alias("parts") if table.bpe else F.coalesce("score", F.lit(-(10_000 << 24))).cast("long").alias("score")
+    edge = F.struct("end", "len", F.coalesce("id", F.lit(-1)).alias("id"), weight)
     merged = F.when(F.col("len") > 1, F.shiftleft(F.col("rank").cast("long"), 22) + F.col("end") * 2048 + F.col("end") - F.col("len"))
-    return found.groupBy(*keys).agg(F.collect_list(edge.cast(EDGE)).alias("edges"), F.collect_list(merged).alias("merges"))
+    return found.groupBy(*keys).agg(F.collect_list(edge).alias("edges"), F.collect_list(merged).alias("merges"))
 
 
 def viterbi(table: PieceTable, state: str | None = None, lead: Column | None = None) -> Column:
@@ -179,6 +179,7 @@ def viterbi(table: PieceTable, state: str | None = None, lead: Column | None = N
     given = F.col(state) if state else start
     base = lead - F.size(state) + 1 if state else F.lit(0)  # the position of the first
     known = lead if state else F.lit(0)
+    last = F.element_at("edges", -1)["end"]
 
     def crossed(p: Column, parts: Column) -> Column:
         """Merges over the boundary p with a part at its left that is still there: ``rank << 9 | length at the right << 1``."""
@@ -189,7 +190,8 @@ def viterbi(table: PieceTable, state: str | None = None, lead: Column | None = N
 
     def entry(e: Column, total: Column) -> Column:
         step = F.shiftleft((e["id"] + 1).cast("long"), 8) + e["len"]
-        return F.array(F.struct(step.alias("step"), total.alias("total"), (crossed(e["end"], e["parts"]) if table.bpe else F.array().cast("array<long>")).alias("crossed")))
+        none = F.array().cast("array<long>")  # nothing begins at the last position
+        return F.array(F.struct(step.alias("step"), total.alias("total"), (F.when(e["end"] < last, crossed(e["end"], e["parts"])).otherwise(none) if table.bpe else none).alias("crossed")))
 
     def merge(path: Column, e: Column) -> Column:
         next_ = F.size(path) + base
