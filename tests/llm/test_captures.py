@@ -124,17 +124,26 @@ def test_copies_of_images(spark):
     assert media.copies(df.limit(0)).count() == 0 and media.copies(df.where("id = 500").withColumn("id", F.lit(None).cast("long"))).collect()[0]["component_id"] is None
 
 
-def test_hamming_tables_find_all_near_descriptors():
+def test_side_by_side_equals_a_slow_search(spark, monkeypatch):
+    """Every table sorted by hand: each descriptor against its next ones."""
+    monkeypatch.setattr(media, "POSTINGS", 1 << 40)  # one range
+    monkeypatch.setattr(media, "MATCHES", 1)
     rng = np.random.default_rng(1)
-    f = np.zeros(300, media.FEATURE)
-    f["bits"] = rng.integers(0, 256, (300, media.BITS // 8))
-    for k in range(150):  # up to three bits away
-        bits = np.unpackbits(f["bits"][k])
-        bits[rng.choice(media.BITS, k % 5, replace=False)] ^= 1
-        f["bits"][150 + k] = np.packbits(bits)
-    a, b = media.matches(f, np.arange(300), np.arange(150), np.arange(150, 300))
-    apart = np.bitwise_count(f["bits"][:150, None] ^ f["bits"][None, 150:]).sum(2)
-    assert set(zip(a.tolist(), (b - 150).tolist(), strict=True)) == {tuple(x) for x in np.argwhere(apart < media.TABLES).tolist()}
+    images = []
+    for k in range(12):
+        f = np.zeros(20, media.FEATURE)
+        f["bits"] = rng.integers(0, 256, (20, media.BITS // 8)) if k < 6 else images[k - 6]["bits"] ^ (rng.random((20, media.BITS // 8)) < 0.1)
+        images.append(f)
+    want = set()
+    for t in range(media.TABLES):
+        at = t * media.BITS // 8 // media.TABLES
+        table = sorted((bytes([*b[at:], *b[:at]]), k) for k, f in enumerate(images) for b in f["bits"].tolist())
+        for d in range(1, media.NEXT + 1):
+            for (x, a), (y, b) in zip(table, table[d:], strict=False):
+                if a != b and (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() < media.APART:
+                    want.add((min(a, b), max(a, b)))
+    df = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(images)], "rep long, features binary")
+    assert {tuple(r) for r in media.candidates(df).collect()} == want and len(want) >= 6
 
 
 def textured(rng, n):
@@ -145,44 +154,49 @@ def textured(rng, n):
     return (a - a.mean()) / a.std() * 50 + 128
 
 
-def found_copies(originals, edited):
-    """Pairs (i, j) of an original i and an edited copy j that are linked, and the number of other links."""
-    describer, n = media.Describer(), len(originals)
-    each = [describer.features(np.clip(a, 0, 255).astype(np.uint8)) for a in (*originals, *edited)]
-    rows = np.arange(len(each))
-    pairs = media.linked(np.concatenate(each), np.repeat(rows, [len(e) for e in each]), rows, rows)
-    right = (pairs[:, 1] - pairs[:, 0] == n).sum()
-    return right, len(pairs) - right
+def components_of(spark, images):
+    rows = [(i, a.shape[1], a.shape[0], bytearray(np.clip(a, 0, 255).astype(np.uint8).tobytes())) for i, a in enumerate(images)]
+    return {r["id"]: r["component_id"] for r in media.copies(spark.createDataFrame(rows, "id long, w int, h int, pixels binary")).collect()}
 
 
-@pytest.mark.parametrize("sigma", [3, 5, 10])
-@pytest.mark.parametrize("draw", [textured, lambda rng, n: picture(rng, n // 8)])
-def test_noisy_copies_are_found(draw, sigma):
+EDITS = {
+    "crop": lambda a, rng: a[10:82, 14:90], "contrast": lambda a, rng: a * 0.7 + 25, "turn": lambda a, rng: np.ascontiguousarray(np.rot90(a)), "half turn": lambda a, rng: np.ascontiguousarray(np.rot90(a, 2)),
+    "noise 1.5": lambda a, rng: a + rng.normal(0, 1.5, a.shape), "noise 3": lambda a, rng: a + rng.normal(0, 3, a.shape), "noise 5": lambda a, rng: a + rng.normal(0, 5, a.shape), "crop and noise": lambda a, rng: a[10:82, 14:90] + rng.normal(0, 3, (72, 76)),
+}
+
+
+def recall(spark, draw, n=20):
+    """Share of the copies found for each edit, and the number of originals that were joined."""
     rng = np.random.default_rng(11)
-    originals = [draw(rng, 96) for _ in range(20)]
-    assert found_copies(originals, [a + rng.normal(0, sigma, a.shape) for a in originals]) == (20, 0)
+    originals = [draw(rng) for _ in range(n)]
+    got = components_of(spark, originals + [edit(a, rng) for edit in EDITS.values() for a in originals])
+    joined = n - len({got[i] for i in range(n)})
+    return {name: sum(got[n * (k + 1) + i] == got[i] for i in range(n)) / n for k, name in enumerate(EDITS)}, joined
+
+
+@pytest.mark.parametrize("draw", [lambda rng: textured(rng, 96), lambda rng: picture(rng)], ids=["textured", "drawn"])
+def test_recall_of_edited_copies(spark, draw):
+    found, joined = recall(spark, draw)
+    assert min(found.values()) >= 0.9 and not joined, (found, joined)
 
 
-def test_small_crops_of_large_pictures_are_found():
+def test_small_crops_of_large_pictures_are_found(spark):
     rng = np.random.default_rng(13)
     originals = [textured(rng, 512) for _ in range(6)]
-    assert found_copies(originals, [a[203:331, 171:299] for a in originals]) == (6, 0)
-    assert found_copies(originals, [a[101:357, 131:387] + rng.normal(0, 3, (256, 256)) for a in originals]) == (6, 0)
+    got = components_of(spark, originals + [a[203:331, 171:299] for a in originals] + [a[101:357, 131:387] + rng.normal(0, 3, (256, 256)) for a in originals])
+    assert got == {i: i % 6 for i in range(18)}
 
 
-def test_links_do_not_depend_on_blocks(spark, monkeypatch):
-    """A dense group is compared in small blocks and in few matches at a time alike."""
+def test_components_do_not_depend_on_blocks(spark, monkeypatch):
+    """A dense group is verified in small blocks and in few matches at a time alike."""
     rng = np.random.default_rng(3)
     a = textured(rng, 64)
     images = [a + rng.normal(0, 2, a.shape) for _ in range(40)] + [textured(rng, 64) for _ in range(20)]
-    df = spark.createDataFrame([(i, 64, 64, bytearray(np.clip(x, 0, 255).astype(np.uint8).tobytes())) for i, x in enumerate(images)], "id long, w int, h int, pixels binary")
-    rows = lambda: sorted((r["id"], r["n_links"], r["component_id"]) for r in media.copies(df).collect())
-    whole = rows()
-    assert whole == [(i, 39, 0) if i < 40 else (i, 0, i) for i in range(60)]
-    monkeypatch.setattr(media, "BLOCK", 300)
-    monkeypatch.setattr(media, "HELD", 200)
-    monkeypatch.setattr(media, "CHUNK", 500)
-    assert rows() == whole
+    want = {i: 0 if i < 40 else i for i in range(60)}
+    assert components_of(spark, images) == want
+    for name, value in (("BLOCK", 7), ("HELD", 200), ("POSTINGS", 500)):
+        monkeypatch.setattr(media, name, value)
+    assert components_of(spark, images) == want
 
 
 def test_pipeline(spark):
