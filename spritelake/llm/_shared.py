@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spritelake-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"

@@ -11,11 +11,13 @@ so they stay linked; the text keeps its length unless a date is written without
 | card | 13 to 19 digits, Luhn | all digits but the last, which is the new check digit |
 | phone | + and 8 to 15 digits, or ten digits as 3-3-4 | all but the country code |
 | social security number | number ranges in use | area, group and serial within those ranges |
-| date | the calendar, 1901 to 2096 | the day's number in that span |
+| date | the calendar, 1901 to 2096 | the day's number among the first twelve days of all months, or among the others, so that every notation of a date shows one pseudonym |
 | IPv4 address | four numbers up to 255 | the four numbers |
 | mail address | host with a dot | letters and digits before the @ |
 | secret | 32 to 64 hex digits in either case, letters among them | the hex digits, which keep their case |
 
+The key is the caller's: whoever knows it can undo the pseudonyms.
+
 Hex digits that differ only by case are one value, so their pseudonyms differ at most by case.
 What isn't valid stays as it is.  Null texts stay null, empty ones empty; texts of any length
 are searched whole, and every pattern starts at a boundary and is of bounded length.  Other
@@ -29,9 +31,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "corpus-pseudonyms-1"
 ROUNDS = 8
-FIRST_DAY, DAYS = "1901-01-01", (147, 487)  # the 71,589 days of seven 28-year cycles
+FIRST_DAY, YEARS = "1901-01-01", 196  # seven cycles of 28 years
+LATE = (105, 413)  # the 43,365 days of that span after the 12th of their month
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[/.-]\d)"
@@ -146,22 +148,30 @@ def _date(text: Column, key: str) -> Column:
     slash, hyphen = F.contains(text, F.lit("/")), F.contains(text, F.lit("-"))
     day = F.when(hyphen, iso).when(slash, F.coalesce(month_first, dot)).otherwise(dot)
     first = F.to_date(F.lit(FIRST_DAY))
+    month_of = lambda d: (F.year(d) - 1901) * 12 + F.month(d) - 1
+
+    def two(i: Column, radix: int, by: int, part: str) -> Column:
+        ranks = F.array(F.floor(i / by).cast("int"), (i % by).cast("int"))
+        return _let(feistel(ranks, F.array(F.lit(radix), F.lit(by)), key, part), lambda p: p[0] * by + p[1])
 
-    def step(i: Column) -> Column:
-        ranks = F.array(F.floor(i / DAYS[1]).cast("int"), i % DAYS[1])
-        return _let(feistel(ranks, F.array(*map(F.lit, DAYS)), key, "date"), lambda p: p[0] * DAYS[1] + p[1])
+    def early(d: Column) -> Column:
+        """One of the first twelve days of a month for another."""
+        return _let(two(month_of(d) * 12 + F.dayofmonth(d) - 1, YEARS, 144, "early date"), lambda x: F.date_add(F.add_months(first, F.floor(x / 12).cast("int")), (x % 12).cast("int")))
 
-    def late(i: Column) -> Column:
-        """Steps on to a day after the 12th, which alone reads day first with a slash: a permutation of those days."""
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), step(i), lambda s, _: F.when(F.dayofmonth(F.date_add(first, s)) > 12, s).otherwise(step(s)))
+    def late(d: Column) -> Column:
+        """One of the days after the 12th for another; these alone read day first with a slash.  Before month m
+        lie its first day's number less 12 m of them, which is never a month's worth off 18.4375 m."""
+        before = lambda m: F.datediff(F.add_months(first, m), first) - m * 12
+        rank = F.datediff(d, first) - (month_of(d) + 1) * 12
+        month = lambda x: F.array_max(F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.greatest(F.lit(0), F.floor(x / 18.4375).cast("int") + k)), lambda m: before(m) <= x))
+        return _let(two(rank, *LATE, "late date"), lambda x: _let(month(x), lambda m: F.date_add(F.add_months(first, m), (x - before(m) + 12).cast("int"))))
 
-    def shown(i: Column) -> Column:
-        fresh = _let(F.when(slash & month_first.isNull(), late(i)).otherwise(step(i)), lambda x: F.date_add(first, x))
-        as_ = lambda form: F.date_format(fresh, form)
-        return F.when(hyphen, as_("yyyy-MM-dd")).when(~slash, as_("dd.MM.yyyy")).when(month_first.isNotNull(), as_("MM/dd/yyyy")).otherwise(as_("dd/MM/yyyy"))
+    def shown(d: Column) -> Column:
+        as_ = lambda fresh, form: F.date_format(fresh, form)
+        fresh = F.when(F.dayofmonth(d) > 12, late(d)).otherwise(early(d))
+        return _let(fresh, lambda x: F.when(hyphen, as_(x, "yyyy-MM-dd")).when(~slash, as_(x, "dd.MM.yyyy")).when(month_first.isNotNull(), as_(x, "MM/dd/yyyy")).otherwise(as_(x, "dd/MM/yyyy")))
 
-    days = DAYS[0] * DAYS[1]
-    return F.coalesce(_let(F.datediff(day, first), lambda i: F.when(i.between(0, days - 1), shown(i)).otherwise(text)), text)
+    return F.coalesce(_let(day, lambda d: F.when(F.year(d).between(1901, 1900 + YEARS), shown(d)).otherwise(text)), text)
 
 
 def _ipv4(text: Column, key: str) -> Column:
@@ -191,7 +201,7 @@ def _secret(text: Column, key: str) -> Column:
     return F.when(text.rlike("[A-Fa-f]"), fresh).otherwise(text)
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
@@ -200,7 +210,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """A text with its values replaced: the parts between the finds, and the pseudonyms, in turn."""
     # a cheap test first: without a mark of any kind there is nothing to find
     candidate = text.rlike(r"@|\d[\d .()/-]{6}|[0-9A-Fa-f]{32}")
@@ -209,7 +219,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(candidate, F.array_join(pieces, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in its text column; rows and the other columns stay as they are."""
     new = pseudonymised(F.col(f"`{text_col}`"), key)
     return docs.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

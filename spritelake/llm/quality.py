@@ -13,7 +13,8 @@ whatever the word is.
 ``margin = log weight - cut * n-grams + PRIOR``.  ``cut`` (nats an n-gram) lies where the
 two classes of the labelled sample part best; k is the number of texts with a positive
 margin, so the sample is as large as the part of the corpus that the models call good, and
-the noise decides between borderline texts only.
+the noise decides between borderline texts only.  A caller's ``k`` sets another size; a caller's
+``cut`` and ``prior`` of 0 make the draw one on the log weights alone.
 
 The labelled sample is bounded: the ``SAMPLE`` labelled ids with the smallest hash; both the
 target model and the cut are fitted on it.  Everything else covers all rows.
@@ -89,12 +90,12 @@ def _ordered(x: np.ndarray) -> np.ndarray:
 class Model:
     """Log ratios of the two models and the cut; scores batches of (id, text)."""
 
-    def __init__(self, ratio: np.ndarray, cut: float):
-        self.ratio, self.cut = ratio, cut
+    def __init__(self, ratio: np.ndarray, cut: float, prior: float = PRIOR):
+        self.ratio, self.cut, self.prior = ratio, cut, prior
 
     def keys(self, ids: pa.Array, texts: pa.Array, words: Tokeniser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         weight, size = _weights(texts, words, self.ratio)
-        margin = weight - self.cut * size + PRIOR
+        margin = weight - self.cut * size + self.prior
         return weight, size, margin, margin + _noise(ids)
 
 
@@ -114,9 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
         words = Tokeniser(punctuation=True)
         for batch in batches:
             weight, size = _weights(batch.column(0), words, ratio)
-            yield pa.RecordBatch.from_arrays([pa.array(weight / np.maximum(size, 1)), batch.column(1)], ["mean", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(weight / np.maximum(size, 1)), batch.column(1), batch.column(2)], ["mean", "good", "id"])
 
-    told = texts.where("good IS NOT NULL").select("text", "good").mapInArrow(score, "mean double, good int").toPandas()  # about SAMPLE rows
+    scores = texts.where("good IS NOT NULL").select("text", "good", "id").mapInArrow(score, "mean double, good int, id " + dict(texts.dtypes)["id"])
+    told = scores.groupBy("id").agg(F.avg("mean").alias("mean"), F.first("good").alias("good")).select("mean", "good").toPandas()  # at most SAMPLE rows
     drop(sample)
     fine, bad = np.sort(told["mean"][told["good"] == 1].to_numpy()), np.sort(told["mean"][told["good"] != 1].to_numpy())
     if not len(fine) or not len(bad):
@@ -159,13 +161,17 @@ def scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n_grams long, log_weight double, margin double, key long")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_grams, log_weight, margin, kept for every document."""
-    model = fit(docs, labels, id_col, text_col)
+def _settled(model: Model | None, cut: float | None, prior: float) -> Model:
     if model is None:
-        model = Model(np.zeros(BUCKETS), 0.0)
+        return Model(np.zeros(BUCKETS), 0.0)
+    return Model(model.ratio, model.cut if cut is None else cut, prior)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, cut: float | None = None, prior: float = PRIOR) -> DataFrame:
+    """id, n_grams, log_weight, margin, kept for every document; ``k`` of them are kept, or as many as have a positive margin."""
+    model = _settled(fit(docs, labels, id_col, text_col), cut, prior)
     table = written(scored(docs, model, id_col, text_col))
-    k = table.where("margin > 0").count()
+    k = table.where("margin > 0").count() if k is None else min(k, table.count())
     least = kth_largest(table, "key", k) if k else None
     kept: Column = F.col("key") >= F.lit(least) if k else F.lit(False)
     return table.select(F.col("id").alias(id_col), "n_grams", "log_weight", "margin", kept.alias("kept"))

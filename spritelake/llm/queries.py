@@ -5,6 +5,7 @@ Each applies its operator to its whole table with production parameters.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key; without one a fresh key links values within this run only."""
+    return spark.conf.get("spark.spritelake.pseudonymKey", None) or secrets.token_hex(16)
+
+
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonymise(_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,30 @@ def test_loser_tree(k):
     assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
 
 
-def test_history_over_ranges(spark):
+def test_history_over_ranges(spark, monkeypatch):
+    """Many short runs and several ranges: one order, gapless places."""
+    monkeypatch.setattr(warc, "RUN_LINES", 5)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     _, lines = warc.write_archives(spark.read.parquet(f"{SF}/pages.parquet").repartition(4))
-    merged = warc.merge_index(lines, ranges=3).select("url_key", "captured", "id").collect()
-    assert [tuple(r) for r in merged] == sorted(tuple(r) for r in merged) and len(merged) == lines.count()
+    runs = lines.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("most")).collect()
+    assert len(runs) > 4 and all(r["n"] <= 5 and r["most"] == r["n"] - 1 for r in runs)
+    merged = warc.merge_index(lines, ranges=3).collect()
+    merged = sorted(merged, key=lambda r: (r["range"], r["place"]))
+    keys = [(r["url_key"], r["captured"], r["id"]) for r in merged]
+    assert keys == sorted(keys) and len(merged) == lines.count() and len({r["range"] for r in merged}) == 3
+
+
+def test_history_has_no_gaps(spark, monkeypatch):
+    """Places over several ranges count from 0, rows without an id included."""
+    monkeypatch.setattr(warc, "merge_index", lambda lines, merge=warc.merge_index: merge(lines, 3))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    got = warc.archive_round_trip(pages.unionByName(spark.createDataFrame([(None, "http://zz.org/", "only here")], "page_id long, url string, html string"))).collect()
+    assert sorted(r["history_order"] for r in got) == list(range(len(got)))
+    row = next(r for r in got if r["page_id"] is None)
+    assert (row["record_type"], row["refers_to"], row["url_key"]) == ("response", None, "org,zz)/")
+    alike = [(None, "http://a.org/", "x"), (None, "http://a.org/", "x"), (4, "http://b.org/", "x"), (None, "http://c.org/", "alone"), (None, "http://c.org/", "alone")]
+    kinds = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(spark.createDataFrame(alike, "page_id long, url string, html string")).collect())
+    assert kinds == {(None, 1, "revisit", 4): 2, (4, 1, "response", None): 1, (None, 5, "response", None): 2}
 
 
 def cosine_links(rows, threshold=0.98):
@@ -209,7 +229,7 @@ def test_pipeline(spark):
     comp = unions(links, sets)
     kept = {i for i in sets if comp[i] == i}
     assert {r["doc_id"] for r in bins} == kept
-    fresh = {r["doc_id"]: len(r["text"].encode()) for r in pii.pseudonymise(docs.where(F.col("doc_id").isin(*kept))).collect()}
+    fresh = {r["doc_id"]: len(r["text"].encode()) for r in pii.pseudonymise(docs.where(F.col("doc_id").isin(*kept)), "k").collect()}
     size = Counter()
     for r in bins:
         size[r["doc_id"]] += r["length"]

@@ -138,7 +138,7 @@ def test_pseudonyms(spark, odd_docs, no_docs):
     assert all(map(luhn, cards))
     texts = [f"pay {c} now" for c in cards] + ["again 4539148803436467.", "spaced 4539 1488 0343 6467", "bad 4539148803436468", "ip 10.1.2.3 and 300.1.2.3", "born 1999-02-28, 1999-02-30", "call +1 (017) 555-7713 or +49 30 1234567", "ssn 123-45-6789 and 000-12-3456", "mail jo.doe99@example.com", "key 04dbebab91ab85687d33eeaaf9ac699e1188f962", "31/12/2001 12/31/2001 24.12.1999", "version 1.2.3 page 42"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = [r["text"] for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
     fresh = [re.search(r"\d{13,}", o).group() for o in out[:4]]
     assert all(map(luhn, fresh)) and len(set(fresh)) == 4 and all(len(a) == len(b) and a != b for a, b in zip(fresh, cards, strict=True))
     assert out[4] == f"again {fresh[0]}." and out[5].replace(" ", "") == f"spaced{fresh[0]}"
@@ -150,17 +150,17 @@ def test_pseudonyms(spark, odd_docs, no_docs):
     first = out[13].split()[0]
     assert int(first[:2]) > 12 and [len(x) for x in out[13].split()] == [10, 10, 10]
     side = "a 4539148803436467 4485275742308327 b +1 (017) 555-7713 4539148803436467 10.1.2.3 +1 017 555 7713 c"
-    row = pii.pseudonymise(spark.createDataFrame([(1, side)], "doc_id long, text string")).first()["text"].split()
+    row = pii.pseudonymise(spark.createDataFrame([(1, side)], "doc_id long, text string"), "k").first()["text"].split()
     assert row[1:3] == fresh[:2] and row[7] == fresh[0] and "".join(row[4:7]) != "+1(017)555-7713" and re.sub(r"\D", "", "".join(row[4:7])) == re.sub(r"\D", "", "".join(row[9:13])) and row[8] != "10.1.2.3"
-    odd = pii.pseudonymise(odd_docs)
-    assert odd.schema.names == odd_docs.schema.names and odd.exceptAll(odd_docs).count() == 0 and pii.pseudonymise(no_docs).count() == 0
+    odd = pii.pseudonymise(odd_docs, "k")
+    assert odd.schema.names == odd_docs.schema.names and odd.exceptAll(odd_docs).count() == 0 and pii.pseudonymise(no_docs, "k").count() == 0
 
 
 def test_secrets_in_either_case(spark):
     token = "9233a8ec04dbebab91ab85687d33eeaa"
     mixed = "9233A8ec04dbebab91ab85687d33eeaa"
     texts = [f"TOKEN = {token.upper()}", f"token = {token}", f"token = {mixed}", "ID = " + "7" * 32, f"x{token.upper()}"]
-    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     fresh = [t.split()[-1] for t in out]
     assert re.fullmatch("[0-9A-F]{32}", fresh[0]) and fresh[0] != token.upper() and fresh[1] == fresh[0].lower()
     assert re.fullmatch("[0-9A-Fa-f]{32}", fresh[2]) and fresh[2] != mixed and fresh[2].lower() == fresh[1]
@@ -172,12 +172,24 @@ def test_feistel_is_a_permutation(spark):
     numbers = spark.range(1000).select(F.format_string("%03d", "id").alias("t"))
     assert numbers.select(F.array_join(pii._permuted(F.col("t"), "k", "x").cast("array<string>"), "").alias("p")).distinct().where("p rlike '^[0-9]{3}$'").count() == 1000
     dates = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2000-12-31')) AS d").select(F.explode(F.array(F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "MM/dd/yyyy"))).alias("t")).distinct()
-    assert dates.select(pii.pseudonym(F.col("t")).alias("p")).distinct().count() == dates.count()
+    assert dates.select(pii.pseudonym(F.col("t"), "k").alias("p")).distinct().count() == dates.count()
+
+
+def test_a_date_has_one_pseudonym_in_every_notation(spark):
+    """All days of the span are permuted, and each shows the same day however it is written."""
+    days = spark.sql("SELECT explode(sequence(date'1901-01-01', date'2096-12-31')) AS d")
+    fresh = days.select("d", F.to_date(pii.pseudonym(F.date_format("d", "yyyy-MM-dd"), "k")).alias("p"))
+    told = fresh.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.count_if((F.dayofmonth("d") > 12) != (F.dayofmonth("p") > 12))).first()
+    assert [str(x) for x in told] == ["71589", "1901-01-01", "2096-12-31", "0"]
+    late = fresh.where("d BETWEEN date'1999-01-01' AND date'2000-12-31'")
+    for form in ("dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
+        rows = late.where("day(d) > 12") if form == "dd/MM/yyyy" else late
+        assert rows.where(F.to_date(pii.pseudonym(F.date_format("d", form), "k"), form) != F.col("p")).count() == 0
 
 
 def test_native_plans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for df in (pii.pseudonymise(docs), sharding.kd_shards(docs)):
+    for df in (pii.pseudonymise(docs, "k"), sharding.kd_shards(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
@@ -189,16 +201,31 @@ def test_shards(spark, odd_docs, no_docs, shards):
     rows = sharding.kd_shards(docs, shards=shards).toPandas()
     text = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
     assert {i: (len(t) + 1, zlib.crc32(t)) for i, t in text.items()} == {r.doc_id: (r.size, r.text_crc32) for r in rows.rename(columns={"size": "bytes"}).assign(size=rows["size"]).itertuples()}
-    total, largest = rows["size"].sum(), rows["size"].max()
+    total = rows["size"].sum()
+    group = rows.assign(text=rows["doc_id"].map(text)).groupby("text")
+    largest = max(group["size"].sum()[group["size"].sum() <= total / shards / sharding.LARGE].max(), rows["size"].max())
     for _, part in rows.groupby("shard"):
         assert abs(part["size"].sum() - total / shards) <= 3 * largest
         assert sorted(part["slot"]) == list(range(len(part)))
+    small = group["size"].sum() <= total / shards / 2
+    assert (group["shard"].nunique()[small] == 1).all()
     assert rows["shard"].nunique() == shards
     odd = sharding.kd_shards(odd_docs, shards=shards)
     assert odd.count() == odd_docs.count() and sharding.kd_shards(no_docs, shards=shards).count() == 0
     assert sharding.kd_shards(docs, shards=None, target_bytes=1 << 19).groupBy("shard").agg(F.sum("size")).count() == -(-total // (1 << 19))
 
 
+def test_shards_of_rows_that_are_alike(spark):
+    """Half of all rows repeat id and text: they fit no shard, so they are spread; other copies stay together."""
+    rows = [(7, "the same text again")] * 1500 + [(i, f"text {i // 3:08d} of a few") for i in range(1500)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), dimensions=("doc_id",)).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
+    other = got[got["doc_id"] != 7]
+    assert (other.groupby(other["text_crc32"])["shard"].nunique() == 1).all()
+    assert all(sorted(p["slot"]) == list(range(len(p))) for _, p in got.groupby("shard"))
+
+
 def test_packing(spark, odd_docs, no_docs):
     rows = [(i, int(n), f"s{i % 5 if i % 3 else 0}", f"c{i % 40}") for i, n in enumerate(np.random.default_rng(3).integers(0, 300, 400))] + [(900, 1234, None, None), (901, None, "s1", None)]
     df = spark.createDataFrame(rows, "doc long, n long, source string, cluster string")
