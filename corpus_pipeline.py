@@ -20,6 +20,7 @@ from spritelake.llm.ngram_join import representatives
 from spritelake.llm.packing import pack_documents
 from spritelake.llm.pii import pseudonymise
 from spritelake.llm.quality import keep_good
+from spritelake.llm.queries import pseudonym_key
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs)
+    return pseudonymise(docs, pseudonym_key(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
