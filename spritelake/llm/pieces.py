@@ -45,7 +45,7 @@ from .kneser_ney import _range, _save
 
 SPACE = "▁"
 CHUNK, BEFORE = 1024, 128  # positions folded in one row, and looked at before them
-LATTICE_UNITS = 8192  # a partition
+LATTICE_UNITS = 4096  # a partition
 ENDLESS = (1 << 31) - 1
 
 
