@@ -14,8 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     FastSV: each round hooks a node and its parent to the smallest grandparent among its
     neighbours and halves the paths, so rounds grow with the logarithm of the longest chain.
     All steps are joins on keys and minima, which combine before the shuffle; the driver
-    sees only whether anything changed.  Null ends and loops are left out; with no edge the
-    result is empty.
+    sees only whether anything changed.  Edges and states are written tables, so that both sides
+    of a join on a node with very many neighbours come straight from an exchange, and adaptive
+    execution can split it.  Null ends and loops are left out; with no edge the result is empty.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -31,20 +32,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             drop(both)
             return state.select(F.col("u").alias("node"), F.col("f").alias("component"))
-
-
-def in_blocks(near: DataFrame, block: int) -> DataFrame:
-    """(node, task, side): where each node of the neighbourhoods (node, component) is compared.
-
-    A neighbourhood of up to ``block`` nodes lies in one task, with others.  A larger one is cut
-    into blocks by a hash, and each pair of blocks is a task: side 0 and 1 are the two blocks,
-    side 2 is a task that compares its nodes with each other.
-    """
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    tasks = max(1, -(-near.count() // block))
-    cut = near.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.select("node", "component", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(pair)
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return cut.select("node", F.struct((F.col("blocks") == 1).alias("whole"), task.alias("task")).alias("task"), side.alias("side"))

@@ -12,24 +12,31 @@ group in one task or on the driver:
    overlap of at least ``T = ceil(num * |A| / den)``, so classes below it have no link.
 3. The rest orders its shingles by list length, rarest first.  Linked sets share one of the
    first ``|A| - T + 1``; classes that do lie in one neighbourhood.
-4. Each neighbourhood is searched in blocks against blocks: short inverted lists are
+4. A neighbourhood above ``BLOCK`` classes is parted into bands of sizes, each a factor of
+   ``den / num`` wide, so that links lie within a band or between adjacent ones, and the
+   bands into blocks, which are searched one against another: short inverted lists are
    merged, the longest ones are only probed by binary search for the candidates found, and
    sets with the required overlap are kept with their exact overlap.
 5. Links join into components; counts of links are carried back to all copies.
 
+Classes go by a number of their own.  Tables that meet on a key which a third of the rows may
+share (a shingle, a class, a neighbourhood) are written before, so that both sides of the join
+come straight from an exchange and adaptive execution can split such a key.
+
 Texts may be null, empty or of any length; null and wordless texts have an empty set and
 link with nothing.  A row whose id is null gets a null component.  Rows that repeat an id
-are compared as they stand and each gets a result row.  Columns other than the two named
-are not read, so their names do not matter.
+are compared as they stand and each gets a result row, also if their texts differ.  Columns
+other than the two named are not read, so their names do not matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import drop, written
@@ -62,7 +69,8 @@ def _sign(width: int):
         for batch in batches:
             for lo, hi, h, counts in words.chunks(batch.column(1)):
                 n, k1, k2 = signature(shingle_sets(h, counts, width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(_signed(k1)), pa.array(_signed(k2))], ["id", "n", "k1", "k2"])
+                own = [batch.column(i).slice(lo, hi - lo) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(_signed(k1)), pa.array(_signed(k2))], ["id", "told", "n", "k1", "k2"])
 
     return run
 
@@ -172,10 +180,11 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Tokeniser()
         for batch in batches:
-            for lo, hi, h, counts in words.chunks(batch.column(1)):
+            for _, _, h, counts in words.chunks(batch.column(0)):
                 sets = shingle_sets(h, counts, width)
+                _, k1, k2 = signature(sets)
                 ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)))], ["rep", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(k1)), pa.array(_signed(k2)), pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)))], ["k1", "k2", "hashes"])
 
     return run
 
@@ -227,12 +236,12 @@ def _link(num: int, den: int):
     """Links within one task's blocks: counts for each class, and a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps, side, copies = (table[c].to_numpy() for c in ("rep", "side", "copies"))
+        own, side, copies = (table[c].to_numpy() for c in ("c", "side", "copies"))
         flat = table["hashes"].combine_chunks()
         ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U)
         sets = [values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both
-        root, links = list(range(len(reps))), np.zeros(len(reps), np.int64)
+        root, links = list(range(len(own))), np.zeros(len(own), np.int64)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -248,65 +257,104 @@ def _link(num: int, den: int):
                 a, b = find(i), find(j)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-        top = np.array([find(x) for x in range(len(reps))], np.int64)
+        top = np.array([find(x) for x in range(len(own))], np.int64)
         some = np.flatnonzero(links)
-        return pa.table({"rep": reps[some], "root": reps[top[some]], "links": links[some]})
+        return pa.table({"c": own[some], "root": own[top[some]], "links": links[some]})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row a document: id, n_shingles, component_id (smallest id reachable), n_links (other documents linked)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = written(texts.mapInArrow(_sign(width), "id long, n long, k1 long, k2 long"))
+def _band(n: Column, num: int, den: int) -> Column:
+    """Sizes of linked sets lie in one band or in adjacent ones (a little wider than the factor, for rounding)."""
+    if num >= den:
+        return n.cast("int")
+    return F.floor(F.log(n) / F.lit(math.log(den / num) * 1.000001)).cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def in_tasks(near: DataFrame) -> DataFrame:
+    """(c, whole, task, side): where each class of the neighbourhoods (c, n, component, band) is compared.
+
+    A neighbourhood of up to ``BLOCK`` classes lies in one task, with others.  In a larger one a block
+    meets itself and the other blocks of its band and of the bands beside it; each such pair is a task.
+    Side 0 and 1 are the two blocks, side 2 is a task that compares its classes with each other.
+    """
+    tasks = max(1, -(-near.count() // BLOCK))
+    sizes = near.groupBy("component", "band").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int"))))
+    held = written(sizes.groupBy("component").agg(F.sum("size").alias("size"), blocks.alias("blocks")))
+    of = lambda d: F.try_element_at("blocks", F.col("band") + d)
+    cut = near.join(held, "component").withColumn("block", F.pmod(F.xxhash64("c"), of(0)).cast("int"))
+    block, band = F.col("block"), F.col("band")
+    at = lambda side, *key: F.struct(F.xxhash64("component", *key).alias("task"), side.alias("side"))
+    within = F.transform(_upto(of(0)), lambda o: at(F.when(block == o, 2).when(block < o, 0).otherwise(1), band, F.least(block, o), F.greatest(block, o)))
+    above = F.transform(_upto(of(1)), lambda o: at(F.lit(0), band, F.lit(-1), block, o))
+    below = F.transform(_upto(of(-1)), lambda o: at(F.lit(1), band - 1, F.lit(-1), o, block))
+    whole = F.col("size") <= BLOCK
+    alone = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"), F.lit(2).alias("side")))
+    return cut.select("c", whole.alias("whole"), F.explode(F.when(whole, alone).otherwise(F.concat(within, above, below))).alias("x")).select("c", "whole", "x.task", "x.side")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """A row a document: id, told (tells its text from others), n, component_id, n_links, part (number of its component, null without shingles or id)."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    ids = written(texts.withColumn("told", F.xxhash64("text")).mapInArrow(_sign(width), "id long, told long, n long, k1 long, k2 long"))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // POSTINGS_PER_RANGE))
     classes = ids.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
 
     posts = texts.select("text").mapInArrow(_post(width, ranges), "part int, kind int, data binary").withColumn("ranges", F.lit(ranges))
     counts = posts.repartition(ranges, "part").groupBy("part").applyInArrow(_occurs, "home int, data binary")
     shared = counts.groupBy("home").applyInArrow(_sum, "k1 long, shared long")
-    likely = written(classes.join(shared, "k1").where(F.col("shared") * den >= F.col("n") * num).select("rep", "n", "copies"))
-    sets = texts.join(likely.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(width), "rep long, hashes array<long>").dropDuplicates(["rep"])
-    sets = written(sets.join(likely, "rep"))
-
-    posts = sets.select("rep", "n", F.explode("hashes").alias("h"))
-    lengths = posts.groupBy("h").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    first = posts.join(lengths, "h").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "h"))).alias("x"))
+    likely = written(classes.join(shared, "k1").where(F.col("shared") * den >= F.col("n") * num).drop("shared"))
+    # rows that repeat an id may hold other texts too: sets are told by their signature
+    sets = texts.join(likely.select(F.col("rep").alias("id")), "id", "left_semi").select("text").mapInArrow(_sets(width), "k1 long, k2 long, hashes array<long>")
+    sets = written(sets.dropDuplicates(["k1", "k2"]).join(likely.select("k1", "k2", "c", "n", "copies"), ["k1", "k2"]).drop("k1", "k2"))
+
+    posts = sets.select("c", "n", F.explode("hashes").alias("h"))
+    lengths = written(posts.groupBy("h").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
+    first = posts.join(lengths, "h").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "h"))).alias("x"))
     # the shingles of length 1 come first in the order, and none of them is shared
     start = F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1 - (F.col("n") - F.size("x"))
-    first = written(first.where(F.size("x") * den >= F.col("n") * num).select("rep", F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(1), start).cast("int"))).alias("x")).select("rep", "x.h"))
-    leaders = first.groupBy("h").agg(F.min("rep").alias("leader"))
-    near = components(first.join(leaders, "h").where("rep <> leader").select("rep", "leader").distinct(), "rep", "leader")
-    near = written(near)
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    tasks = max(1, -(-near.count() // BLOCK))
-    placed = near.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select(F.col("node").alias("rep"), "component", "blocks", "block", other.alias("o"))
-    low, high = F.least("block", "o"), F.greatest("block", "o")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", low, high))
-    side = F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1)
-    placed = placed.select("rep", task.alias("task"), F.col("blocks").alias("whole"), side.alias("side"))
-    found = written(sets.join(placed, "rep").groupBy("task", "whole").applyInArrow(_link(num, den), "rep long, root long, links long"))
-
-    groups = components(found.where("rep <> root"), "rep", "root")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    first = written(first.where(F.size("x") * den >= F.col("n") * num).select("c", F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(1), start).cast("int"))).alias("x")).select("c", "x.h"))
+    leaders = written(first.groupBy("h").agg(F.min("c").alias("leader")))
+    near = components(first.join(leaders, "h").where("c <> leader").select("c", "leader"), "c", "leader")
+    near = written(near.withColumnRenamed("node", "c").join(likely.select("c", "n"), "c").withColumn("band", _band(F.col("n"), num, den)))
+    found = written(sets.join(in_tasks(near), "c").groupBy("whole", "task").applyInArrow(_link(num, den), "c long, root long, links long"))
+    drop(near, leaders, first, lengths, likely, sets)
+
+    groups = components(found.where("c <> root"), "c", "root").withColumnRenamed("node", "c")
+    least = written(groups.join(classes.select("c", "rep"), "c").groupBy("component").agg(F.min("rep").alias("least")))
+    counts = found.groupBy("c").agg(F.sum("links").alias("links"))
+    known = classes.select("k1", "k2", "c", "rep", "copies").join(counts, "c", "left").join(groups, "c", "left").join(least, "component", "left")
+    told = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    known = known.select("k1", "k2", F.coalesce("least", "rep").alias("least"), told.alias("links"), F.coalesce("component", "c").alias("part"))
+    some = (F.col("n") > 0) & F.col("id").isNotNull()
     out = ids.join(known, ["k1", "k2"], "left")
-    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
-    links = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
-    drop(near, first, likely, sets)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), links.cast("long").alias("n_links"))
+    return out.select("id", "told", "n", F.when(some, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.when(some, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(some, F.col("part")).alias("part"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row a document: id, n_shingles, component_id (smallest id reachable), n_links (other documents linked)."""
+    found = _grouped(docs, id_col, text_col, width, num, den)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those that aren't the first of their component; of rows that repeat an id one stays.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id (of such rows any one of a text); of equal rows without a shingle one stays.
 
-    Rows whose id is null are compared with nothing and stay.
+    Rows that repeat an id with texts that don't link both stay.  Rows whose id is null are
+    compared with nothing and stay.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*(f"`{c}`" for c in docs.columns))
+    told = "spritelake_told"
+    found = _grouped(docs, id_col, text_col, width, num, den).where("id IS NOT NULL")
+    alone = F.col("part").isNull()
+    first = found.groupBy("part", F.when(alone, F.col("id")), F.when(alone, F.col("told"))).agg(F.min(F.struct("id", "told")).alias("x"))
+    first = first.select(F.col("x.id").alias(id_col), F.col("x.told").alias(told))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.withColumn(told, F.xxhash64(F.col(f"`{text_col}`"))).join(first, [id_col, told], "left_semi").dropDuplicates([id_col, told])
+    return kept.select(*names).unionByName(docs.where(F.col(f"`{id_col}`").isNull()).select(*names))

@@ -84,6 +84,34 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert got == {i: (comp[i], degree[i]) for i in sets}
 
 
+def test_jaccard_join_over_bands_of_sizes(spark, monkeypatch):
+    """One neighbourhood of sets from 20 to 200 shingles in many blocks: prefixes of one text, each linked with those a third longer."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = [(k, " ".join(f"v{i}" for i in range(k))) for k in [*range(24, 60), *range(60, 205, 3)]]
+    sets, links = jaccard(rows)
+    comp, degree = unions(links, sets), Counter(x for e in links for x in e)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (comp[i], degree[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("num", "den"), [(75, 100), (9, 10), (1, 2), (1, 1), (99, 100)])
+def test_bands_are_adjacent(spark, num, den):
+    """Sizes at the very bound of a link are never two bands apart."""
+    pairs = spark.range(1, 20_000).selectExpr("id AS a", f"greatest(id, id * {den} div {num}) AS b")
+    far = pairs.where(ngram_join._band(F.col("b"), num, den) - ngram_join._band(F.col("a"), num, den) > 1)
+    assert far.count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows that repeat an id with other texts are compared each on its own."""
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, one), (5, two), (5, one), (7, two + " more"), (9, one + " more"), (9, "few words"), (3, two + " and more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == [(3, 38, 3, 2), (5, 36, 3, 2), (5, 36, 5, 2), (5, 36, 5, 2), (7, 37, 3, 2), (9, 1, 9, 0), (9, 37, 5, 2)]
+    assert sorted(tuple(r) for r in ngram_join.representatives(df).collect()) == [(3, two + " and more"), (5, one), (9, "few words")]
+
+
 def test_search_at_the_threshold():
     """Links exactly at 0.75 count, just below they don't."""
     x = np.arange(4, dtype=np.uint64)
