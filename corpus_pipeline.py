@@ -7,7 +7,7 @@
 4. What is left is packed into bins; the result tells where each piece of each document lies.
 
 Null texts have no n-grams and no shingles: they stay, and take one unit of a bin.  Rows that
-repeat an id are one document to stage 2, which keeps one of them.  Columns beside those of
+repeat an id are compared by stage 2 each by its text; of those that repeat text and id one stays.  Columns beside those of
 documents pass through until the last stage.
 """
 
