@@ -1,4 +1,4 @@
-"""Queries of the ten corpus operators: name -> (spark, sf_dir) -> DataFrame, and their SQL.
+"""Queries of the corpus operators: name -> (spark, sf_dir) -> DataFrame, and their SQL.
 
 Each applies its operator to its whole table with production parameters.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .kneser_ney import train_and_score
 from .media import copies, rendered
+from .merkle import verified_manifest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .pieces import PieceTable, round_trip
@@ -77,8 +78,12 @@ def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring, op12_merkle_manifest)}
 
 
 #: Components of the pairs ``link(a, b)`` by recursive UNION; ``node(id)`` holds all ids.
@@ -102,7 +107,26 @@ CAPTURES = r"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(htm
             lower(array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', ''), '.')), ',') || ')' || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), ''), '/') || CASE WHEN regexp_extract(url, '\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '\?([^#]*)', 1) ELSE '' END) AS url_key FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, url_key, (row_number() OVER (ORDER BY url_key, page_id) - 1)::BIGINT AS history_order FROM d"""
 
+_FIELDS = "concat({})".format(", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "{n}", "text")))
+
+#: Nodes of all levels bottom up, each leaf's siblings by its index divided, and its fold, with n_chars + 1 where it was tampered with.
+MERKLE = f"""WITH RECURSIVE bits AS (SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS t FROM range(0, 256) r(b)),
+        tab AS (SELECT list(t ORDER BY b) AS t FROM bits),
+        ids AS (SELECT *, doc_id::VARCHAR AS s FROM documents),
+        crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c // 256, t[1 + (xor(c % 256, x))])), 4294967295) AS c FROM ids, tab),
+        l AS (SELECT d.doc_id, coalesce('=' || lang, '') AS g, sha256({_FIELDS.format(n="n_chars")}) AS leaf, CASE WHEN c % 7 = 0 THEN sha256({_FIELDS.format(n="(n_chars + 1)")}) ELSE sha256({_FIELDS.format(n="n_chars")}) END AS given FROM documents d JOIN crc USING (doc_id)),
+        lv AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+        up AS (SELECT g, 0 AS h, i, n, leaf AS d FROM lv UNION ALL SELECT g, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY g, h, i // 2, n),
+        tops AS (SELECT g, h, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+        ov AS (SELECT 0 AS h, i, n, d FROM tops UNION ALL SELECT h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM ov WHERE n > 1 GROUP BY h, i // 2, n),
+        walk AS (SELECT doc_id, lv.g, leaf, given AS d, 0 AS h, lv.i, lv.n, false AS over, '' AS sibs, t.h AS height, t.d AS subroot, t.i AS ti, t.n AS tn FROM lv JOIN tops t USING (g)
+            UNION ALL SELECT w.doc_id, w.g, w.leaf, CASE WHEN w.h < w.height OR w.over THEN sha256(CASE WHEN w.i % 2 = 1 THEN coalesce(s.d, o.d, '') || w.d ELSE w.d || coalesce(s.d, o.d, '') END) ELSE w.d END,
+                CASE WHEN w.over OR w.h < w.height THEN w.h + 1 ELSE 0 END, CASE WHEN w.over OR w.h < w.height THEN w.i // 2 ELSE w.ti END, CASE WHEN w.over OR w.h < w.height THEN (w.n + 1) // 2 ELSE w.tn END, w.over OR w.h >= w.height, w.sibs || coalesce(s.d, o.d, ''), w.height, w.subroot, w.ti, w.tn
+            FROM walk w LEFT JOIN up s ON NOT w.over AND w.h < w.height AND s.g = w.g AND s.h = w.h AND s.i = xor(w.i, 1) LEFT JOIN ov o ON w.over AND o.h = w.h AND o.i = xor(w.i, 1) WHERE NOT (w.over AND w.n = 1)),
+        root AS (SELECT d AS root FROM ov WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(sibs) AS proof_sha256, d AS folded_root, d = root AS verified FROM walk, root WHERE over AND n = 1"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; tests/llm holds the others against slow versions."""
-    return {"op5_ngram_jaccard_join": JACCARD, "op6_warc_index_merge": CAPTURES, "op7_pq_near_duplicates": COSINE}
+    return {"op5_ngram_jaccard_join": JACCARD, "op6_warc_index_merge": CAPTURES, "op7_pq_near_duplicates": COSINE, "op12_merkle_manifest": MERKLE}
