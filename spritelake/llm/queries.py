@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .kneser_ney import train_and_score
 from .media import copies, rendered
 from .merkle import verified_manifest
@@ -24,7 +25,14 @@ from .vectors import cosine_components
 from .warc import archive_round_trip
 
 
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+def tokenizer(spark: SparkSession, setting: str, name: str) -> str:
+    """The path of a vocabulary file: the session's setting, else that of the public package."""
+    given = spark.conf.get(f"spark.spritelake.{setting}", None)
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,19 +79,25 @@ def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "documents"), PieceTable(TOKENIZER))
+    return round_trip(_table(spark, sf_dir, "documents"), PieceTable(tokenizer(spark, "pieceModel", "piece_bpe_32k.model")))
 
 
 def op10_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.Ranks(tokenizer(spark, "byteRanks", "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring, op11_bpe_merge_replay, op12_merkle_manifest)}
 
 
 #: Components of the pairs ``link(a, b)`` by recursive UNION; ``node(id)`` holds all ids.

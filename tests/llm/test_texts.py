@@ -335,7 +335,7 @@ def test_kneser_ney(spark, odd_docs, no_docs):
 
 @pytest.fixture(scope="module")
 def table():
-    return pieces.PieceTable(queries.TOKENIZER)
+    return pieces.PieceTable("/opt/tokenizers/piece_bpe_32k.model")
 
 
 def test_pieces_equal_the_library(spark, odd_docs, no_docs, table):
