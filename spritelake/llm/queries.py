@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .kneser_ney import train_and_score
+from .lexical import ranked
 from .media import copies, rendered
 from .merkle import verified_manifest
 from .ngram_join import jaccard_components
@@ -96,8 +97,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring, op11_bpe_merge_replay, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_pii_pseudonyms, op4_kd_sharding, op5_ngram_jaccard_join, op6_warc_index_merge, op7_pq_near_duplicates, op8_image_copies, op9_sentencepiece_lattice, op10_kneser_ney_scoring, op11_bpe_merge_replay, op12_merkle_manifest, op13_lexical_search)}
 
 
 #: Components of the pairs ``link(a, b)`` by recursive UNION; ``node(id)`` holds all ids.
@@ -140,7 +145,18 @@ MERKLE = f"""WITH RECURSIVE bits AS (SELECT b, list_reduce(list_prepend(b, range
         root AS (SELECT d AS root FROM ov WHERE n = 1)
         SELECT doc_id, leaf, subroot, root, sha256(sibs) AS proof_sha256, d AS folded_root, d = root AS verified FROM walk, root WHERE over AND n = 1"""
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+LEXICAL = f"""WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+        g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d), m AS (SELECT doc_id, 25 + (75 * n * docs) // total AS m FROM d, g),
+        tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL),
+        wt AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), g),
+        q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; tests/llm holds the others against slow versions."""
-    return {"op5_ngram_jaccard_join": JACCARD, "op6_warc_index_merge": CAPTURES, "op7_pq_near_duplicates": COSINE, "op12_merkle_manifest": MERKLE}
+    return {"op5_ngram_jaccard_join": JACCARD, "op6_warc_index_merge": CAPTURES, "op7_pq_near_duplicates": COSINE, "op12_merkle_manifest": MERKLE, "op13_lexical_search": LEXICAL}
