@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import drop, written
+from .pieces import _ranges
 
 #: Fixed value: terms are the maximal matches of this.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,7 +45,7 @@ SHARD, DOCUMENTS = 16 << 20, 1 << 16  # bytes of text and documents in a shard
 LONGEST, COST = 64, 1_000_000  # postings in a block; what a block costs, in addends of at most 1,000,000
 QUERIES = 256  # answered together
 TERMS = 200_000  # of the queries: up to this many their table is broadcast
-STRIDE = 512
+STRIDE = 128  # pivots scored together at first
 
 
 def lowered(text: Column) -> Column:
@@ -128,13 +129,11 @@ class _Shard:
             after_block = np.searchsorted(ends, stop, "right")
             of = np.repeat(stop - df, after_block - first_block)
             ends, adds = (ends - of).astype(np.int32), adds.astype(np.int32)
-            names = list(self.terms)
-            cut = lambda data, a, b: pa.array([data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
-            for k in range(0, len(names), batch):
-                to = slice(k, k + batch)
-                a, b, c, d = stop[to] - df[to], stop[to], first_block[to], after_block[to]
-                columns = [pa.array([x.decode() for x in names[to]]), pa.array(df[to]), cut(doc, a, b), cut(adds, a, b), cut(ends, c, d), cut(tops, c, d)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(a), pa.int64()), *columns, pa.nulls(len(a), pa.list_(pa.int64()))], [x.split()[0] for x in INDEX.split(", ")])
+            names = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+            lists = {"docs": (doc, np.append(stop - df, stop[-1])), "adds": (adds, np.append(stop - df, stop[-1])), "ends": (ends, np.append(first_block, len(ends))), "tops": (tops, np.append(first_block, len(ends)))}
+            held = [pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((at * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]) for data, at in lists.values()]
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(names), shard)), names, pa.array(df), *held, pa.nulls(len(names), pa.list_(pa.int64()))], [x.split()[0] for x in INDEX.split(", ")])
+            yield from (whole.slice(k, batch) for k in range(0, len(names), batch))
             ids = [self.ids[i] for i in by_length.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([""]), pa.array([n], pa.int64()), *([pa.array([b""], pa.binary())] * 4), pa.array([ids], pa.list_(pa.int64()))], [x.split()[0] for x in INDEX.split(", ")])
         self.clear()
@@ -159,49 +158,52 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     return written(rows.mapInArrow(run, INDEX))
 
 
-class _List:
-    """A posting list as a query reads it."""
-
-    def __init__(self, docs: bytes, adds: bytes, ends: bytes, tops: bytes):
-        self.docs, self.adds, self.tops = np.frombuffer(docs, np.uint16), np.frombuffer(adds, np.int32), np.frombuffer(tops, np.int32).astype(np.int64)
-        ends = np.frombuffer(ends, np.int32)
-        self.first, self.after = self.docs[np.concatenate([[0], ends[:-1]])].astype(np.int64), self.docs[ends - 1].astype(np.int64) + 1
-
-
-def best(lists: list[tuple[_List, int]], n: int, place: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of the ``top`` highest scores above 0 of a shard of ``n`` documents, equal ones by ``place``."""
-    value = np.concatenate([x.tops * w for x, w in lists]).astype(np.float64)  # whole numbers below 2**53
-    change = np.bincount(np.concatenate([x.first for x, _ in lists]), value, n + 1) - np.bincount(np.concatenate([x.after for x, _ in lists]), value, n + 1)
-    bound = np.cumsum(change)[:n].astype(np.int64)
-    docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def score(some: np.ndarray) -> np.ndarray:
-        total, key = np.zeros(len(some), np.int64), some.astype(np.uint16)
-        for x, w in lists:
-            at = np.searchsorted(x.docs, key)
-            at[at == len(x.docs)] = 0
-            hit = x.docs[at] == key
-            total[hit] += w * x.adds[at[hit]].astype(np.int64)
-        return total
-
-    def take(some: np.ndarray) -> int:
-        """Scores documents; the score that others must reach."""
-        nonlocal docs, scores
-        found = score(some)
-        docs, scores = np.concatenate([docs, some[found > 0]]), np.concatenate([scores, found[found > 0]])
-        order = np.lexsort((place[docs], -scores))[:top]
-        docs, scores = docs[order], scores[order]
-        return int(scores[-1]) if len(scores) == top else 1
-
-    first = np.sort(np.argpartition(-bound, 4 * top)[: 4 * top]) if n > 4 * top else np.arange(n)
-    least = take(first[bound[first] > 0])
-    bound[first] = 0
-    pivots = np.flatnonzero(bound >= least)
-    while len(pivots):
-        least = take(pivots[:STRIDE])
-        pivots = pivots[STRIDE:]
-        pivots = pivots[bound[pivots] >= least]
-    return docs, scores
+class _Lists:
+    """The posting lists of a shard that queries read: postings one after another, and the blocks of each list."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes, bytes]]):
+        self.docs, self.adds = np.frombuffer(b"".join(r[0] for r in rows), np.uint16), np.frombuffer(b"".join(r[1] for r in rows), np.int32)
+        self.blocks, at = [], 0
+        for docs, _, ends, tops in rows:
+            n, end = len(docs) // 2, np.frombuffer(ends, np.int32).astype(np.int64)
+            begin = np.concatenate([[0], end[:-1]])
+            here = self.docs[at : at + n]
+            self.blocks.append(np.array([here[begin], here[end - 1], begin + at, end - begin, np.frombuffer(tops, np.int32)], np.int64))
+            at += n
+
+    def best(self, wanted: list[tuple[int, int]], n: int, place: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the ``top`` highest scores above 0 of a shard of ``n`` documents, equal ones by
+        ``place``; a query is its lists and their weights."""
+        blocks = np.concatenate([self.blocks[k] for k, _ in wanted], axis=1)
+        weight = np.repeat([w for _, w in wanted], [self.blocks[k].shape[1] for k, _ in wanted])
+        first, last, begin, size, tops = blocks
+        value = (tops * weight).astype(np.float64)  # whole numbers below 2**53
+        bound = np.cumsum((np.bincount(first, value, n + 1) - np.bincount(last + 1, value, n + 1))[:n]).astype(np.int64)
+        docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def take(some: np.ndarray) -> int:
+            """Scores documents from the blocks that they may be in; the score that others must reach."""
+            nonlocal docs, scores
+            so_far = np.zeros(n + 1, np.int64)
+            so_far[some + 1] = 1
+            so_far = np.cumsum(so_far)
+            read = np.flatnonzero(so_far[last + 1] > so_far[first])
+            at = _ranges(begin[read], size[read])
+            found = np.bincount(self.docs[at], self.adds[at] * np.repeat(weight[read], size[read]).astype(np.float64), n)[some].astype(np.int64)
+            docs, scores = np.concatenate([docs, some[found > 0]]), np.concatenate([scores, found[found > 0]])
+            order = np.lexsort((place[docs], -scores))[:top]
+            docs, scores = docs[order], scores[order]
+            return int(scores[-1]) if len(scores) == top else 1
+
+        highest = np.sort(np.argpartition(-bound, 4 * top)[: 4 * top]) if n > 4 * top else np.arange(n)
+        least = take(highest[bound[highest] > 0])
+        bound[highest] = 0
+        pivots, stride = np.flatnonzero(bound >= least), STRIDE
+        while len(pivots):
+            least = take(pivots[:stride])
+            pivots = pivots[stride:]
+            pivots, stride = pivots[bound[pivots] >= least], stride * 2
+        return docs, scores
 
 
 def search(table: DataFrame, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_col: str = "doc_id", top: int = 10) -> DataFrame:
@@ -220,19 +222,20 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
     every = table.where("term = ''").select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *nothing, "ids")
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, by_query = [], {}
+        ids, kept, by_query = [], [], {}
         for docs, adds, ends, tops, asking, held in zip(*(rows[c].to_pylist() for c in ("docs", "adds", "ends", "tops", "asking", "ids")), strict=True):
             if held is not None:
                 ids = held
                 continue
-            found = _List(docs, adds, ends, tops)
             for a in asking:
-                by_query.setdefault(a["q"], []).append((found, a["weight"]))
+                by_query.setdefault(a["q"], []).append((len(kept), a["weight"]))
+            kept.append((docs, adds, ends, tops))
+        lists = _Lists(kept)
         place = np.empty(len(ids), np.int64)
         place[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))] = np.arange(len(ids))
         out: list[tuple[int, int | None, int]] = []
         for q, wanted in by_query.items():
-            docs, scores = best(wanted, len(ids), place, top)
+            docs, scores = lists.best(wanted, len(ids), place, top)
             out += [(q, ids[d], s) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("q", "doc", "score"))})
 
