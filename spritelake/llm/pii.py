@@ -16,7 +16,8 @@ so they stay linked; the text keeps its length unless a date is written without
 | mail address | host with a dot | letters and digits before the @ |
 | secret | 32 to 64 hex digits in either case, letters among them | the hex digits, which keep their case |
 
-The key is the caller's: whoever knows it can undo the pseudonyms.
+The key is the caller's: whoever knows it can undo the pseudonyms.  It reaches the expressions as the
+one value of a table, by a scalar subquery, so that no plan, and with it no event log, shows it.
 
 Hex digits that differ only by case are one value, so their pseudonyms differ at most by case.
 What isn't valid stays as it is.  Null texts stay null, empty ones empty; texts of any length
@@ -54,7 +55,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def feistel(digits: Column, radices: Column, key: str, kind: str) -> Column:
+def feistel(digits: Column, radices: Column, key: Column, kind: str) -> Column:
     """A keyed permutation of the numbers ``digits``, each below its radix.
 
     The left half of the numbers gets the keyed hash of the right one added, each modulo its
@@ -65,7 +66,7 @@ def feistel(digits: Column, radices: Column, key: str, kind: str) -> Column:
     left_radix, right_radix = F.slice(radices, F.lit(1), half), F.slice(radices, half + 1, rest)
 
     def add(to: Column, radix: Column, by: Column, turn: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(f"{key}|{kind}"), turn.cast("string"), F.array_join(by.cast("array<string>"), ",")).cast("binary"), 512)
+        stream = F.sha2(F.concat_ws("|", key, F.lit(kind), turn.cast("string"), F.array_join(by.cast("array<string>"), ",")).cast("binary"), 512)
         number = lambda h, j: F.conv(F.substring(h, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
         return _let(stream, lambda h: F.transform(to, lambda x, j: (x + number(h, j)) % F.get(radix, j)))
 
@@ -103,7 +104,7 @@ def _digits(text: Column) -> Column:
     return _characters(F.regexp_replace(text, r"\D", "")).cast("array<int>")
 
 
-def _permuted(text: Column, key: str, kind: str) -> Column:
+def _permuted(text: Column, key: Column, kind: str) -> Column:
     """The digits of a text, permuted."""
     return _let(_digits(text), lambda d: feistel(d, F.array_repeat(F.lit(10), F.size(d)), key, kind))
 
@@ -114,7 +115,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + _let(F.get(digits, i) * F.when((n - i) % 2 == 1, 2).otherwise(1), lambda x: F.when(x > 9, x - 9).otherwise(x)))
 
 
-def _card(text: Column, key: str) -> Column:
+def _card(text: Column, key: Column) -> Column:
     def valid(d: Column) -> Column:
         body = F.slice(d, F.lit(1), F.size(d) - 1)
         check = (10 - _luhn(body) % 10) % 10
@@ -124,14 +125,14 @@ def _card(text: Column, key: str) -> Column:
     return _let(_digits(text), valid)
 
 
-def _phone(text: Column, key: str) -> Column:
+def _phone(text: Column, key: Column) -> Column:
     code = F.regexp_extract(text, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
     rest = F.substring(text, F.length(code) + 1, F.length(text))
     count = F.length(F.regexp_replace(text, r"\D", ""))
     return F.when(count.between(8, 15), F.concat(code, _refill(rest, _strings(_permuted(rest, key, "phone")), r"\d"))).otherwise(text)
 
 
-def _ssn(text: Column, key: str) -> Column:
+def _ssn(text: Column, key: Column) -> Column:
     part = F.split(text, "-").cast("array<int>")
     area, group, serial = part[0], part[1], part[2]
     valid = (area.between(1, 899)) & (area != 666) & (group > 0) & (serial > 0)
@@ -140,7 +141,7 @@ def _ssn(text: Column, key: str) -> Column:
     return F.when(valid, fresh).otherwise(text)
 
 
-def _date(text: Column, key: str) -> Column:
+def _date(text: Column, key: Column) -> Column:
     """Day first where a dot divides; with a slash month first unless only day first is a date."""
     part = F.split(text, r"[-/.]")
     ymd = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
@@ -174,7 +175,7 @@ def _date(text: Column, key: str) -> Column:
     return F.coalesce(_let(day, lambda d: F.when(F.year(d).between(1901, 1900 + YEARS), shown(d)).otherwise(text)), text)
 
 
-def _ipv4(text: Column, key: str) -> Column:
+def _ipv4(text: Column, key: Column) -> Column:
     part = F.split(text, r"\.").cast("array<int>")
     fresh = F.array_join(_strings(feistel(part, F.array_repeat(F.lit(256), 4), key, "ipv4")), ".")
     return F.when(F.forall(part, lambda x: x <= 255), fresh).otherwise(text)
@@ -183,7 +184,7 @@ def _ipv4(text: Column, key: str) -> Column:
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _mail(text: Column, key: str) -> Column:
+def _mail(text: Column, key: Column) -> Column:
     local, host = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
     moving = _characters(F.regexp_replace(local, "[^A-Za-z0-9]", ""))
     base = lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).otherwise(65)
@@ -193,7 +194,7 @@ def _mail(text: Column, key: str) -> Column:
     return F.when(local.rlike("[A-Za-z0-9]"), F.concat(_let(fresh, lambda f: _refill(local, f, "[A-Za-z0-9]")), F.lit("@"), host)).otherwise(text)
 
 
-def _secret(text: Column, key: str) -> Column:
+def _secret(text: Column, key: Column) -> Column:
     numbers = F.transform(_characters(text), lambda c: F.conv(c, 16, 10).cast("int"))
     lower = text.rlike("[a-f]")  # without any, new letters are upper-case too
     shown = lambda x, c: F.when(lower & ~c.rlike("[A-F]"), _at("0123456789abcdef", x)).otherwise(_at("0123456789ABCDEF", x))
@@ -201,7 +202,7 @@ def _secret(text: Column, key: str) -> Column:
     return F.when(text.rlike("[A-Fa-f]"), fresh).otherwise(text)
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of one found value."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
@@ -210,7 +211,7 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(text: Column, key: str) -> Column:
+def pseudonymised(text: Column, key: Column) -> Column:
     """A text with its values replaced: the parts between the finds, and the pseudonyms, in turn."""
     # a cheap test first: without a mark of any kind there is nothing to find
     candidate = text.rlike(r"@|\d[\d .()/-]{6}|[0-9A-Fa-f]{32}")
@@ -221,5 +222,9 @@ def pseudonymised(text: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in its text column; rows and the other columns stay as they are."""
-    new = pseudonymised(F.col(f"`{text_col}`"), key)
-    return docs.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    held = "key"
+    while held in docs.columns:
+        held += "_"
+    keyed = docs.withColumn(held, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    new = pseudonymised(F.col(f"`{text_col}`"), F.col(held))
+    return keyed.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -49,8 +49,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    """The session's key; without one a fresh key links values within this run only."""
-    return spark.conf.get("spark.spritelake.pseudonymKey", None) or secrets.token_hex(16)
+    """The session's key; without one a fresh key links values within this run only.
+
+    Spark shows settings whose name holds "secret" as redacted, in its pages and in event logs.
+    """
+    return spark.conf.get("spark.spritelake.pseudonymSecret", None) or secrets.token_hex(16)
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

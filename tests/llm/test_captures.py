@@ -221,9 +221,9 @@ def test_components_do_not_depend_on_blocks(spark, monkeypatch):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    spark.conf.set("spark.spritelake.pseudonymKey", "k")
+    spark.conf.set("spark.spritelake.pseudonymSecret", "k")
     bins = corpus_pipeline.run(spark, SF).collect()
-    spark.conf.unset("spark.spritelake.pseudonymKey")
+    spark.conf.unset("spark.spritelake.pseudonymSecret")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r["doc_id"] for r in quality.classify(docs, labels).where("kept").collect()}
     text = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -198,21 +198,21 @@ def test_secrets_in_either_case(spark):
 def test_feistel_is_a_permutation(spark):
     """All dates of two years and all three-digit numbers have different images of the same kind."""
     numbers = spark.range(1000).select(F.format_string("%03d", "id").alias("t"))
-    assert numbers.select(F.array_join(pii._permuted(F.col("t"), "k", "x").cast("array<string>"), "").alias("p")).distinct().where("p rlike '^[0-9]{3}$'").count() == 1000
+    assert numbers.select(F.array_join(pii._permuted(F.col("t"), F.lit("k"), "x").cast("array<string>"), "").alias("p")).distinct().where("p rlike '^[0-9]{3}$'").count() == 1000
     dates = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2000-12-31')) AS d").select(F.explode(F.array(F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "MM/dd/yyyy"))).alias("t")).distinct()
-    assert dates.select(pii.pseudonym(F.col("t"), "k").alias("p")).distinct().count() == dates.count()
+    assert dates.select(pii.pseudonym(F.col("t"), F.lit("k")).alias("p")).distinct().count() == dates.count()
 
 
 def test_a_date_has_one_pseudonym_in_every_notation(spark):
     """All days of the span are permuted, and each shows the same day however it is written."""
     days = spark.sql("SELECT explode(sequence(date'1901-01-01', date'2096-12-31')) AS d")
-    fresh = days.select("d", F.to_date(pii.pseudonym(F.date_format("d", "yyyy-MM-dd"), "k")).alias("p"))
+    fresh = days.select("d", F.to_date(pii.pseudonym(F.date_format("d", "yyyy-MM-dd"), F.lit("k"))).alias("p"))
     told = fresh.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.count_if((F.dayofmonth("d") > 12) != (F.dayofmonth("p") > 12))).first()
     assert [str(x) for x in told] == ["71589", "1901-01-01", "2096-12-31", "0"]
     late = fresh.where("d BETWEEN date'1999-01-01' AND date'2000-12-31'")
     for form in ("dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
         rows = late.where("day(d) > 12") if form == "dd/MM/yyyy" else late
-        assert rows.where(F.to_date(pii.pseudonym(F.date_format("d", form), "k"), form) != F.col("p")).count() == 0
+        assert rows.where(F.to_date(pii.pseudonym(F.date_format("d", form), F.lit("k")), form) != F.col("p")).count() == 0
 
 
 def test_native_plans(spark):
@@ -380,3 +380,29 @@ def test_scored_pieces_equal_a_slow_search(spark):
         for k in range(1, len(best)):
             best[k] = max(best[k - n] + score[r["unit"][k - n : k]] for n in range(1, min(5, k) + 1) if r["unit"][k - n : k] in score)
         assert sum(score[names[i]] for i in got) == best[-1]
+
+
+def test_packing_of_rows_that_are_alike(spark):
+    """A third of all rows are one row again and again: dealt out evenly, each once, packed in a time that grows with the rows."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id")).alias("doc"), F.when(F.col("id") % 3 == 0, 40).otherwise(F.col("id") % 97).alias("n"), F.lit("s").alias("source"), F.when(F.col("id") % 3 == 0, "c").otherwise(F.col("id").cast("string")).alias("cluster"))
+    got = packing.pack(rows, "doc", "n", "source", "cluster", capacity=500, per_source=4, group=1000).toPandas()
+    assert len(got) == 20_000 and (got["doc"] == -7).sum() == 6667 and got[got["doc"] == -7]["bin_id"].nunique() == 6667
+    share = got[got["doc"] == -7].groupby(got["bin_id"] // (1 << 32)).size()
+    assert len(share) == 20 and share.max() - share.min() <= 1
+
+
+def test_best_fit_with_copies_equals_the_slow_search():
+    lengths, sources, clusters = [30] * 120 + [20] * 60 + [10] * 60, [0, 1, 2] * 80, [0] * 100 + [1] * 80 + list(range(2, 62))
+    got = sorted(packing.best_fit(lengths, sources, clusters, 100, 2))
+    assert [x[4] for x in got] == list(best_fit_slowly(lengths, sources, clusters, 100, 2))
+    assert len({x[4] for x in packing.best_fit([5] * 50_000, [None] * 50_000, [1] * 50_000, 100, 2)}) == 50_000
+
+
+def test_no_plan_shows_the_key(spark):
+    df = pii.pseudonymise(spark.createDataFrame([(1, "call 415-555-0132")], "key long, text string"), "a-very-private-key")
+    df.collect()
+    plan = df._jdf.queryExecution()
+    assert "a-very-private-key" not in plan.toString() and "a-very-private-key" not in plan.stringWithStats() and "a-very-private-key" not in plan.executedPlan().toString()
+    import re
+
+    assert re.search(spark.conf.get("spark.redaction.regex"), "spark.spritelake.pseudonymSecret")
