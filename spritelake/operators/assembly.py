@@ -36,22 +36,98 @@ def cut_sheet(sheet: np.ndarray, columns: int, rows: int = 1) -> list[np.ndarray
     return out
 
 
-def layout(metrics: DataFrame, canvas: tuple[int, int], anchor: tuple[int, int], padding: int = 0) -> DataFrame:
-    """clip, scale: the largest scale up to 1 at which every frame, held at its foot, stays on the canvas.
-
-    Each frame reaches so far left, right, up and down from its foot; the canvas leaves so much
-    room around the anchor; the least ratio over all frames and sides decides.
+def layout(frames: DataFrame, canvas: tuple[int, int] | None = None, anchor: tuple[int, int] | None = None, padding: int = 2, allow_upscale: bool = False) -> DataFrame:
+    """How each clip's frames share one canvas, all scaled alike and held at their feet.
+
+    clip, canvas_w, canvas_h, anchor_x, anchor_y, scale, target_w, target_h and fault.  Frames have
+    their own canvas (w, h), box and foot.  What a clip needs are the common bounds of its boxes; from
+    the foot they reach left, right, up and down, and the canvas leaves its room beside the anchor less the
+    padding, but for the side below, where a foot stands close to the edge on purpose.  The least ratio of room to
+    reach is the scale, at most 1 unless it may grow.  Without ``canvas`` the largest frame and its padding make one,
+    and without ``anchor`` that is its middle above the padding.
+
+    Faults are rows, not errors: frames of different canvases, feet outside of them, and bounds
+    that would shrink below 4 pixels (such clips have the scale that says so).
+    """
+    side = lambda given, size: F.lit(given) if given is not None else (F.max(size) + 2 * padding)
+    wide, high = canvas or (None, None)
+    bounds = [F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1")]
+    feet = [f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("foot_x", "foot_y", "w", "h")]
+    per = frames.groupBy("clip").agg(side(wide, "w").alias("canvas_w"), side(high, "h").alias("canvas_h"), *bounds, *feet)
+    at = (F.lit(anchor[0]), F.lit(anchor[1])) if anchor else (F.floor(F.col("canvas_w") / 2), F.col("canvas_h") - padding - 1)
+    per = per.withColumns({"anchor_x": at[0].cast("int"), "anchor_y": at[1].cast("int")})
+    sides = [
+        (F.col("most_foot_x") - F.col("bx0"), F.col("anchor_x") - padding), (F.col("bx1") - 1 - F.col("least_foot_x"), F.col("canvas_w") - padding - 1 - F.col("anchor_x")),
+        (F.col("most_foot_y") - F.col("by0"), F.col("anchor_y") - padding), (F.col("by1") - 1 - F.col("least_foot_y"), F.col("canvas_h") - 1 - F.col("anchor_y")),
+    ]
+    none = F.lit(float("inf"))
+    scale = F.least(*(F.when(reach > 0, F.greatest(F.lit(0.0), room.cast("double")) / reach).otherwise(none) for reach, room in sides))
+    scale = F.when(scale == none, 1.0).otherwise(scale)
+    per = per.withColumn("scale", scale if allow_upscale else F.least(F.lit(1.0), scale))
+    least = F.least(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) * F.col("scale")
+    fault = (
+        F.when((F.col("least_w") != F.col("most_w")) | (F.col("least_h") != F.col("most_h")), "frames have different canvases")
+        .when((F.col("least_foot_x") < 0) | (F.col("least_foot_y") < 0) | (F.col("most_foot_x") >= F.col("most_w")) | (F.col("most_foot_y") >= F.col("most_h")), "a foot lies outside its canvas")
+        .when((F.col("scale") <= 0) | (least < 4), "bounds would shrink below 4 pixels")
+    )
+    target = lambda c: F.greatest(F.lit(1), F.bround(F.col(f"most_{c}") * F.col("scale")).cast("int")).alias(f"target_{c}")
+    return per.select("clip", F.col("canvas_w").cast("int"), F.col("canvas_h").cast("int"), "anchor_x", "anchor_y", "scale", target("w"), target("h"), fault.alias("fault"))
+
+
+def placed(frames: DataFrame, solved: DataFrame) -> DataFrame:
+    """Where each frame, scaled whole, goes on its clip's canvas; clips with a fault have no rows."""
+    at = lambda c: (F.col(f"anchor_{c}") - F.bround(F.col(f"foot_{c}") * F.col("scale"))).cast("int")
+    return frames.join(solved.where("fault IS NULL"), "clip").select("frame", "clip", "canvas_w", "canvas_h", "target_w", "target_h", at("x").alias("left"), at("y").alias("top"))
+
+
+def fitted(frames: DataFrame, canvas: tuple[int, int] | None = None, anchor: tuple[int, int] | None = None, padding: int = 2, content: tuple[int, int] | None = None, allow_upscale: bool = False) -> DataFrame:
+    """Where each frame's own box goes when frames are cut out, fitted one by one and stood on the anchor.
+
+    frame, clip, canvas_w, canvas_h, target_w, target_h, left, top.  A box larger than ``content`` is reduced to it,
+    then it is fitted to the canvas within the padding and above the anchor; it grows only if it may.
+    Without ``canvas`` the largest box of the clip and its padding make one.
     """
-    room = {"left": anchor[0] - padding, "right": canvas[0] - padding - anchor[0], "up": anchor[1] - padding, "down": canvas[1] - padding - anchor[1]}
-    reach = {"left": F.col("foot_x") - F.col("x0"), "right": F.col("x1") - F.col("foot_x"), "up": F.col("foot_y") - F.col("y0"), "down": F.col("y1") - F.col("foot_y")}
-    ratio = [F.when(reach[s] > 0, F.lit(float(room[s])) / reach[s]).otherwise(F.lit(float("inf"))) for s in room]
-    return metrics.groupBy("clip").agg(F.least(F.lit(1.0), F.min(F.least(*ratio))).alias("scale"))
-
 
-def placed(metrics: DataFrame, solved: DataFrame, anchor: tuple[int, int]) -> DataFrame:
-    """Where each frame's box goes on its canvas."""
-    at = lambda c, foot, a: F.floor(a - (F.col(foot) - F.col(c)) * F.col("scale") + 0.5).cast("int")
-    return metrics.join(solved, "clip").select("frame", "clip", "scale", at("x0", "foot_x", anchor[0]).alias("left"), at("y0", "foot_y", anchor[1]).alias("top"))
+    def fit(w: Column, h: Column, most_w: Column, most_h: Column, grow: bool) -> tuple[Column, Column]:
+        scale = F.least(most_w / w, most_h / h)
+        to = lambda n: F.greatest(F.lit(1), F.bround(n * scale).cast("int"))
+        keep = (F.abs(scale - 1) < 1e-9) if grow else (scale >= 1) | (F.abs(scale - 1) < 1e-9)
+        return F.when(keep, w).otherwise(to(w)), F.when(keep, h).otherwise(to(h))
+
+    own = frames.select("frame", "clip", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    if content:
+        w, h = fit(F.col("w"), F.col("h"), F.lit(content[0]), F.lit(content[1]), False)
+        own = own.select("frame", "clip", w.alias("w"), h.alias("h"))
+    if canvas:
+        own = own.withColumns({"canvas_w": F.lit(canvas[0]), "canvas_h": F.lit(canvas[1])})
+    else:
+        own = own.join(own.groupBy("clip").agg((F.max("w") + 2 * padding).alias("canvas_w"), (F.max("h") + 2 * padding).alias("canvas_h")), "clip")
+    at = (F.lit(anchor[0]), F.lit(anchor[1])) if anchor else (F.floor(F.col("canvas_w") / 2).cast("int"), F.col("canvas_h") - padding - 1)
+    own = own.withColumns({"ax": at[0], "ay": at[1]})
+    w, h = fit(F.col("w"), F.col("h"), F.greatest(F.lit(1), F.col("canvas_w") - 2 * padding), F.greatest(F.lit(1), F.col("ay") - padding + 1), allow_upscale)
+    own = own.withColumns({"target_w": w.cast("int"), "target_h": h.cast("int")})
+    return own.select("frame", "clip", "canvas_w", "canvas_h", "target_w", "target_h", (F.col("ax") - F.floor(F.col("target_w") / 2)).cast("int").alias("left"), (F.col("ay") - F.col("target_h") + 1).cast("int").alias("top"))
+
+
+def redrawn(packed: DataFrame, places: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Packed frames on their new canvases by the nearest pixel, all in one expression a channel; with
+    ``boxes`` (frame, x0, y0, x1, y1) only that part of each frame, else the whole."""
+    rows = packed.join(places.drop("clip"), "frame")
+    if boxes is not None:
+        rows = rows.join(boxes.select("frame", "x0", "y0", "x1", "y1"), "frame")
+    else:
+        rows = rows.withColumns({"x0": F.lit(0), "y0": F.lit(0), "x1": F.col("w"), "y1": F.col("h")})
+    place = F.sequence(F.lit(0), F.col("canvas_w") * F.col("canvas_h") - 1)
+    from_ = lambda k, low, size, target: low + F.floor((k * 2 + 1) * size / (target * 2)).cast("int")
+
+    def source(p: Column) -> Column:
+        x, y = p % F.col("canvas_w") - F.col("left"), F.floor(p / F.col("canvas_w")).cast("int") - F.col("top")
+        inside = (x >= 0) & (y >= 0) & (x < F.col("target_w")) & (y < F.col("target_h"))
+        return F.when(inside, from_(y, F.col("y0"), F.col("y1") - F.col("y0"), F.col("target_h")) * F.col("w") + from_(x, F.col("x0"), F.col("x1") - F.col("x0"), F.col("target_w")))
+
+    rows = rows.withColumn("source", F.transform(place, source))
+    channel = lambda c: F.transform("source", lambda i: F.coalesce(F.get(F.col(c), i), F.lit(0))).alias(c)
+    return rows.select("frame", "clip", F.col("canvas_w").alias("w"), F.col("canvas_h").alias("h"), *map(channel, "rgba"))
 
 
 def board_pixels(pixels: DataFrame, columns: int, cell: int, inner: int) -> DataFrame:

@@ -1,0 +1,3 @@
+"""The query catalogue; importing the package registers the queries of all its modules."""
+
+from . import catalogue, scenes  # noqa: F401

@@ -259,27 +259,6 @@ def fringe_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "fringe long, line long", rows)
 
 
-@query()
-def normalised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Background cleared, cropped, fitted to 16 x 16, reduced to eight colours, placed by the foot."""
-    import numpy as np
-
-    def rows(image):
-        out = K.kept_components((image[:, :, 3] > 20), small=1)
-        if not out.any():
-            return []
-        y, x = np.nonzero(out)
-        part = np.where(out[:, :, None], image, 0)[y.min() : y.max() + 1, x.min() : x.max() + 1]
-        scale = min(14 / part.shape[0], 14 / part.shape[1])
-        part = K.resampled(part, max(1, round(part.shape[1] * scale)), max(1, round(part.shape[0] * scale)))
-        part = K.quantised(part, K.median_cut(part[part[:, :, 3] > 20][:, :3], 8))
-        canvas = K.composed(np.zeros((16, 16, 4), np.uint8), part, (16 - part.shape[1]) // 2, 15 - part.shape[0])
-        opaque = canvas[canvas[:, :, 3] > 20][:, :3]
-        return [(int(len(opaque)), len(np.unique(opaque, axis=0)), int(np.nonzero((canvas[:, :, 3] > 20).any(1))[0].max()))]
-
-    return K.by_frame(A.packed(spark, sf_dir, A.MEDIUM), "opaque long, colors long, foot_y int", rows)
-
-
 SEEDS = [("head", 3.5, 1.0, 1.0), ("torso", 3.5, 4.0, 1.5), ("arm", 0.5, 4.0, 1.0), ("leg", 3.5, 7.0, 1.0)]
 
 
@@ -766,15 +745,6 @@ def option_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- assembly
 
 
-@query(f"""{SPARSE}, r AS (SELECT clip, least(CASE WHEN foot_x > x0 THEN 4.0::DOUBLE / (foot_x - x0) ELSE 'inf'::DOUBLE END, CASE WHEN x1 > foot_x THEN 2.0::DOUBLE / (x1 - foot_x) ELSE 'inf'::DOUBLE END,
-        CASE WHEN foot_y > y0 THEN 5.0::DOUBLE / (foot_y - y0) ELSE 'inf'::DOUBLE END, CASE WHEN y1 > foot_y THEN 1.0::DOUBLE / (y1 - foot_y) ELSE 'inf'::DOUBLE END) AS q FROM metrics)
-        SELECT clip, least(1.0, min(q))::DOUBLE AS scale FROM r GROUP BY clip""")
-def layout_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import assembly
-
-    return assembly.layout(_sparse(spark, sf_dir), (6, 6), (4, 5))
-
-
 @query("""WITH s AS (SELECT p_partkey, (p_size + 10)::INT AS w, (p_size % 7 + 4)::INT AS h FROM part) SELECT p_partkey, c::INT AS cell, (w * (c % 3) // 3)::INT AS x0, (h * (c // 3) // 2)::INT AS y0, (w * (c % 3 + 1) // 3)::INT AS x1, (h * (c // 3 + 1) // 2)::INT AS y1, ((w + 2) // 3)::INT AS canvas_w, ((h + 1) // 2)::INT AS canvas_h FROM s, range(0, 6) t(c)""")
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import assembly
