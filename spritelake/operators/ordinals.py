@@ -24,7 +24,7 @@ def ordinals(df: DataFrame, order: Sequence[Column | str], within: Sequence[str]
     Rows that are equal in ``order`` follow in any order, each with a number of its own; null
     groups are one group.  The ordered rows are a written table: later reads give the same numbers.
     """
-    taken = set(df.columns)
+    taken = {*df.columns, name, total}
     tie, place, part, shift, held = (next(c for k in range(len(taken) + 1) if (c := f"{base}{k or ''}") not in taken) for base in ("tie", "place", "part", "shift", "held"))
     keys = [F.col(f"`{c}`") for c in within]
     by = [*keys, *order, F.col(tie)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordinals import ordinals
 
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
@@ -119,10 +120,15 @@ def iou(a: Column, b: Column, threshold: int = 20) -> Column:
 
 
 def consecutive_iou(packed: DataFrame) -> DataFrame:
-    """Overlap of each frame's mask with the one before it in its clip."""
-    order = Window.partitionBy("clip").orderBy("frame")
-    before = packed.select("frame", "clip", "a", F.lag("a").over(order).alias("before"), F.row_number().over(order).alias("seq"))
-    return before.where("before IS NOT NULL").select("frame", "clip", "seq", iou(F.col("a"), F.col("before")).alias("iou"))
+    """Overlap of each frame's mask with the one before it in its clip.
+
+    A clip may hold very many frames: their numbers come from range partitions, and each frame
+    meets the one before it by clip and number, so no task sorts a clip's images.
+    """
+    seq = ordinals(packed.select("frame", "clip"), ["frame"], ["clip"], "seq").select("frame", (F.col("seq") + 1).cast("int").alias("seq"))
+    rows = packed.select("frame", "clip", "a").join(seq, "frame")
+    before = rows.select("clip", (F.col("seq") + 1).alias("seq"), F.col("a").alias("before"))
+    return rows.join(before, ["clip", "seq"]).select("frame", "clip", "seq", iou(F.col("a"), F.col("before")).alias("iou"))
 
 
 def union_box(metrics: DataFrame) -> DataFrame:

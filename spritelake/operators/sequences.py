@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordinals import ordinals
+
 
 def sample_times(n: Column, loop: Column) -> Column:
     """i / n for a loop, else i / (n - 1); one sample lies at 0."""
@@ -53,9 +55,12 @@ def broken_ordinals(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame
 
 
 def numbered(rows: DataFrame, split: str, order: str, prompts: int = 8, width: int = 4) -> DataFrame:
-    """Adds ordinal (from 1 within the split), its zero-padded file stem and the cyclic prompt index."""
-    n = F.row_number().over(Window.partitionBy(split).orderBy(order))
-    return rows.withColumn("ordinal", n).withColumn("stem", F.lpad(F.col("ordinal").cast("string"), width, "0")).withColumn("prompt_index", F.pmod(F.col("ordinal") - 1, F.lit(prompts)).cast("int"))
+    """Adds ordinal (from 1 within the split), its zero-padded file stem and the cyclic prompt index.
+
+    Splits are few and large: numbers come from range partitions, not from a window a split.
+    """
+    placed = ordinals(rows, [order], [split]).withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
+    return placed.withColumn("stem", F.lpad(F.col("ordinal").cast("string"), width, "0")).withColumn("prompt_index", F.pmod(F.col("ordinal") - 1, F.lit(prompts)).cast("int"))
 
 
 #: A biped's joints: (joint, parent, offset x, offset y, rest angle in degrees).

@@ -15,6 +15,7 @@ from ..operators import manifests as M
 from ..operators import rasters as R
 from ..operators import rigs as B
 from ..operators import sequences as S
+from ..operators.ordinals import ordinals
 from ..sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,10 +407,8 @@ def grid_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT p_partkey, p_name || ' ' || p_partkey AS name FROM part), k AS (SELECT *, list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN struct_pack(t := '', n := p::HUGEINT) ELSE struct_pack(t := p, n := (-1)::HUGEINT) END) AS key FROM n)
         SELECT p_partkey, name, (row_number() OVER (ORDER BY key, p_partkey))::INT AS place FROM k""")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     parts = A.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
-    return parts.withColumn("place", F.row_number().over(Window.orderBy(C.natural_key(F.col("name")), "p_partkey")))
+    return ordinals(parts, [C.natural_key(F.col("name")), "p_partkey"], name="place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS rows FROM events WHERE event_type = 'click' OR starts_with(event_type, 'click_') GROUP BY event_type")

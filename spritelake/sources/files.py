@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import struct
 import unicodedata
 import zipfile
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.configuration import strict_loads
 from .png import BadImage, decode
+from .ranges import header_of
 
 IGNORED = ("contact.png", "preview.png")  # fixed names of overviews
 
@@ -38,15 +38,16 @@ def non_empty(df: DataFrame, message: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, path: str, clip: str | None = None) -> DataFrame:
-    """PNG frames of one folder with their place in natural order; of one clip by name or prefix."""
-    from pyspark.sql import Window
+    """PNG frames of one folder with their place in natural order; of one clip by name or prefix.  Names are
+    numbered by themselves, and the files meet their numbers by path."""
+    from ..operators.ordinals import ordinals
 
     found = files(spark, path, "*.png").where(~F.startswith("name", F.lit("_")) & ~F.col("name").isin(*IGNORED))
     if clip is not None:
         stem = C.stem(F.col("name"))
         found = found.where((stem == clip) | F.startswith(stem, F.lit(f"{clip}_")))
-    order = Window.orderBy(C.natural_key(F.col("name")), "name")
-    return non_empty(found, f"no frames in {path}").withColumn("seq", F.row_number().over(order))
+    numbers = ordinals(found.select("path", "name"), [C.natural_key(F.col("name")), "name"], name="seq").select("path", (F.col("seq") + 1).cast("int").alias("seq"))
+    return non_empty(found, f"no frames in {path}").join(numbers, "path", "left")
 
 
 def layouts(spark: SparkSession, root: str, clips: list[str]) -> DataFrame:
@@ -155,50 +156,20 @@ def unsafe_members(members: DataFrame, most: int = 4 << 30) -> DataFrame:
     return members.select("archive", "name", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-WIDTHS = {"F64": 8, "I64": 8, "U64": 8, "F32": 4, "I32": 4, "U32": 4, "F16": 2, "BF16": 2, "I16": 2, "U16": 2, "I8": 1, "U8": 1, "BOOL": 1}  # bytes of each type, fixed by the format
-
-
-def tensor_header(data: bytes, most: int = 16 << 20) -> list[tuple[str, str, list[int], int, int]]:
-    """(name, type, shape, begin, end) of a tensor file: a little-endian 64-bit length, JSON, then the data."""
-    if len(data) < 8:
-        raise ValueError("shorter than its length field")
-    (size,) = struct.unpack("<Q", data[:8])
-    if size > most or 8 + size > len(data):
-        raise ValueError("the header is larger than allowed or than the file")
-
-    def once(pairs: list[tuple]) -> dict:
-        if len({k for k, _ in pairs}) != len(pairs):
-            raise ValueError("a key occurs twice")
-        return dict(pairs)
-
-    head = json.loads(data[8 : 8 + size], object_pairs_hook=once)
-    out, room = [], len(data) - 8 - size
-    for name, entry in head.items():
-        if name == "__metadata__":
-            continue
-        kind, shape, (begin, end) = entry["dtype"], entry["shape"], entry["data_offsets"]
-        count = 1
-        for n in shape:
-            count *= n
-        if kind not in WIDTHS or any(type(n) is not int or n < 0 for n in shape) or not 0 <= begin <= end <= room or end - begin != count * WIDTHS[kind]:
-            raise ValueError(f"bad entry {name}")
-        out.append((name, kind, shape, begin, end))
-    return out
-
-
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                rows += [(path, *r, None) for r in tensor_header(data)]
-            except (ValueError, KeyError, TypeError) as error:
+                rows += [(path, *r, None) for r in header_of(lambda at, n, d=data: d[at : at + n], len(data))]
+            except ValueError as error:
                 rows.append((path, None, None, None, None, None, str(error)))
         types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", "name", "dtype", "shape", "begin", "end", "error"])
 
 
 def tensors(found: DataFrame) -> DataFrame:
+    """Headers of files that are held whole; ``ranges.tensor_headers`` reads those of large ones."""
     return found.select("path", "content").mapInArrow(_tensors, "path string, name string, dtype string, shape array<long>, begin long, end long, error string")
 
 
