@@ -1,3 +1,3 @@
 """The query catalogue; importing the package registers the queries of all its modules."""
 
-from . import catalogue, datasets, scenes  # noqa: F401
+from . import catalogue, datasets, rendering, scenes  # noqa: F401

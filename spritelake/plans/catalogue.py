@@ -759,19 +759,3 @@ def board_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = A.boards(spark, sf_dir, A.MEDIUM)
     px = cut.select("board", "cell", "w", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).select("board", "cell", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), "p.*")
     return assembly.board_pixels(px.where("a > 20"), 3, 10, 8).select("board", "bx", "by", "r", "g", "b")
-
-
-@query()
-def rendered_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rig of plain parts, posed over two clips, composed and cut to the union of all boxes: size, digest."""
-    import numpy as np
-
-    from ..operators import assembly
-
-    kit = [(j, i * 10, 4, 6, bytearray(np.full((6, 4, 4), (40 + 3 * i, 255 - 3 * i, 90, 255), np.uint8).tobytes()), 2.0, 0.6) for i, (j, *_) in enumerate(S.SKELETON) if j != "root"]
-    parts = spark.createDataFrame([(f"part_{j}", j, *rest) for j, *rest in kit], "part string, joint string, z int, w int, h int, rgba binary, pivot_x double, pivot_y double")
-    keys = [(c, j, ch, k, t, v * (1 if c == "walk" else 2)) for c in ("walk", "attack") for j, ch, *kv in (("arm_front", "rotation", (0.0, 0.0), (0.5, 30.0), (1.0, 0.0)), ("root", "offset_y", (0.0, 0.0), (0.5, 2.0), (1.0, 0.0))) for k, (t, v) in enumerate(kv)]
-    clips = spark.createDataFrame([("walk", 8, True), ("attack", 6, False)], "clip string, frames int, loop boolean")
-    posed = assembly.poses(S.skeleton(spark), spark.createDataFrame(keys, "clip string, joint string, channel string, k int, t double, value double"), clips)
-    frames = assembly.cropped_clips(assembly.rendered(parts, posed, (64, 64), (32, 48)))
-    return frames.select("clip", "i", "w", "h", F.sha2("rgba", 256).alias("pixel_hash"))
