@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import kernels as K
 from .manifests import ERROR, WARNING
 from .rasters import drift_ratio
@@ -44,13 +45,21 @@ def _faults(*rules: tuple[str, str, Column | bool, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(F.lit(when), F.lit(False)), F.struct(F.lit(gate).alias("gate"), F.lit(severity).alias("severity"), value.cast("string").alias("value"))) for gate, severity, when, value in rules)))
 
 
-def clip_gates(packed: DataFrame, profile: dict, tier: str, placement: str = "per-frame-anchor", wanted: list[str] | None = None) -> DataFrame:
+def measured(packed: DataFrame, profile: dict) -> DataFrame:
+    """The measures that a profile's gates need, as a written table: each image is looked at once, for all tiers and placements."""
+    quality = profile.get("quality", {})
+    matte = quality.get("edgeMatte", {})
+    return written(measures(packed, quality.get("alphaThreshold", 20), matte.get("minRgb", 235), matte.get("maxChannelSpread", 18)))
+
+
+def clip_gates(packed: DataFrame, profile: dict, tier: str, placement: str = "per-frame-anchor", wanted: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """clip, frame (null for the clip as a whole), gate, severity, value: all that breaks the profile.
 
     ``placement`` is ``per-frame-anchor``, where each foot has to be near the anchor's line, or
     ``shared-motion``, where the first one has to and a loop's must not drift, and enclosed holes
-    are not judged.  Clips named in ``wanted`` that have no frames break ``selection``.  Frames
-    without an opaque pixel break ``empty_frame`` and take no part in the other gates.
+    are not judged.  ``known`` is what ``measured`` found before, for further tiers.  Clips named in ``wanted`` that have no frames break ``selection``.  Frames
+    without an opaque pixel break ``empty_frame`` and take no part in the other gates.  ``known`` is what
+    ``measured`` found before; without it the frames are measured now.
     """
     if placement not in ("per-frame-anchor", "shared-motion"):
         raise ValueError(f"unknown placement {placement!r}")
@@ -68,7 +77,7 @@ def clip_gates(packed: DataFrame, profile: dict, tier: str, placement: str = "pe
         return of_clip(lambda c, d: c.get(group, {}).get(key, d), quality.get(group, {}).get(key, default))
 
     tolerance = limit("anchor", "maxFootDrift", 1)
-    m = measures(packed, quality.get("alphaThreshold", 20), matte.get("minRgb", 235), matte.get("maxChannelSpread", 18))
+    m = measured(packed, profile) if known is None else known
     m = m.withColumn("foot", F.col("y1") - 1).withColumn("w", F.col("x1") - F.col("x0")).withColumn("h", F.col("y1") - F.col("y0"))
     full, no = F.col("x0").isNotNull(), F.lit(False)
     canvas, content, anchor = rules.get("canvas"), rules.get("contentMin"), rules.get("anchor")
@@ -145,14 +154,14 @@ def grade(given: np.ndarray, target: np.ndarray, made: np.ndarray, columns: int,
 
     Cell 0 holds the identity, the next ``frames`` cells poses, the rest nothing.  All cells are
     measured at once.  Without a ``background`` the median of the corners of input and target counts.
-    A generated board of another size breaks ``dimensions`` and is not measured.
+    A generated board of another size breaks ``dimensions``, and boards that don't fit their grid break ``grid``; neither is measured.
     """
     t = thresholds
-    if made.shape != target.shape:
-        return {**dict.fromkeys(GRADE.names), "faults": [{"cell": None, "gate": "dimensions", "value": None}], "passed": False}
     h, w = target.shape[:2]
-    if given.shape != target.shape or h % rows or w % columns or not 0 < frames < rows * columns:
-        raise ValueError("the boards don't fit their grid")
+    other = target.ndim != 3 or given.shape != target.shape or h % rows or w % columns or not 0 < frames < rows * columns
+    if made.shape != target.shape or other:
+        gate = "grid" if other else "dimensions"
+        return {**dict.fromkeys(GRADE.names), "faults": [{"cell": None, "gate": gate, "value": None}], "passed": False}
     given, target, made = (x.astype(np.float64) for x in (given, target, made))
     ground = np.median(np.concatenate([x[[0, 0, -1, -1], [0, -1, 0, -1]] for x in (given, target)]), axis=0) if background is None else np.array(background, float)
     square = lambda a, b: ((a - b) ** 2).sum(-1)
@@ -203,10 +212,11 @@ def board_grades(boards: DataFrame, columns: int = 3, rows: int = 3, thresholds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for w, h, frames, *images in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                a = [np.array(x or [], np.int64) for x in images]
+            flat = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy(), c.is_valid().to_numpy(zero_copy_only=False)) for c in (batch.column(i) for i in (4, 5, 6))]
+            for k, (w, h, frames) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                a = [values[at[k] : at[k + 1]].astype(np.int64) if valid[k] else np.zeros(0, np.int64) for values, at, valid in flat]
                 a = [np.stack([x >> 16 & 255, x >> 8 & 255, x & 255], -1) for x in a]
-                a = [x.reshape(h, w, 3) if len(x) == w * h else x for x in a]
+                a = [x.reshape(h, w, 3) if len(x) and len(x) == w * h else x for x in a]
                 out.append(grade(*a, columns, rows, frames, thresholds, background))
             yield pa.RecordBatch.from_arrays([batch.column(0), *pa.RecordBatch.from_pylist(out, schema=GRADE).columns], ["board", *GRADE.names])
 

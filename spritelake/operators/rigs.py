@@ -68,6 +68,13 @@ def slotted(parts: DataFrame, name: str, archetype: str = "biped-side") -> DataF
     return named.withColumn("slot", F.coalesce("canonical", "_token")).drop("alias", "canonical", "_token").join(F.broadcast(slots(spark, archetype)), "slot", "left")
 
 
+def slot_faults(named: DataFrame, owner: str) -> DataFrame:
+    """owner, slot, rule of slotted parts: unknown names, and slots that an owner fills more than once."""
+    unknown = named.where("joint IS NULL").select(owner, "slot", F.lit("unknown").alias("rule"))
+    often = named.where("joint IS NOT NULL").groupBy(owner, "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return unknown.unionByName(often.select(owner, "slot", F.lit("repeated").alias("rule")))
+
+
 def with_mirrors(parts: DataFrame, archetype: str = "biped-side") -> DataFrame:
     """owner, slot, from_slot, derived: adds the missing member of each mirror pair, to be drawn as a
     darkened copy of the other."""

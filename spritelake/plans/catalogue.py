@@ -376,9 +376,9 @@ GATES = f"""WITH RECURSIVE {raster_sql(MIXED)}, {METRICS}, cand AS (SELECT frame
 def _gates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     frame = F.col("frame")
     frames = A.packed(spark, sf_dir, F.when(frame % 23 == 0, 9.0).when(frame % 4 == 0, -0.1).when(frame % 4 == 1, 0.1).otherwise(0.02))
-    found = None
+    found, known = None, G.measured(frames, PROFILE)
     for tier, placement in (("hd", "per-frame-anchor"), ("sd", "shared-motion"), ("free", "per-frame-anchor")):
-        rows = G.clip_gates(frames, PROFILE, tier, placement, ["1", "77"]).select(F.lit(tier).alias("placement"), "*")
+        rows = G.clip_gates(frames, PROFILE, tier, placement, ["1", "77"], known).select(F.lit(tier).alias("placement"), "*")
         found = rows if found is None else found.unionByName(rows)
     return frames, found
 
@@ -568,6 +568,11 @@ def alias_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.slotted(_parts(spark, sf_dir), "name").select("owner", "name", "slot", "joint", "z", "pivot_x", "pivot_y")
 
 
+@query(f"WITH {SLOTTED} SELECT owner, slot, 'unknown' AS rule FROM named WHERE slot NOT IN (SELECT slot FROM sl) UNION ALL SELECT owner, slot, 'repeated' FROM named WHERE slot IN (SELECT slot FROM sl) GROUP BY owner, slot HAVING count(*) > 1")
+def slot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.slot_faults(B.slotted(_parts(spark, sf_dir), "name"), "owner")
+
+
 @query(f"""WITH {SLOTTED}, own AS (SELECT DISTINCT owner, slot FROM named WHERE slot IN (SELECT slot FROM sl)), pr(slot, other) AS (VALUES {_values(B.BIPED_MIRRORS + [(b, a) for a, b in B.BIPED_MIRRORS])})
         SELECT owner, slot, NULL::VARCHAR AS from_slot, false AS derived FROM own UNION ALL SELECT o.owner, pr.other, o.slot, true FROM own o JOIN pr USING (slot) WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.owner = o.owner AND x.slot = pr.other)""")
 def mirrored_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
