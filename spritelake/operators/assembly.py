@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import rasters as R
 from . import sequences as S
 
 
@@ -280,3 +281,30 @@ def scaled_offsets(keys: DataFrame, height: Column, rest: float = 256.0) -> Data
 def first_of(rows: DataFrame, key: str, priority: Column) -> DataFrame:
     """The row of least priority of each key."""
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(priority))).where("_at = 1").drop("_at")
+
+
+#: The colours of a guide's silhouette and of its edge.
+SILHOUETTE, EDGE = (70, 104, 138), (244, 238, 192)
+
+
+def guide_boards(frames: DataFrame, columns: int = 4) -> DataFrame:
+    """Pixels of two boards for each ``board``: ``input`` with the identity in cell 0 and guides of the poses, ``target`` with the poses.
+
+    frames: board, cell, w, h and arrays r, g, b, a.  A cell is the longer side of its board's largest frame, rounded up to 16
+    pixels, and frames are centred in it; the board has the rows that its cells need.  Returns board, kind, bx, by, r,
+    g, b, a, board_w, board_h; clear pixels have no rows.  A board without cell 0 has poses only.
+    """
+    size = frames.groupBy("board").agg((F.ceil(F.max(F.greatest("w", "h")) / 16) * 16).cast("int").alias("side"), (F.floor(F.max("cell") / columns) + 1).cast("int").alias("rows"))
+    rows = frames.join(size, "board")
+    places = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
+    # 2 on the edge, between the mask grown and shrunk by a pixel, 1 within, 0 outside
+    drawn = F.transform(places, lambda i: F.when(R.dilated(i) & ~R.eroded(i), 2).when(F.get("a", i) > 20, 1).otherwise(0))
+    channel = lambda edge, inner: F.transform("guide", lambda g: F.when(g == 2, edge).when(g == 1, inner).otherwise(0))
+    shown = {c: channel(e, s) for c, e, s in zip("rgb", EDGE, SILHOUETTE, strict=True)}
+    guides = rows.where("cell > 0").withColumn("guide", drawn).withColumns(shown | {"a": F.transform("guide", lambda g: F.when(g > 0, 255).otherwise(0))}).drop("guide")
+    both = guides.unionByName(rows.where("cell = 0")).withColumn("kind", F.lit("input")).unionByName(rows.withColumn("kind", F.lit("target")))
+    px = both.select("board", "kind", "cell", "w", "h", "side", "rows", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).where("p.a > 0")
+    off = lambda c: F.floor((F.col("side") - F.col(c)) / 2)
+    bx = F.col("cell") % columns * F.col("side") + off("w") + F.col("i") % F.col("w")
+    by = F.floor(F.col("cell") / columns) * F.col("side") + off("h") + F.floor(F.col("i") / F.col("w"))
+    return px.select("board", "kind", bx.cast("int").alias("bx"), by.cast("int").alias("by"), "p.*", (F.col("side") * columns).alias("board_w"), (F.col("side") * F.col("rows")).alias("board_h"))

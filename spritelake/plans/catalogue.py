@@ -246,7 +246,10 @@ def neutral_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "cleared long", rows).drop("clip")
 
 
-@query()
+@query(reach_sql(A.DENSE, "a <= 20") + """, inn AS (SELECT * FROM cand WHERE (frame, x, y) NOT IN (SELECT (frame, x, y) FROM hit)),
+        walk AS (SELECT frame, y * 8 + x AS root, x, y FROM inn UNION SELECT c.frame, w.root, c.x, c.y FROM walk w JOIN inn c ON c.frame = w.frame AND abs(c.x - w.x) <= 1 AND abs(c.y - w.y) <= 1),
+        lab AS (SELECT frame, x, y, min(root) AS root FROM walk GROUP BY ALL), ar AS (SELECT frame, root, count(*) AS n FROM lab GROUP BY ALL)
+        SELECT f.vec_id AS frame, f.label AS clip, coalesce(sum(n) FILTER (WHERE n <= 3), 0)::BIGINT AS filled, (count(*) FILTER (WHERE n > 3))::BIGINT AS left_over FROM embeddings f LEFT JOIN ar ON ar.frame = f.vec_id GROUP BY ALL""")
 def hole_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled pixels and holes that are left, for holes of up to 3 pixels."""
     rows = lambda image: [(int(((out := K.filled_holes(image, 3))[:, :, 3] > image[:, :, 3]).sum()), len(K.holes(out[:, :, 3])))]

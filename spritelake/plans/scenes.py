@@ -202,3 +202,24 @@ def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = A.table(spark, sf_dir, "orders")
     return fingerprint_tree(orders, ["o_orderstatus"], F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, {BOARDS}, o AS (SELECT board, cell, x, y, a > 20 AS t, r, g, b, a FROM bd), sz AS (SELECT board, max(cell) // 4 + 1 AS rows FROM bd GROUP BY board),
+        n AS (SELECT p.board, p.cell, p.x, p.y, p.t, count(*) FILTER (WHERE q.t) AS k FROM o p JOIN o q ON q.board = p.board AND q.cell = p.cell AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 WHERE p.cell > 0 GROUP BY ALL),
+        gd AS (SELECT board, cell, x, y, CASE WHEN k BETWEEN 1 AND 8 THEN 2 WHEN t THEN 1 ELSE 0 END AS g FROM n),
+        px AS (SELECT board, 'input' AS kind, cell, x, y, CASE g WHEN 2 THEN 244 ELSE 70 END AS r, CASE g WHEN 2 THEN 238 ELSE 104 END AS g2, CASE g WHEN 2 THEN 192 ELSE 138 END AS b FROM gd WHERE g > 0 UNION ALL SELECT board, 'input', cell, x, y, r, g, b FROM o WHERE cell = 0 AND a > 0 UNION ALL SELECT board, 'target', cell, x, y, r, g, b FROM o WHERE a > 0)
+        SELECT board, kind, 64 AS board_w, (16 * rows)::INT AS board_h, count(*)::BIGINT AS pixels, sum(r * 65536 + g2 * 256 + b)::BIGINT AS colours, sum((cell // 4 * 16 + 4 + y) * 64 + cell % 4 * 16 + 4 + x)::BIGINT AS places FROM px JOIN sz USING (board) GROUP BY ALL""".replace("px AS (SELECT board, 'input'", "bp AS (SELECT board, 'input'").replace("FROM px JOIN sz", "FROM bp JOIN sz"))
+def guide_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards of an identity and guides of its poses, beside boards of the poses."""
+    px = P.guide_boards(A.boards(spark, sf_dir, A.MEDIUM).drop("frame", "clip"))
+    return px.groupBy("board", "kind", "board_w", "board_h").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("colours"), F.sum(F.col("by") * F.col("board_w") + F.col("bx")).alias("places"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS image, o_orderkey AS id, (o_orderkey * 37 % 90)::INT AS x0, (o_orderkey * 53 % 70)::INT AS y0, (o_orderkey * 37 % 90 + 2 + o_orderkey % 17)::INT AS x1, (o_orderkey * 53 % 70 + 1 + o_orderkey % 23)::INT AS y1 FROM orders)
+        SELECT p.image, p.id AS a, q.id AS b FROM b p JOIN b q ON p.image = q.image AND p.id < q.id WHERE greatest(q.x0 - p.x1, p.x0 - q.x1) <= 9 AND greatest(q.y0 - p.y1, p.y0 - q.y1) <= 9""")
+def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of one customer's orders that are at most nine pixels apart."""
+    k = F.col("o_orderkey")
+    x0, y0 = (k * 37 % 90).cast("int"), (k * 53 % 70).cast("int")
+    boxes = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), k.alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 2 + k % 17).cast("int").alias("x1"), (y0 + 1 + k % 23).cast("int").alias("y1"))
+    return regions.near_boxes(boxes, 9)
