@@ -39,5 +39,5 @@ def ordinals(df: DataFrame, order: Sequence[Column | str], within: Sequence[str]
     same = of == starts[part]
     for c, x in renamed.items():
         same &= placed[f"`{c}`"].eqNullSafe(starts[x])
-    out = placed.join(starts, same).withColumn(name, F.col(place) + F.col(shift))
-    return (out.withColumnRenamed(held, total) if total else out.drop(held)).drop(part, place, shift, *renamed.values())
+    own = [placed[f"`{c}`"] for c in df.columns]
+    return placed.join(starts, same).select(*own, (F.col(place) + F.col(shift)).alias(name), *([F.col(held).alias(total)] if total else []))

@@ -74,7 +74,8 @@ def grounded(measured: DataFrame, clips: DataFrame, reference: tuple, height: in
     ground = of.select(F.when(F.col("ground").isNotNull(), F.col("ground")).otherwise(F.raise_error(F.lit("the reference frame is empty")).cast("int")).alias("ground"))
     rows = measured.join(clips.select("clip", "grounded"), "clip", "left").join(F.broadcast(ground), how="cross")  # one row
     rows = rows.withColumn("shift", F.when(F.col("grounded") & F.col("y1").isNotNull(), F.col("ground") - F.col("y1")).otherwise(0))
-    return rows.withColumns({"top": F.greatest(F.lit(0), F.col("y0") + F.col("shift")), "bottom": F.least(F.lit(height), F.col("y1") + F.col("shift"))}).drop("ground")
+    there = lambda c: F.when(F.col("y0").isNotNull(), c)  # noqa: E731  the least of null and a number is the number
+    return rows.withColumns({"top": there(F.greatest(F.lit(0), F.col("y0") + F.col("shift"))), "bottom": there(F.least(F.lit(height), F.col("y1") + F.col("shift")))}).drop("ground")
 
 
 def gate_faults(locked: DataFrame, canvas: tuple[int, int], keep: tuple[int, int, int, int] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ COMPOSED = f"""WITH {raster_sql(A.MEDIUM)}, ly AS (SELECT clip, ({POSE['i']})::I
         cp AS (SELECT clip, i, x, y, floor(p.r / p.a + 0.5)::INT AS r, floor(p.g / p.a + 0.5)::INT AS g, floor(p.b / p.a + 0.5)::INT AS b, floor(p.a * 255.0::DOUBLE + 0.5)::INT AS a FROM fo),
         bx AS (SELECT clip, i, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM cp GROUP BY ALL), fr AS (SELECT DISTINCT clip, i FROM ly),
         gd AS (SELECT fr.clip, fr.i, x0, y0, x1, y1, CASE WHEN fr.clip % 2 = 0 AND y1 IS NOT NULL THEN (SELECT y1 FROM bx WHERE clip = 0 AND i = 0) - y1 ELSE 0 END AS shift FROM fr LEFT JOIN bx ON bx.clip = fr.clip AND bx.i = fr.i),
-        lk AS (SELECT *, greatest(0, y0 + shift) AS top, least(40, y1 + shift) AS bottom FROM gd)"""
+        lk AS (SELECT *, CASE WHEN y0 IS NOT NULL THEN greatest(0, y0 + shift) END AS top, CASE WHEN y1 IS NOT NULL THEN least(40, y1 + shift) END AS bottom FROM gd)"""
 CROP = """un AS (SELECT min(x0) AS u0, min(top) AS v0, max(x1) AS u1, max(bottom) AS v1 FROM lk), pd AS (SELECT *, greatest(2, round_even(greatest(u1 - u0, v1 - v0) * 0.035::DOUBLE, 0))::INT AS pad FROM un),
         cr AS (SELECT greatest(0, u0 - pad) AS l, greatest(0, v0 - pad) AS t, least(40, u1 + pad) AS r, least(40, v1 + pad) AS b, u0, v0, u1, v1 FROM pd)"""
 

@@ -189,19 +189,19 @@ def region_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_sql(fan: int, levels: int) -> str:
-    """CTEs up to ``top``: runs of ``fan`` lines of ``ln`` (g, line), run by run; groups with one node left stay as they are."""
-    out = ["n0 AS (SELECT g, line AS d, 1::BIGINT AS c, row_number() OVER (PARTITION BY g ORDER BY line) - 1 AS i FROM ln WHERE line IS NOT NULL)"]
+    """CTEs up to ``top``: runs of ``fan`` lines of ``ln`` (g, line), run by run until a group has one node."""
+    out = ["n0 AS (SELECT g, line AS d, 1::BIGINT AS c, row_number() OVER (PARTITION BY g ORDER BY line) - 1 AS i, 2 AS n FROM ln WHERE line IS NOT NULL)"]
     for k in range(levels):
-        out.append(f"n{k + 1} AS (SELECT g, sha256(string_agg(d, chr(10) ORDER BY i)) AS d, sum(c)::BIGINT AS c, i // {fan} AS i FROM n{k} GROUP BY g, i // {fan})")
+        out.append(f"n{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, CASE WHEN max(n) = 1 THEN max(d) ELSE sha256(string_agg(d, chr(10) ORDER BY i)) END AS d, sum(c)::BIGINT AS c, i // {fan} AS i FROM n{k} GROUP BY g, i // {fan}))")
     return ", ".join(out) + f", top AS (SELECT g, c AS lines, d AS fingerprint FROM n{levels})"
 
 
-@query(f"WITH ln AS (SELECT o_orderstatus AS g, o_orderkey || '|' || o_totalprice::DECIMAL(18, 2) AS line FROM orders), {tree_sql(1024, 2)} SELECT g AS o_orderstatus, lines, fingerprint FROM top")
+@query(f"WITH ln AS (SELECT o_orderstatus AS g, o_orderkey || '|' || o_totalprice::DECIMAL(18, 2) AS line FROM orders), {tree_sql(64, 4)} SELECT g AS o_orderstatus, lines, fingerprint FROM top")
 def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.fingerprints import fingerprint_tree
 
     orders = A.table(spark, sf_dir, "orders")
-    return fingerprint_tree(orders, ["o_orderstatus"], F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    return fingerprint_tree(orders, ["o_orderstatus"], F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), 64)
 
 
 @query(f"""WITH {raster_sql(A.MEDIUM)}, {BOARDS}, o AS (SELECT board, cell, x, y, a > 20 AS t, r, g, b, a FROM bd), sz AS (SELECT board, max(cell) // 4 + 1 AS rows FROM bd GROUP BY board),
