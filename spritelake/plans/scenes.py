@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly as P
 from ..operators import palettes
 from ..operators import rasters as R
-from ..operators import regions
+from ..operators import references, regions
 from ..sources import adapters as A
 from .catalogue import BOARDS, METRICS, SPARSE, label_sql, query, raster_sql, reach_sql
 
@@ -223,3 +223,37 @@ def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = (k * 37 % 90).cast("int"), (k * 53 % 70).cast("int")
     boxes = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), k.alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 2 + k % 17).cast("int").alias("x1"), (y0 + 1 + k % 23).cast("int").alias("y1"))
     return regions.near_boxes(boxes, 9)
+
+
+# ---- reference pictures
+
+
+@query(f"WITH {raster_sql(A.MEDIUM)} SELECT frame, 8 AS side, bool_or(a < 255) AS clear, count(DISTINCT r * 65536 + g * 256 + b) FILTER (WHERE a > 20)::INT AS colours, bool_or(a < 255) AND count(DISTINCT r * 65536 + g * 256 + b) FILTER (WHERE a > 20) BETWEEN 1 AND 24 AS usable FROM raster GROUP BY frame")
+def usable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.usable(A.packed(spark, sf_dir, A.MEDIUM), most_colours=24)
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, c AS (SELECT frame, clip, p, (2 * (p % 12 - 0) + 1) AS x, p // 12 AS y FROM (SELECT vec_id AS frame, label AS clip FROM embeddings), range(0, 168) t(p)),
+        d AS (SELECT c.frame, c.clip, c.p, CASE WHEN p % 12 BETWEEN 1 AND 10 AND p // 12 BETWEEN 2 AND 11 THEN ((2 * (p // 12 - 2) + 1) * 8 // 20) * 8 + (2 * (p % 12 - 1) + 1) * 8 // 20 END AS i FROM c),
+        o AS (SELECT d.frame, d.clip, d.p, CASE WHEN q.a = 255 THEN q.r ELSE 236 END AS r, CASE WHEN q.a = 255 THEN q.g ELSE 244 END AS g, CASE WHEN q.a = 255 THEN q.b ELSE 241 END AS b FROM d LEFT JOIN raster q ON q.frame = d.frame AND q.i = d.i)
+        SELECT frame, clip, 12 AS w, 14 AS h, 'reference-' || left(sha256(unhex(string_agg(printf('%02x%02x%02xff', r, g, b), '' ORDER BY p))), 16) AS name, sum(r + g + b)::BIGINT AS total FROM o GROUP BY frame, clip""")
+def references_on_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures at 85 % of a canvas of 12 x 14, named by their pixels."""
+    done = references.on_background(A.packed(spark, sf_dir, A.MEDIUM), (12, 14), 0.85)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return done.select("frame", "clip", "w", "h", "name", (total("r") + total("g") + total("b")).alias("total"))
+
+
+@query(reach_sql(A.DENSE, "a <= 20") + """, inn AS (SELECT * FROM cand WHERE (frame, x, y) NOT IN (SELECT (frame, x, y) FROM hit)),
+        walk AS (SELECT frame, clip, y * 8 + x AS root, x, y FROM inn UNION SELECT c.frame, c.clip, w.root, c.x, c.y FROM walk w JOIN inn c ON c.frame = w.frame AND abs(c.x - w.x) <= 1 AND abs(c.y - w.y) <= 1),
+        lab AS (SELECT frame, clip, x, y, min(root) AS root FROM walk GROUP BY ALL), per AS (SELECT clip, frame, count(*) AS n, count(DISTINCT root) AS k FROM lab GROUP BY ALL HAVING count(*) > 4)
+        SELECT clip, count(*)::BIGINT AS parts, sum(n)::BIGINT AS pixels, string_agg(frame || '=' || n || ' px in ' || k, ', ' ORDER BY frame) AS told FROM per GROUP BY clip""")
+def hole_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with parts that have more than four enclosed clear pixels."""
+    return references.hole_offenders(A.packed(spark, sf_dir, A.DENSE), 4)
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 150")
+def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded number of entries in order, as a limit asks for."""
+    return references.first_rows(A.table(spark, sf_dir, "events").select("event_id", "value", (-F.col("value")).alias("key")), ["key", "event_id"], 150).drop("key")
