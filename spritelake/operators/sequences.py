@@ -55,12 +55,14 @@ def broken_ordinals(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame
 
 
 def numbered(rows: DataFrame, split: str, order: str, prompts: int = 8, width: int = 4) -> DataFrame:
-    """Adds ordinal (from 1 within the split), its zero-padded file stem and the cyclic prompt index.
+    """Adds ordinal (from 1 within the split), its file stem, padded to ``width`` digits or those of the split's last, and the
+    cyclic prompt index.
 
     Splits are few and large: numbers come from range partitions, not from a window a split.
     """
-    placed = ordinals(rows, [order], [split]).withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
-    return placed.withColumn("stem", F.lpad(F.col("ordinal").cast("string"), width, "0")).withColumn("prompt_index", F.pmod(F.col("ordinal") - 1, F.lit(prompts)).cast("int"))
+    placed = ordinals(rows, [order], [split], total="total").withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
+    digits = F.greatest(F.lit(width), F.length(F.col("total").cast("string")))
+    return placed.withColumn("stem", F.lpad(F.col("ordinal").cast("string"), digits, F.lit("0"))).withColumn("prompt_index", F.pmod(F.col("ordinal") - 1, F.lit(prompts)).cast("int")).drop("total")
 
 
 #: A biped's joints: (joint, parent, offset x, offset y, rest angle in degrees).

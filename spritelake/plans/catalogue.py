@@ -524,7 +524,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.batch_summary(_report(spark, sf_dir))
 
 
-@query(f"WITH {DATASET} SELECT sample, split, n::INT AS ordinal, CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE left(n::VARCHAR, 4) END AS stem, ((n - 1) % 8)::INT AS prompt_index FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample) AS n FROM samples)")
+@query(f"WITH {DATASET} SELECT sample, split, n::INT AS ordinal, lpad(n::VARCHAR, greatest(4, length(m::VARCHAR))::INT, '0') AS stem, ((n - 1) % 8)::INT AS prompt_index FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample) AS n, count(*) OVER (PARTITION BY split) AS m FROM samples)")
 def split_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.numbered(A.samples(spark, sf_dir), "split", "sample").select("sample", "split", "ordinal", "stem", "prompt_index")
 

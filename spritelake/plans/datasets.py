@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bundles, specs
+from ..operators import bundles, datasets, specs
+from ..operators.ordinals import ordinals
 from ..sources import adapters as A
-from .catalogue import query
+from .catalogue import query, raster_sql
 
 
 def _pad(k: str) -> str:
@@ -139,3 +140,45 @@ def restricted_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     joints = A.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 1).select(F.col("c_custkey").alias("joint"))
     kept = specs.restricted_tracks(tracks, joints, ["view", "click", "view"], 1.5)
     return kept.groupBy("clip", "place", "joint", "channel").agg(F.count(F.lit(1)).alias("keys"), F.round(F.sum("value"), 3).alias("total"))
+
+
+# ---- datasets of boards
+
+_PLACE = "(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)"
+
+
+@query(f"""WITH {raster_sql(A.MEDIUM)}, fl AS (SELECT vec_id AS frame, label, {_PLACE} AS k FROM embeddings), cells AS (SELECT frame, 'c' || label || '__east__walk' AS sample, k AS cell FROM fl WHERE k <= 4 UNION ALL SELECT frame, 'c' || label || '__east__idle', CASE WHEN k = 0 THEN 0 ELSE k - 4 END FROM fl WHERE k = 0 OR k BETWEEN 5 AND 7),
+        o AS (SELECT sample, cell, x, y, a > 20 AS t, r, g, b, a FROM cells JOIN raster USING (frame)), n AS (SELECT p.sample, p.cell, p.x, p.y, p.t, count(*) FILTER (WHERE q.t) AS k FROM o p JOIN o q ON q.sample = p.sample AND q.cell = p.cell AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 WHERE p.cell > 0 GROUP BY ALL),
+        bp AS (SELECT sample, 'input' AS kind, cell, x, y, CASE WHEN k BETWEEN 1 AND 8 THEN 16051904 ELSE 4614282 END AS c FROM n WHERE k BETWEEN 1 AND 8 OR t UNION ALL SELECT sample, 'input', cell, x, y, r * 65536 + g * 256 + b FROM o WHERE cell = 0 AND a > 0 UNION ALL SELECT sample, 'target', cell, x, y, r * 65536 + g * 256 + b FROM o WHERE a > 0),
+        sm AS (SELECT DISTINCT sample, CASE WHEN sample LIKE 'c1\\_\\_%' ESCAPE '\\' OR sample LIKE 'c4\\_\\_%' ESCAPE '\\' THEN 'validation' ELSE 'train' END AS split FROM cells), en AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample) AS ordinal FROM sm)
+        SELECT sample, split, ordinal::INT AS ordinal, ((ordinal - 1) % 8)::INT AS prompt_index, 'mflux/' || split || '/' || lpad(ordinal::VARCHAR, 4, '0') || '_in.png' AS input, kind, count(*)::BIGINT AS pixels, sum(c::BIGINT * (1 + (cell // 4 * 16 + 4 + y) * 64 + cell % 4 * 16 + 4 + x))::BIGINT AS digest FROM bp JOIN en USING (sample) GROUP BY ALL""")
+def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label as a character with a reference, a walk and an idle clip, every vector as a file of its folder."""
+    first = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("clip"))
+    k = F.col("k")
+    name = F.when(k == 0, "reference").when(k <= 4, F.concat(F.lit("walk_"), (k + 7).cast("string"))).when(k <= 7, F.concat(F.lit("idle_"), k.cast("string"))).otherwise(F.concat(F.lit("spare_"), F.col("frame").cast("string")))
+    places = ordinals(first, ["frame"], ["clip"], "k").select("frame", F.concat(F.lit("/r"), F.col("clip").cast("string")).alias("root"), F.concat(F.lit("east/"), name, F.lit(".png")).alias("path"))
+    files = A.packed(spark, sf_dir, A.MEDIUM).join(places, "frame").withColumn("regular", F.lit(True))
+    clip = lambda c, n: F.struct(F.lit(c).alias("id"), F.lit("{direction}/{clip}_*.png").alias("pattern"), F.lit(n).alias("expected"))
+    label = F.col("clip").cast("string")
+    characters = first.select("clip").distinct().select(F.concat(F.lit("c"), label).alias("id"), F.concat(F.lit("/r"), label).alias("root"), F.lit("{direction}/reference.png").alias("reference"), F.array(F.lit("east")).alias("directions"), F.array(clip("walk", 4), clip("idle", 3)).alias("clips"))
+    made = datasets.build(characters, files, ["c1", "c4"])
+    colour = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long")
+    boards = made.boards.groupBy("sample", "kind").agg(F.count(F.lit(1)).alias("pixels"), F.sum(colour * (1 + F.col("by") * F.col("board_w") + F.col("bx"))).alias("digest"))
+    return made.entries.join(boards, "sample").select("sample", "split", "ordinal", "prompt_index", "input", "kind", "pixels", "digest")
+
+
+@query(f"""WITH RECURSIVE {raster_sql(A.OPAQUE)}, c AS (SELECT vec_id AS board, f, p % 5 AS x, p // 5 AS y, (f // 2 * 4 + (2 * (p // 5) + 1) * 4 // 12) * 8 + f % 2 * 4 + (2 * (p % 5) + 1) * 4 // 12 AS i FROM embeddings, range(1, 4) t(f), range(0, 25) q(p)),
+        im AS (SELECT board, f AS frame, c.x, c.y, r, g, b FROM c JOIN raster s ON s.frame = c.board AND s.i = c.i), md AS (SELECT board, frame, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM im WHERE x IN (0, 4) AND y IN (0, 4) GROUP BY ALL),
+        cand AS (SELECT board, frame, x, y FROM im JOIN md USING (board, frame) WHERE abs(r - mr) + abs(g - mg) + abs(b - mb) <= 42),
+        hit AS (SELECT board, frame, x, y FROM cand WHERE x IN (0, 4) OR y IN (0, 4) UNION SELECT c.board, c.frame, c.x, c.y FROM hit h JOIN cand c ON c.board = h.board AND c.frame = h.frame AND abs(c.x - h.x) <= 1 AND abs(c.y - h.y) <= 1),
+        kept AS (SELECT im.* FROM im LEFT JOIN hit h ON h.board = im.board AND h.frame = im.frame AND h.x = im.x AND h.y = im.y WHERE h.board IS NULL)
+        SELECT b.board, b.frame::INT AS frame, count(k.board)::BIGINT AS pixels, coalesce(sum((r * 65536 + g * 256 + b)::BIGINT * (1 + y * 5 + x)), 0)::BIGINT AS digest, count(k.board) = 0 AS empty FROM (SELECT DISTINCT board, frame FROM im) b LEFT JOIN kept k ON k.board = b.board AND k.frame = b.frame GROUP BY ALL""")
+def delivered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three frames of each board of 2 x 2 cells, from 4 x 4 to 6 x 6 pixels, cut to 5 x 5 and cleared of their background."""
+    boards = A.packed(spark, sf_dir, A.OPAQUE).withColumnRenamed("frame", "board")
+    pixels, faults = datasets.delivered(boards, 2, 3, (4, 4), (6, 6), (5, 5))
+    digest = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long") * (1 + F.col("y") * 5 + F.col("x"))
+    full = pixels.groupBy("board", "frame").agg(F.count(F.lit(1)).alias("pixels"), F.sum(digest).alias("digest"), F.lit(False).alias("empty"))
+    zero = F.lit(0).cast("long")
+    return full.unionByName(faults.where("rule = 'empty'").select("board", "frame", zero.alias("pixels"), zero.alias("digest"), F.lit(True).alias("empty")))

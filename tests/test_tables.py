@@ -199,3 +199,18 @@ def test_listed_names(spark):
     names = spark.createDataFrame([("t", 1, "a"), ("t", 2, "a"), ("t", 4, "c"), ("t", 5, "b"), ("u", 1, "b "), ("u", 2, None)], "list string, position int, name string")
     assert {tuple(r) for r in bundles.list_faults(names).collect()} == {("t/2", "repeated"), ("t/4", "gap"), ("t/5", "order"), ("u/1", "blank"), ("u/2", "blank")}
     assert bundles.disjoint_faults(names, "t", "u").count() == 0
+
+
+def test_datasets_tell_what_is_missing(spark):
+    from spritelake.operators import datasets
+
+    clips = [("walk", "{direction}/{clip}_*.png", 2)]
+    characters = spark.createDataFrame([("a", "/a", "{direction}/reference.png", ["east", "west"], clips)], "id string, root string, reference string, directions array<string>, clips array<struct<id:string,pattern:string,expected:int>>")
+    image = (2, 2, [9] * 4, [8] * 4, [7] * 4, [255] * 4)
+    files = spark.createDataFrame([("/a", p, True, *image) for p in ("east/reference.png", "east/walk_10.png", "east/walk_9.png", "west/walk_1.png", "west/walk_2.png")], "root string, path string, regular boolean, w int, h int, r array<int>, g array<int>, b array<int>, a array<int>")
+    made = datasets.build(characters, files, [])
+    assert [tuple(r) for r in made.faults.collect()] == [("a__west", "reference", "west/reference.png")]
+    assert [r["input"] for r in made.entries.orderBy("ordinal").collect()] == ["mflux/train/0001_in.png", "mflux/train/0002_in.png"]
+    assert {(r["sample"], r["kind"], r["n"]) for r in made.boards.groupBy("sample", "kind").agg(F.count("*").alias("n")).collect()} == {("a__east__walk", "input", 12), ("a__east__walk", "target", 12), ("a__west__walk", "input", 8), ("a__west__walk", "target", 8)}
+    pixels, faults = datasets.delivered(spark.createDataFrame([(1, 4, 2, [5] * 8, [5] * 8, [5] * 8), (2, 3, 2, [5] * 6, [5] * 6, [5] * 6)], "board int, w int, h int, r array<int>, g array<int>, b array<int>"), 2, 1, (2, 2), (4, 4), (2, 2))
+    assert pixels.count() == 0 and {tuple(r) for r in faults.collect()} == {(1, 1, "empty"), (2, None, "size")}
