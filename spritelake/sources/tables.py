@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}  # folders by application
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of a new folder below ``spark.checkpoint.dir``.
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spritelake-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -40,6 +44,20 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all that operators of this application have left in the shared folder, and tells how many folders that was.
+
+    Results are lazy plans over such tables: save them first.
+    """
+    jvm, gone = spark._jvm, 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{path}*")
+        system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(pattern) or []:
+            gone += bool(system.delete(found.getPath(), True))
+    return gone
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables made by written() that no lazy plan reads any more."""
     for df in tables:

@@ -1,6 +1,7 @@
 """Ordinals, regions, palettes, layouts, rendering, reconciliation: edges and plans beside what SQL holds."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -214,3 +215,14 @@ def test_datasets_tell_what_is_missing(spark):
     assert {(r["sample"], r["kind"], r["n"]) for r in made.boards.groupBy("sample", "kind").agg(F.count("*").alias("n")).collect()} == {("a__east__walk", "input", 12), ("a__east__walk", "target", 12), ("a__west__walk", "input", 8), ("a__west__walk", "target", 8)}
     pixels, faults = datasets.delivered(spark.createDataFrame([(1, 4, 2, [5] * 8, [5] * 8, [5] * 8), (2, 3, 2, [5] * 6, [5] * 6, [5] * 6)], "board int, w int, h int, r array<int>, g array<int>, b array<int>"), 2, 1, (2, 2), (4, 4), (2, 2))
     assert pixels.count() == 0 and {tuple(r) for r in faults.collect()} == {(1, 1, "empty"), (2, None, "size")}
+
+
+def test_left_tables_are_released(spark, tmp_path):
+    from spritelake.sources import tables
+
+    df = tables.written(spark.range(5).withColumn("x", F.col("id") % 2))
+    other = tables.shared_dir(spark) + "-named"
+    df.write.parquet(other)
+    folders = [f.removeprefix("file://").rsplit("/", 1)[0] for f in df.inputFiles()[:1]] + [other.removeprefix("file://")]
+    assert all(map(os.path.isdir, folders))
+    assert tables.release(spark) >= 2 and not any(map(os.path.exists, folders)) and tables.release(spark) == 0
