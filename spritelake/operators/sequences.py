@@ -92,20 +92,26 @@ def world_transforms(joints: DataFrame) -> DataFrame:
                    w.y - j.ox * sin(radians(w.angle)) + j.oy * cos(radians(w.angle))
             FROM world w JOIN {name} j ON j.parent = w.joint)
         SELECT * FROM world""")
+    spark.catalog.dropTempView(name)  # the plan is resolved by now
     return out
 
 
-def ancestors(joints: DataFrame, needed: list[str]) -> DataFrame:
-    """The needed joints and all joints above them."""
+def ancestors(joints: DataFrame, needed: list[str] | DataFrame) -> DataFrame:
+    """The needed joints, a list or a table with a column ``joint``, and all joints above them."""
     spark = joints.sparkSession
+    if not isinstance(needed, DataFrame):
+        needed = spark.createDataFrame([(n,) for n in needed], "joint string")
     name = f"joints_{id(joints):x}_up"
     joints.createOrReplaceTempView(name)
-    listed = ", ".join(f"'{n}'" for n in needed)
-    return spark.sql(f"""
+    needed.createOrReplaceTempView(f"{name}_needed")
+    out = spark.sql(f"""
         WITH RECURSIVE up(joint, parent) AS (
-            SELECT joint, parent FROM {name} WHERE joint IN ({listed})
+            SELECT joint, parent FROM {name} WHERE joint IN (SELECT joint FROM {name}_needed)
             UNION ALL SELECT j.joint, j.parent FROM up u JOIN {name} j ON j.joint = u.parent)
         SELECT DISTINCT joint FROM up""")
+    spark.catalog.dropTempView(name)
+    spark.catalog.dropTempView(f"{name}_needed")
+    return out
 
 
 def tree_faults(joints: DataFrame) -> DataFrame:

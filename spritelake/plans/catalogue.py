@@ -256,7 +256,12 @@ def hole_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.by_frame(A.packed(spark, sf_dir, A.DENSE), "filled long, left_over long", rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {raster_sql(A.DENSE)}, op AS (SELECT frame, x, y, least(r, g, b) >= 140 AND greatest(r, g, b) - least(r, g, b) <= 18 AS nt FROM raster WHERE a > 20),
+        reach AS (SELECT frame, x, y, 0 AS k FROM op WHERE NOT nt UNION SELECT n.frame, n.x, n.y, r.k + 1 FROM reach r JOIN op n ON n.frame = r.frame AND n.nt AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 WHERE r.k < 4),
+        fr AS (SELECT frame, count(*) AS n FROM (SELECT DISTINCT frame, x, y FROM reach WHERE k > 0) p WHERE EXISTS (SELECT 1 FROM raster q WHERE q.frame = p.frame AND q.a <= 20 AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1) GROUP BY frame),
+        lo AS (SELECT frame, max(y) AS low FROM op GROUP BY frame), ln AS (SELECT frame, low, x, x - row_number() OVER (PARTITION BY frame ORDER BY x) AS g FROM op JOIN lo USING (frame) WHERE y = low AND nt),
+        ru AS (SELECT frame, low, min(x) AS f, max(x) AS t FROM ln GROUP BY frame, low, g), hit AS (SELECT frame, sum(t - f + 1) AS n FROM ru WHERE EXISTS (SELECT 1 FROM op q WHERE q.frame = ru.frame AND NOT q.nt AND q.y BETWEEN low - 3 AND low - 1 AND q.x BETWEEN f - 1 AND t + 1) GROUP BY frame)
+        SELECT e.vec_id AS frame, e.label AS clip, coalesce(fr.n, 0)::BIGINT AS fringe, coalesce(hit.n, 0)::BIGINT AS line FROM embeddings e LEFT JOIN fr ON fr.frame = e.vec_id LEFT JOIN hit ON hit.frame = e.vec_id""")
 def fringe_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recoloured pixels of fringes and detached bottom lines."""
     rows = lambda image: [(int((K.recoloured_fringe(image, 140) != image).any(2).sum()), int((K.detached_line(image, 140) != image).any(2).sum()))]
@@ -397,11 +402,12 @@ def clip_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clip_verdicts(*_gates(spark, sf_dir))
 
 
-@query("""WITH n AS (SELECT unnest(range(1, 145)) AS cells), s AS (SELECT unnest(range(1, 13)) AS v)
-        SELECT cells::INT AS cells, c::INT AS columns, r::INT AS rows FROM (SELECT n.cells, a.v AS c, b.v AS r FROM n, s a, s b WHERE a.v * b.v >= n.cells QUALIFY row_number() OVER (PARTITION BY n.cells ORDER BY a.v * b.v, abs(a.v - b.v), a.v) = 1)""")
+@query("""WITH n AS (SELECT p_partkey, (1 + p_partkey * 7 % 144)::INT AS cells FROM part), s AS (SELECT unnest(range(1, 13)) AS v), g AS (SELECT a.v AS c, b.v AS r FROM s a, s b)
+        SELECT p_partkey, cells, c::INT AS columns, r::INT AS rows FROM n JOIN g ON c * r >= cells QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY c * r, abs(c - r), c) = 1""")
 def grid_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 145).select(F.col("id").cast("int").alias("cells"))
-    return n.select("cells", R.grid_for(F.col("cells")).alias("g")).select("cells", "g.columns", "g.rows")
+    """The grid of every part's number of cells."""
+    n = A.table(spark, sf_dir, "part").select("p_partkey", (1 + F.col("p_partkey") * 7 % 144).cast("int").alias("cells"))
+    return n.select("p_partkey", "cells", R.grid_for(F.col("cells")).alias("g")).select("p_partkey", "cells", "g.columns", "g.rows")
 
 
 # ---- names, sequences and graphs
@@ -445,32 +451,48 @@ def min_useful_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.least_frames(keys, ["joint"], F.col("joint") % 4 == 0)
 
 
-@query("SELECT n::INT AS n, loop, i::INT AS i, (CASE WHEN n = 1 THEN 0.0 WHEN loop THEN i::DOUBLE / n ELSE i::DOUBLE / (n - 1) END)::DOUBLE AS t FROM (SELECT unnest(range(1, 17)) AS n) a, (VALUES (true), (false)) b(loop), range(0, 16) r(i) WHERE i < n")
+@query("SELECT o_orderkey, i::INT AS i, (CASE WHEN n = 1 THEN 0.0 WHEN loop THEN i::DOUBLE / n ELSE i::DOUBLE / (n - 1) END)::DOUBLE AS t FROM (SELECT o_orderkey, 1 + o_orderkey % 16 AS n, o_custkey % 2 = 0 AS loop FROM orders) a, range(0, 16) r(i) WHERE i < n")
 def sample_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 17).select(F.col("id").cast("int").alias("n"), F.explode(F.array(F.lit(True), F.lit(False))).alias("loop"))
-    return grid.select("n", "loop", F.posexplode(S.sample_times(F.col("n"), F.col("loop"))).alias("i", "t"))
+    """Instants of clips of one to sixteen frames, in loops and not."""
+    clips = A.table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 16).cast("int").alias("n"), (F.col("o_custkey") % 2 == 0).alias("loop"))
+    return clips.select("o_orderkey", F.posexplode(S.sample_times(F.col("n"), F.col("loop"))).alias("i", "t"))
 
 
-JOINTS = "j(joint, parent, ox, oy, angle) AS (VALUES " + ", ".join(f"('{a}', {'NULL' if p is None else repr(p)}, {x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE)" for a, p, x, y, r in S.SKELETON) + ")"
+JOINTS = "sk(name, above, ox, oy, angle) AS (VALUES " + ", ".join(f"('{a}', {'NULL' if p is None else repr(p)}, {x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE)" for a, p, x, y, r in S.SKELETON) + "), j AS (SELECT s_suppkey || '/' || name AS joint, s_suppkey || '/' || above AS parent, ox * (1 + s_suppkey % 3) AS ox, oy, angle FROM supplier, sk)"
 
 
-@query(f"WITH RECURSIVE {JOINTS}, up AS (SELECT joint, parent FROM j WHERE joint IN ('hand_front', 'leg_back') UNION SELECT j.joint, j.parent FROM up JOIN j ON j.joint = up.parent) SELECT joint FROM up")
+def _joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skeleton for each supplier."""
+    one = F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.lit(p).cast("string").alias("above"), F.lit(x).alias("ox"), F.lit(y).alias("oy"), F.lit(r).alias("angle")) for a, p, x, y, r in S.SKELETON))).alias("j")
+    rows = A.table(spark, sf_dir, "supplier").select("s_suppkey", one).select("s_suppkey", "j.*")
+    named = lambda c: F.concat(F.col("s_suppkey").cast("string"), F.lit("/"), F.col(c))
+    return rows.select(named("name").alias("joint"), named("above").alias("parent"), (F.col("ox") * (1 + F.col("s_suppkey") % 3)).alias("ox"), "oy", "angle")
+
+
+@query(f"WITH RECURSIVE {JOINTS}, up AS (SELECT joint, parent FROM j WHERE ends_with(joint, '/hand_front') OR ends_with(joint, '/leg_back') UNION SELECT j.joint, j.parent FROM up JOIN j ON j.joint = up.parent) SELECT joint FROM up")
 def skeleton_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ancestors(S.skeleton(spark), ["hand_front", "leg_back"])
+    joints = _joints(spark, sf_dir)
+    return S.ancestors(joints, joints.where(F.col("joint").rlike("/(hand_front|leg_back)$")).select("joint"))
 
 
 @query(f"""WITH RECURSIVE {JOINTS}, w AS (SELECT joint, 0 AS depth, angle, ox AS x, oy AS y FROM j WHERE parent IS NULL UNION ALL
         SELECT j.joint, w.depth + 1, w.angle + j.angle, w.x + j.ox * cos(radians(w.angle)) + j.oy * sin(radians(w.angle)), w.y - j.ox * sin(radians(w.angle)) + j.oy * cos(radians(w.angle)) FROM w JOIN j ON j.parent = w.joint)
         SELECT joint, depth::INT AS depth, angle, round(x, 6) AS x, round(y, 6) AS y FROM w""")
 def world_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.world_transforms(S.skeleton(spark)).select("joint", "depth", "angle", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return S.world_transforms(_joints(spark, sf_dir)).select("joint", "depth", "angle", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT subject, gate FROM (VALUES ('a', 'reaches_root'), ('b', 'reaches_root'), ('c', 'parent_exists'), ('c', 'reaches_root')) v(subject, gate)")
+@query("""WITH RECURSIVE j AS (SELECT 's' || s_suppkey AS joint, CASE WHEN s_suppkey = 0 THEN NULL WHEN s_suppkey % 11 = 5 THEN 'nowhere' WHEN s_suppkey % 13 = 6 THEN 's' || s_suppkey ELSE 's' || (s_suppkey // 3) END AS parent FROM supplier),
+        w AS (SELECT joint FROM j WHERE parent IS NULL UNION SELECT j.joint FROM w JOIN j ON j.parent = w.joint)
+        SELECT joint AS subject, 'parent_exists' AS gate FROM j WHERE parent IS NOT NULL AND parent NOT IN (SELECT joint FROM j) UNION ALL SELECT joint, 'reaches_root' FROM j WHERE joint NOT IN (SELECT joint FROM w)
+        UNION ALL SELECT 'skeleton', 'one_root' FROM (SELECT count(*) AS n FROM j WHERE parent IS NULL) WHERE n <> 1""")
 def skeleton_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cycle and a missing parent beside a good root."""
-    broken = [("root", None, 0.0, 0.0, 0.0), ("a", "b", 0.0, 0.0, 0.0), ("b", "a", 0.0, 0.0, 0.0), ("c", "nowhere", 0.0, 0.0, 0.0)]
-    return S.tree_faults(S.skeleton(spark, broken))
+    """Suppliers as joints of one tree, some with a parent that isn't there and some in a cycle."""
+    k = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    parent = F.when(k == 0, None).when(k % 11 == 5, "nowhere").when(k % 13 == 6, name(k)).otherwise(name(F.floor(k / 3)))
+    zero = F.lit(0.0)
+    return S.tree_faults(A.table(spark, sf_dir, "supplier").select(name(k).alias("joint"), parent.alias("parent"), zero.alias("ox"), zero.alias("oy"), zero.alias("angle")))
 
 
 # ---- manifests
