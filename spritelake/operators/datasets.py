@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import written
 from . import assembly, regions, specs
 from . import sequences as S
 
@@ -74,11 +75,8 @@ def delivered(boards: DataFrame, columns: int, frames: int, cell: tuple[int, int
 
     cut = boards.where(fits).withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(frames)))).withColumn("at", F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), source))
     taken = lambda c: F.transform("at", lambda i: F.get(F.col(c), i)).alias(c)
-    images = cut.select("board", "frame", *map(taken, "rgb"))
-    corner = lambda c: F.array_sort(F.array(*(F.get(F.col(c), F.lit(i)) for i in (0, w - 1, w * (h - 1), w * h - 1))))
-    median = {f"m{c}": (corner(c)[1] + corner(c)[2]) / 2 for c in "rgb"}
-    like = F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.abs(p["r"] - F.col("mr")) + F.abs(p["g"] - F.col("mg")) + F.abs(p["b"] - F.col("mb")) <= tolerance)
-    masked = images.withColumns(median).select(F.struct("board", "frame").alias("image"), F.lit(w).alias("w"), like.alias("mask"))
+    images = written(cut.select("board", "frame", *map(taken, "rgb")))
+    masked = images.select(F.struct("board", "frame").alias("image"), F.lit(w).alias("w"), regions.like_corners(w, h, tolerance).alias("mask"))
     labelled = regions.regions(regions.runs(masked, "image"))
     outer = regions.touching(regions.measured(labelled), F.lit(w), F.lit(h)).where("edge").select("image", "region")
     gone = labelled.join(outer, ["image", "region"], "left_semi").select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
