@@ -154,10 +154,7 @@ def region_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of each row that are like the corners and connected with a side."""
     frames = A.packed(spark, sf_dir, A.OPAQUE)
-    middle = lambda c: F.array_sort(F.array(*(F.get(F.col(c), F.lit(i)) for i in (0, 7, 56, 63))))
-    median = {f"m{c}": (middle(c)[1] + middle(c)[2]) / 2 for c in "rgb"}
-    like = F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.abs(p["r"] - F.col("mr")) + F.abs(p["g"] - F.col("mg")) + F.abs(p["b"] - F.col("mb")) <= 42)
-    labelled = regions.regions(regions.runs(frames.withColumns(median).withColumn("mask", like), "frame"))
+    labelled = regions.regions(regions.runs(frames.withColumn("mask", regions.like_corners(A.SIDE, A.SIDE, 42)), "frame"))
     outer = regions.touching(regions.measured(labelled), F.lit(A.SIDE), F.lit(A.SIDE)).where("edge").select("image", "region")
     return labelled.join(outer, ["image", "region"], "left_semi").groupBy(F.col("image").alias("frame"), "y").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("cleared"))
 
