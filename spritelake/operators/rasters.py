@@ -245,8 +245,15 @@ def board_totals(cells: DataFrame) -> DataFrame:
     return cells.withColumn("shelf", F.floor(F.col("board") / 100).cast("int")).rollup("shelf", "board").agg(F.sum("opaque").alias("opaque"), F.count(F.lit(1)).alias("cells"), F.min("iou").alias("least_iou"))
 
 
-def grid_for(cells: int, most: int = 12) -> Column:
+def grid_for(cells: int | Column, most: int = 12) -> Column:
     """The grid (columns, rows) of at least so many cells: the fewest, then the squarest, then the narrowest; 3 x 3 for 9."""
-    sides = F.sequence(F.lit(1), F.lit(most))
-    grids = F.flatten(F.transform(sides, lambda c: F.transform(sides, lambda r: F.struct((c * r).alias("cells"), F.abs(c - r).alias("skew"), c.alias("columns"), r.alias("rows")))))
-    return F.array_min(F.filter(grids, lambda g: g["cells"] >= cells))
+    grids = sorted((c * r, abs(c - r), c, r) for c in range(1, most + 1) for r in range(1, most + 1))
+    best, k = [], 0
+    for n in range(1, most * most + 1):  # all numbers of cells in one literal: a row looks its own up
+        while grids[k][0] < n:
+            k += 1
+        best.append(grids[k])
+    n = F.lit(cells) if not isinstance(cells, Column) else cells
+    at = F.greatest(F.lit(0), F.ceil(n).cast("int") - 1)
+    of = lambda k: F.get(F.expr(f"array({', '.join(str(b[k]) for b in best)})"), at)
+    return F.when(n <= most * most, F.struct(*(of(k).alias(name) for k, name in enumerate(("cells", "skew", "columns", "rows")))))
