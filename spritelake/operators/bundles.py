@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PER_TASK = 200_000  # rows that a task sorts for a join
 FIELDS = {"input": "_in.png", "target": "_out.png", "prompt": "_in.txt"}  # fixed endings of the three names
 
 
@@ -32,15 +33,22 @@ def split_faults(entries: DataFrame, samples: DataFrame, files: DataFrame, folde
     surplus: a file that no entry names, or none that is regular; image_sizes: more than one in the split.
     """
     base = lambda field: F.regexp_replace(F.regexp_replace(F.col(field), "^.*/", ""), FIELDS[field].replace(".", r"\.") + "$", "")
-    same = entries.groupBy("sample").agg(F.count(F.lit(1)).alias("times"))
-    known = samples.where(F.col("split") == split).select("sample", "input_hash", "target_hash", F.lit(True).alias("known"))
+    # dealt by the number of rows, so what a task sorts doesn't grow with the input
+    parts = max(1, -(-len(FIELDS) * entries.count() // PER_TASK))
+    by_sample = entries.repartition(parts, "sample")
+    same = by_sample.groupBy("sample").agg(F.count(F.lit(1)).alias("times"))
+    known = samples.where(F.col("split") == split).repartition(parts, "sample").select("sample", "input_hash", "target_hash", F.lit(True).alias("known"))
     named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("path")) for f in FIELDS))).alias("file")
-    paths = entries.select("position", named).select("position", "file.*")
+    paths = entries.select("position", named).select("position", "file.*").repartition(parts, "path")
+    files = files.repartition(parts, "path")
     uses = paths.groupBy("path").agg(F.count(F.lit(1)).alias("uses"))
-    found = paths.join(uses, "path").join(files.where("regular"), "path", "left")
+    # one row a path on either side: entries and files that share a path don't multiply
+    size = F.when(F.col("w").isNotNull(), F.struct("w", "h"))
+    held = files.where("regular").groupBy("path").agg(*(F.max(c).alias(c) for c in ("w", "h", "hash")), F.bool_or(F.col("hash").isNull()).alias("lacking"), F.min(size).alias("least"), F.max(size).alias("most"))
+    found = paths.join(uses, "path").join(held, "path", "left")
     of = lambda field, c: F.max(F.when(F.col("field") == field, F.col(c))).alias(f"{field}_{c}")
-    facts = found.groupBy("position").agg(F.max("uses").alias("uses"), F.count_if(F.col("hash").isNull()).alias("absent"), *(of(f, c) for f in ("input", "target") for c in ("w", "h", "hash")))
-    rows = entries.join(same, "sample").join(known.withColumnsRenamed({"input_hash": "want_input", "target_hash": "want_target"}), "sample", "left").join(facts, "position")
+    facts = found.repartition(parts, "position").groupBy("position").agg(F.max("uses").alias("uses"), F.count_if(F.coalesce("lacking", F.lit(True))).alias("absent"), *(of(f, c) for f in ("input", "target") for c in ("w", "h", "hash")))
+    rows = by_sample.join(same, "sample").join(known.withColumnsRenamed({"input_hash": "want_input", "target_hash": "want_target"}), "sample", "left").repartition(parts, "position").join(facts, "position")
     flat = [F.regexp_replace(F.col(f), "[^/]*$", "") == f"{folder}/" for f in FIELDS]
     endings = [F.endswith(F.col(f), F.lit(e)) for f, e in FIELDS.items()]
     rules = {
@@ -52,7 +60,7 @@ def split_faults(entries: DataFrame, samples: DataFrame, files: DataFrame, folde
     own = _faults(rows, F.col("position"), rules)
     here = files.where(F.startswith("path", F.lit(f"{folder}/")))
     surplus = here.join(uses, "path", "left").where("uses IS NULL OR NOT regular").select(F.col("path").alias("subject"), F.lit("surplus").alias("rule"))
-    sizes = found.where("field <> 'prompt' AND w IS NOT NULL").select("w", "h").distinct().agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(folder).alias("subject"), F.lit("image_sizes").alias("rule"))
+    sizes = found.where("field <> 'prompt'").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("NOT (least <=> most)").select(F.lit(folder).alias("subject"), F.lit("image_sizes").alias("rule"))
     return own.unionByName(surplus).unionByName(sizes)
 
 

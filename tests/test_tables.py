@@ -3,12 +3,13 @@
 import hashlib
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from spritelake.operators import assembly, bundles, fingerprints, palettes, parts, regions, rendering, specs
+from spritelake.operators import assembly, bundles, fingerprints, palettes, parts, rasters, regions, rendering, specs
 from spritelake.operators.ordinals import ordinals
 from spritelake.plans import catalogue
 
@@ -128,6 +129,46 @@ def test_boxes_within_a_gap(spark):
     assert got == {(a[0], a[1], b[1]) for a in boxes[:-1] for b in boxes[:-1] if a[0] == b[0] and a[1] < b[1] and apart(a, b)}
 
 
+def test_pairs_of_boxes_come_once(spark):
+    """Boxes over many cells meet in many, and each pair counts in one of them, without a grouping of the pairs."""
+    rng = random.Random(3)
+    boxes = [(0, i, x := rng.randrange(-300, 300), y := rng.randrange(-300, 300), x + rng.randrange(1, 400), y + rng.randrange(1, 400)) for i in range(60)]
+    found = regions.near_boxes(spark.createDataFrame(boxes, "image int, id int, x0 int, y0 int, x1 int, y1 int"), 3)
+    apart = lambda a, b: max(b[2] - a[4], a[2] - b[4]) <= 3 and max(b[3] - a[5], a[3] - b[5]) <= 3
+    assert sorted(tuple(r) for r in found.collect()) == sorted((0, a[1], b[1]) for a in boxes for b in boxes if a[1] < b[1] and apart(a, b))
+    assert "Aggregate" not in plan(found)
+
+
+def test_grids_are_looked_up(spark):
+    found = spark.createDataFrame([(n,) for n in (None, *range(-1, 150))], "n int").select("n", rasters.grid_for(F.col("n")).alias("g"))
+    for r in found.collect():
+        want = min(((c * k, abs(c - k), c, k) for c in range(1, 13) for k in range(1, 13) if c * k >= r["n"]), default=None) if r["n"] is not None else None
+        assert (tuple(r["g"]) if r["g"] else None) == want, r["n"]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reconciliation_is_dealt_by_rows(spark, monkeypatch):
+    query = catalogue.queries()["split_reconciliation"]
+    want = sorted(map(tuple, query(spark, SF).collect()))
+    rows = spark.read.parquet(f"{SF}/orders.parquet").count()
+    monkeypatch.setattr(bundles, "PER_TASK", 100)
+    got = query(spark, SF)
+    assert all(f"{key}, {-(-3 * rows // 100)})" in re.sub(r"#\d+L?", "", plan(got)) for key in ("(sample", "(path", "(position"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_shared_paths_do_not_multiply(spark):
+    """All entries name one path, which the folder has as often: 20,000 x 20,000 rows if they met one by one."""
+    n = 20_000
+    k = spark.range(1, n + 1)
+    entries = k.select(F.col("id").alias("position"), F.col("id").alias("index"), F.col("id").cast("string").alias("sample"), F.lit(0).alias("prompt_index"), F.lit("t/1_in.png").alias("input"), F.lit("t/1_out.png").alias("target"), F.lit("t/1_in.txt").alias("prompt"))
+    samples = k.select(F.col("id").cast("string").alias("sample"), F.lit("train").alias("split"), F.lit("c").alias("character"), F.lit("h").alias("input_hash"), F.lit("h").alias("target_hash"))
+    png = lambda path, hash: k.select(F.lit(path).alias("path"), (F.col("id") % 2 + 4).cast("int").alias("w"), F.lit(4).alias("h"), hash.alias("hash"), F.lit(True).alias("regular"))
+    files = png("t/1_in.png", F.lit("h")).unionByName(png("t/1_out.png", F.when(F.col("id") > 1, "h"))).unionByName(png("t/1_in.txt", F.lit("p")).withColumns({c: F.lit(None).cast("int") for c in "wh"}))
+    found = Counter(r["rule"] for r in bundles.split_faults(entries, samples, files, "t", "train", 8).collect())
+    assert found == {"reused": n, "number": n - 1, "missing": n, "image_sizes": 1}
+
+
 def test_palettes(spark):
     rng = random.Random(2)
     px = [(c, i, rng.randrange(256), rng.randrange(256), rng.randrange(256), 255) for c in (1, 2) for i in range(400)] + [(3, i, i % 5, 0, 0, 255) for i in range(50)] + [(4, 0, 1, 1, 1, 0), (5, 0, None, 1, 1, 255)]
