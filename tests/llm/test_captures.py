@@ -166,6 +166,32 @@ def test_side_by_side_equals_a_slow_search(spark, monkeypatch):
     assert {tuple(r) for r in media.candidates(df).collect()} == want and len(want) >= 6
 
 
+@pytest.mark.parametrize("part", [4, 4096])
+def test_shared_descriptors_of_many_images(spark, monkeypatch, part):
+    """All pairs that share buckets are met, also where unlike images lie between them in every table; those of one group are left out."""
+    monkeypatch.setattr(media, "PART", part)
+    rng = np.random.default_rng(5)
+    common, images = rng.integers(0, 256, (3, media.BITS // 8)), []
+    for k in range(40):
+        f = np.zeros(5, media.FEATURE)
+        f["bits"] = np.concatenate([common, rng.integers(0, 256, (2, media.BITS // 8))])
+        f["bits"][:3, [5, 13]] ^= rng.integers(0, 256, (3, 2)).astype(np.uint8)  # near each other beyond the first stretch
+        images.append(f)
+    df = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(images)], "rep long, features binary")
+    groups = {k: k % 7 if k < 21 else k for k in range(40)}
+    met = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            for x in images[a]["bits"] if groups[a] != groups[b] else []:
+                for y in images[b]["bits"]:
+                    near = np.bitwise_count(x ^ y).sum() < media.APART
+                    met[a, b] = met.get((a, b), 0) + sum(int(near and (x[at : at + 4] == y[at : at + 4]).all()) for at in (0, 8))
+    want = {pair for pair, n in met.items() if n >= media.MATCHES}
+    known = spark.createDataFrame([(k, g) for k, g in groups.items() if k < 21], "node long, component long")
+    assert {tuple(r) for r in media.rest(df, known).collect()} == want
+    assert want - {tuple(r) for r in media.candidates(df).collect()}
+
+
 def textured(rng, n):
     """A picture whose amplitudes fall with the frequency."""
     f = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n))
