@@ -192,6 +192,83 @@ def test_shared_descriptors_of_many_images(spark, monkeypatch, part):
     assert want - {tuple(r) for r in media.candidates(df).collect()}
 
 
+def starred(rng, n):
+    """Corners of an image of one scale in random places, by rows, as the describer gives them."""
+    f = np.zeros(n, media.FEATURE)
+    at = np.sort(rng.choice(90 * 90, n, replace=False))
+    f["x"], f["y"], f["scale"], f["angle"], f["bits"] = at % 90, at // 90, 1, rng.uniform(0, 6, n), rng.integers(0, 256, (n, media.BITS // 8))
+    return f
+
+
+def slow_stars(f):
+    """(bucket, 64 bits of both, distance, direction, turn) of each pair of near corners, corner by corner."""
+    place = [complex(x, y) for x, y in zip(f["x"].tolist(), f["y"].tolist(), strict=True)]
+    apart = [sorted((round(abs(p - q) ** 2), j) for j, q in enumerate(place) if q is not p) for p in place]
+    near = {(i, j) for i, a in enumerate(apart) for d, j in a if d <= min(a[min(media.NEAREST, len(a)) - 1][0], media.REACH**2)}
+    unit = lambda v: round(v * 128 / np.pi) % 256
+    for i, j in near | {(j, i) for i, j in near}:
+        for t in range(media.STARS):
+            one, other = (np.roll(f["bits"][k], -(t * (media.BITS // 8) // media.STARS)).tobytes() for k in (i, j))
+            if one[: media.WORD] <= other[: media.WORD]:
+                angle = [float(f["angle"][k]) for k in (i, j)]
+                yield (t, one[: media.WORD], other[: media.WORD]), [int.from_bytes(b[media.WORD : media.WORD + 8]) for b in (one, other)], round(abs(place[j] - place[i]) * 8), unit(np.angle(place[j] - place[i]) - angle[0]), unit(angle[1] - angle[0])
+
+
+@pytest.mark.parametrize("part", [4, 4096])
+def test_stars_of_many_images_equal_a_slow_search(spark, monkeypatch, part):
+    """All images that share a pair of near corners are met, those of one group left out; two shared corners in unlike places don't count."""
+    monkeypatch.setattr(media, "PART", part)
+    rng = np.random.default_rng(6)
+    pair, lone, images = starred(rng, 2), rng.integers(0, 256, (2, media.BITS // 8)), []
+    pair["x"], pair["y"] = [10, 15], [0, 7]
+    for k in range(60):
+        f = starred(rng, 12)
+        f["bits"][[2, 9]] = lone  # in all, each in a place of its own
+        if k % 3 == 0:  # the same pair, somewhere else
+            f = np.concatenate([f, pair])
+            f["y"][-2:] += 100 + k
+            f["bits"][-2:, 13] ^= rng.integers(0, 256, 2).astype(np.uint8)
+        images.append(f)
+    df = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(images)], "rep long, features binary")
+    groups = {k: k % 7 if k < 21 else k for k in range(60)}
+    around, want = lambda a, b: min((a - b) % 256, (b - a) % 256), set()
+    stars = [list(slow_stars(f)) for f in images]
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if groups[a] != groups[b] and any(x[0] == y[0] and all((m ^ n).bit_count() <= media.ALIKE for m, n in zip(x[1], y[1], strict=True)) and abs(x[2] - y[2]) <= media.LONGER and max(around(x[3], y[3]), around(x[4], y[4])) <= media.TURNED for x in stars[a] for y in stars[b]):
+                want.add((a, b))
+    known = spark.createDataFrame([(k, g) for k, g in groups.items() if k < 21], "node long, component long")
+    assert {tuple(r) for r in media.agreeing(df, known).collect()} == want
+    alike = {(a, b) for a in range(0, 60, 3) for b in range(a + 3, 60, 3) if groups[a] != groups[b]}
+    assert alike <= want and len(want) < len(alike) + 20
+    assert len(media.rest(df, known).collect()) > 1700  # the two lone corners alone pair all images out
+
+
+def test_images_joined_by_the_index_and_by_all_pairs(spark):
+    """Recall against brute force, the consensus of every pair of images: given vectors and all of them again, more and more changed."""
+    rng = np.random.default_rng(8)
+    given = [r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(200).collect()]
+    changed = [(np.array(v) + rng.normal(0, 0.0001 * k, len(v))).tolist() for k, v in enumerate(given)]
+    images = media.rendered(spark.createDataFrame(list(enumerate(given + changed)), "vec_id long, embedding array<float>"))
+    rows = images.collect()
+    describer = media.Describer()
+    each = [describer.features(np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"])) for r in rows]
+    f, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each])
+    bits, a, b = np.ascontiguousarray(f["bits"]).view(np.uint64), [], []
+    for lo in range(0, len(f), 512):
+        p, q = np.nonzero(sum(np.bitwise_count(bits[lo : lo + 512, None, k] ^ bits[None, :, k]).astype(np.int16) for k in range(2)) < media.APART)
+        later = owner[p + lo] < owner[q]
+        a.append(p[later] + lo)
+        b.append(q[later])
+    links = {(rows[i]["id"], rows[j]["id"]) for i, j in media.consensus(f, owner, np.concatenate(a), np.concatenate(b)).tolist()}
+    want = unions({(min(e), max(e)) for e in links}, [r["id"] for r in rows])
+    got = {r["id"]: r["component_id"] for r in media.copies(images).collect()}
+    joined = [i for i in want if want[i] != i]
+    assert len(joined) >= 50 and sum(got[i] == want[i] for i in joined) >= 0.9 * len(joined)
+    assert all(got[i] == i for i in want if want[i] == i)
+    assert sum(i != c for i, c in got.items()) <= sum(r["id"] != r["component_id"] for r in media.copies(images, thorough=True).collect())
+
+
 def textured(rng, n):
     """A picture whose amplitudes fall with the frequency."""
     f = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n))
