@@ -235,7 +235,7 @@ def test_stars_of_many_images_equal_a_slow_search(spark, monkeypatch, part):
     stars = [list(slow_stars(f)) for f in images]
     for a in range(60):
         for b in range(a + 1, 60):
-            if groups[a] != groups[b] and any(x[0] == y[0] and all((m ^ n).bit_count() <= media.ALIKE for m, n in zip(x[1], y[1], strict=True)) and abs(x[2] - y[2]) <= media.LONGER and max(around(x[3], y[3]), around(x[4], y[4])) <= media.TURNED for x in stars[a] for y in stars[b]):
+            if groups[a] != groups[b] and any(x[0] == y[0] and sum((m ^ n).bit_count() for m, n in zip(x[1], y[1], strict=True)) <= media.ALIKE and abs(x[2] - y[2]) <= media.LONGER and max(around(x[3], y[3]), around(x[4], y[4])) <= media.TURNED for x in stars[a] for y in stars[b]):
                 want.add((a, b))
     known = spark.createDataFrame([(k, g) for k, g in groups.items() if k < 21], "node long, component long")
     assert {tuple(r) for r in media.agreeing(df, known).collect()} == want
